@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from codestrata.plans import config, corpus, detect, schema, services  # noqa: F401
+from codestrata.plans import config, corpus, detect, progress, schema, services, summary  # noqa: F401
 from codestrata.plans.registry import ORACLES, QUERIES  # noqa: F401
 
 FLAGSHIP = "overview" if "overview" in QUERIES else "file_stats"

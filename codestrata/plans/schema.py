@@ -115,7 +115,7 @@ liveidx AS (SELECT i.* FROM idx i JOIN live l ON l.project = i.project AND l.tbl
 
 
 def _schema(spark, sf) -> ddl.Schema:
-    return ddl.Schema(views.repos(spark, sf))
+    return ddl.Schema(views.repos(spark, sf), persist=True)
 
 
 @query("migration_files", """WITH $REPOS
@@ -195,7 +195,7 @@ UNION ALL SELECT project, 1, tbl, 1, col, '    ' || type || ' ' || col || CASE W
 UNION ALL SELECT project, 1, tbl, 2, '', '  }' FROM live
 UNION ALL SELECT project, 2, child_tbl, 0, label, '  ' || parent_tbl || ' ||--o{ ' || child_tbl || ' : "' || label || '"' FROM erdlinks""")
 def q_erd_text(spark, sf):
-    return ddl.erd_text(ddl.Schema(views.repos(spark, sf), persist=True))
+    return ddl.erd_text(_schema(spark, sf))
 
 
 @query("column_constraints", """WITH $REPOS, $DDL
@@ -260,7 +260,7 @@ ordered_tables AS MATERIALIZED (
 
 @query("ddl_order", "WITH RECURSIVE $REPOS, $DDL, $ORDER SELECT * FROM ordered_tables")
 def q_order(spark, sf):
-    s = ddl.Schema(views.repos(spark, sf), persist=True)
+    s = _schema(spark, sf)
     return ddl_order.table_order(s.tables, s.fks)
 
 
@@ -277,4 +277,4 @@ UNION ALL SELECT o.project, 2, o.round, o.tbl, 'CREATE TABLE ' || o.tbl || ' ('
 UNION ALL SELECT project, 3, NULL, name, 'CREATE ' || CASE WHEN is_unique THEN 'UNIQUE ' ELSE '' END || 'INDEX ' || name || ' ON ' || tbl || ' (' || array_to_string(cols, ', ') || ');' FROM liveidx
 UNION ALL SELECT project, 4, NULL, name, sql || ';' FROM liveviews""")
 def q_script(spark, sf):
-    return ddl_order.ddl_script(ddl.Schema(views.repos(spark, sf), persist=True))
+    return ddl_order.ddl_script(_schema(spark, sf))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from codestrata.functions import fixed, services as sv
 from codestrata.operators import discovery, edges
 from codestrata.plans.registry import define, has_any, literal, query, sql_list
+from codestrata.session import cut_lineage
 from codestrata.sources import views
 
 _DIRS = sql_list(fixed.SERVICE_DIRS)
@@ -321,10 +322,15 @@ edges AS MATERIALIZED (SELECT * EXCLUDE (k) FROM pathedges UNION ALL SELECT * FR
 best AS MATERIALIZED (SELECT * FROM edges QUALIFY row_number() OVER (PARTITION BY project, "from", "to", evidence_type ORDER BY confidence DESC, file_path, evidence) = 1)""")
 
 
+def _found(files):
+    """Services, computed once: edges look them up several times."""
+    return cut_lineage(discovery.discover_services(files))
+
+
 def _edge_query(name: str, source: str, fn) -> None:
     def run(spark, sf):
         files = views.repos(spark, sf)
-        return fn(files, edges.aliases(discovery.discover_services(files)))
+        return fn(files, edges.aliases(_found(files)))
     query(name, f'WITH $REPOS, $EDGES SELECT project, "from", "to", evidence_type, evidence, file_path, confidence FROM {source}')(run)
 
 
@@ -338,7 +344,7 @@ _edge_query("edge_network", "pathedges WHERE k IN ('http', 'dial')", edges.edge_
 
 def _edges(spark, sf):
     files = views.repos(spark, sf)
-    services = discovery.discover_services(files)
+    services = _found(files)
     return services, edges.service_edges(files, services)
 
 
