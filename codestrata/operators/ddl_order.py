@@ -19,7 +19,7 @@ def table_order(tables: DataFrame, fks: DataFrame) -> DataFrame:
     an unknown table are never ready and keep a null round.
 
     The number of steps is the longest reference chain, not the number of tables.
-    Each step cuts its lineage with a reliable checkpoint.
+    Each step cuts its lineage with a written table.
     """
     edges = cut_lineage(fks.select(*TABLE, "ref_tbl").filter(F.col("ref_tbl") != F.col("tbl")).distinct())
     all_tables = cut_lineage(tables.select(*TABLE).distinct())

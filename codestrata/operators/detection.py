@@ -60,15 +60,17 @@ def rule_matches(files: DataFrame, rules=None) -> DataFrame:
 
 # --- flags read from content -----------------------------------------------------------
 
-def _manifest_struct() -> Column:
+def manifest_struct() -> Column:
+    """Dependency flags of a package manifest, null for any other file."""
     body = F.lower("content")
-    return F.struct(
+    is_manifest = F.lower("path").endswith("package.json") & (F.col("content") != "")
+    return F.when(is_manifest, F.struct(
         text.contains_any(body, fixed.MANIFEST_FRONTEND_DEPS).alias("frontend_deps"),
         text.contains_any(body, fixed.MANIFEST_BACKEND_DEPS).alias("backend_deps"),
         text.contains_any(body, [s.lower() for s in fixed.MANIFEST_FRONTEND_SCRIPTS]).alias("frontend_scripts"),
         F.array_join(F.filter(_literals(fixed.MANIFEST_FRONTEND_DEPS), lambda t: F.contains(body, t)), " ").alias("frontend_list"),
         F.array_join(F.filter(_literals(fixed.MANIFEST_BACKEND_DEPS), lambda t: F.contains(body, t)), " ").alias("backend_list"),
-    )
+    ))
 
 
 def _startup_columns() -> dict[str, Column]:
@@ -95,6 +97,10 @@ def _startup_columns() -> dict[str, Column]:
     }
 
 
+def startup_struct() -> Column:
+    return F.struct(*[c.alias(n) for n, c in _startup_columns().items()])
+
+
 def project_flags(files: DataFrame) -> DataFrame:
     """One row per project: startup flags and the manifest flags ``m``.
 
@@ -102,11 +108,10 @@ def project_flags(files: DataFrame) -> DataFrame:
     to the package manifest with the lowest path and is null without one.
     """
     columns = _startup_columns()
-    manifest = F.lower("path").endswith("package.json") & (F.col("content") != "")
+    if not {"startup", "manifest"} <= set(files.columns):
+        files = files.select("project", "path", startup_struct().alias("startup"), manifest_struct().alias("manifest"))
     flags = files.select(
-        "project", *[c.alias(n) for n, c in columns.items()],
-        F.when(manifest, F.col("path")).alias("manifest_path"),
-        F.when(manifest, _manifest_struct()).alias("manifest"))
+        "project", "startup.*", "manifest", F.when(F.col("manifest").isNotNull(), F.col("path")).alias("manifest_path"))
     grouped = flags.groupBy("project").agg(
         *[F.bool_or(n).alias(n) for n in columns],
         F.min_by("manifest", "manifest_path").alias("m"))

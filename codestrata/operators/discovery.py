@@ -245,13 +245,16 @@ def filter_confident(cands: DataFrame, minimum: float = fixed.MIN_SERVICE_CONFID
     return cands.filter(F.col("confidence") >= minimum)
 
 
+def api_struct() -> Column:
+    body = F.col("content")
+    return F.struct(*[body.contains(w).alias(w) for w in ("grpc", "graphql", "apollo")])
+
+
 def with_api_type(services: DataFrame, files: DataFrame) -> DataFrame:
     """API type from the entry point's content; only two flags leave the file scan."""
-    body = F.col("content")
-    flags = (files.select("project", F.col("path").alias("entry_point"),
-                          body.contains("grpc").alias("grpc"), body.contains("graphql").alias("graphql"),
-                          body.contains("apollo").alias("apollo"))
-             .filter("grpc OR graphql OR apollo"))
+    if "api" not in files.columns:
+        files = files.select("project", "path", api_struct().alias("api"))
+    flags = files.select("project", F.col("path").alias("entry_point"), "api.*").filter("grpc OR graphql OR apollo")
     api = (F.when((F.col("language") == "Go") & F.col("grpc"), "grpc")
            .when((F.col("language") == "Go") & F.col("graphql"), "graphql")
            .when((F.col("language") == "Node.js") & (F.col("apollo") | F.col("graphql")), "graphql")

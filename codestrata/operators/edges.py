@@ -104,12 +104,17 @@ def _extractors() -> dict[str, tuple[Column, list[Column]]]:
     }
 
 
-def extract_refs(files: DataFrame, *kinds: str) -> DataFrame:
-    """References found in file contents: one pass for any set of kinds."""
+def refs_column(*kinds: str) -> Column:
+    """Array of all references of the chosen kinds in one file."""
     chosen = {k: v for k, v in _extractors().items() if not kinds or k in kinds}
     empty = F.array().cast(REF)
     found = F.concat(*[F.when(test, F.concat(*arrays)).otherwise(empty) for test, arrays in chosen.values()])
-    refs = F.filter(found, lambda r: r["to"] != "")
+    return F.filter(found, lambda r: r["to"] != "")
+
+
+def extract_refs(files: DataFrame, *kinds: str) -> DataFrame:
+    """References found in file contents: one pass for any set of kinds."""
+    refs = F.col("refs") if "refs" in files.columns and not kinds else refs_column(*kinds)
     return (files.select("project", "path", owner_key("path").alias("owner_key"), F.explode(refs).alias("r"))
             .select("project", "path", "owner_key", "r.*").filter(F.col("owner_key") != ""))
 

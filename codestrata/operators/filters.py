@@ -109,17 +109,25 @@ def file_roles(files: DataFrame) -> DataFrame:
     })
 
 
-def config_files(files: DataFrame) -> DataFrame:
-    """Configuration sources, outside dependency and build folders."""
+def is_config_source() -> Column:
     base = text.basename("path")
     pruned = text.dirname("path").rlike(rf"(?:^|/)(?:{text.alternation(fixed.CONFIG_SOURCE_PRUNED)})(?:/|$)")
     wanted = (base.startswith(".env") | base.rlike(r"\.ya?ml$") | base.isin(fixed.CONFIG_SOURCE_NAMES))
-    return files.filter(wanted & ~pruned)
+    return wanted & ~pruned
 
 
-def migration_files(files: DataFrame) -> DataFrame:
+def config_files(files: DataFrame) -> DataFrame:
+    """Configuration sources, outside dependency and build folders."""
+    return files.filter(is_config_source())
+
+
+def is_migration() -> Column:
     low = F.lower("path")
-    return files.filter(low.endswith(".sql") & text.dirname(low).contains("migration"))
+    return low.endswith(".sql") & text.dirname(low).contains("migration")
+
+
+def migration_files(files: DataFrame) -> DataFrame:
+    return files.filter(is_migration())
 
 
 def detection_files(files: DataFrame, max_bytes: int = fixed.DETECTION_MAX_BYTES) -> DataFrame:

@@ -101,7 +101,8 @@ def admit_quota(requests: DataFrame, per_minute: int = fixed.REQUESTS_PER_MINUTE
     that many.  All other rows merely compare themselves with the cut-off.
     """
     at = F.struct(*order)
-    slots = requests.select("*", F.window("ts", "1 minute").start.alias("minute"), F.window("ts", "1 day").start.alias("day"))
+    slots = (requests.withColumn("minute", F.window("ts", "1 minute").start)
+             .withColumn("day", F.window("ts", "1 day").start))
     by_minute = Window.partitionBy("minute").orderBy(*order)
     first = (slots.select("minute", "day", *order).withColumn("rank", F.row_number().over(by_minute))
              .filter(F.col("rank") <= per_minute))

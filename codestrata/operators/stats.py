@@ -16,8 +16,9 @@ from codestrata.operators.filters import file_facts, is_key_file
 
 
 def file_stats(files: DataFrame) -> DataFrame:
-    facts = file_facts(files)
-    return facts.groupBy("project").agg(
+    if "size" not in files.columns:
+        files = files.select("project", F.octet_length("content").cast("bigint").alias("size"))
+    return files.groupBy("project").agg(
         F.count("*").alias("total_files"),
         F.sum("size").alias("total_bytes"),
         F.round(F.sum("size") / F.lit(1024.0 * 1024.0), 6).alias("total_size_mb"),

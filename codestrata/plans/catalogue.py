@@ -1,6 +1,8 @@
 """All registered queries."""
 
-from codestrata.plans import config, corpus, detect, progress, schema, services, summary  # noqa: F401
+from codestrata.plans import (  # noqa: F401
+    corpus, detect, services, config, schema, summary, progress, overview,
+)
 from codestrata.plans.registry import ORACLES, QUERIES  # noqa: F401
 
-FLAGSHIP = "overview" if "overview" in QUERIES else "file_stats"
+FLAGSHIP = "overview"

@@ -46,8 +46,10 @@ def _bag(columns, rows):
 
 
 def compare(spark, con, sf_dir, query, sql):
+    t = time.time()
     df = query(spark, sf_dir)
     cols, got = _bag(df.columns, [tuple(r) for r in df.collect()])
+    compare.spark_seconds = time.time() - t
     cur = con.execute(sql)
     ocols, want = _bag([d[0] for d in cur.description], cur.fetchall())
     if cols != ocols:
@@ -83,6 +85,6 @@ if __name__ == "__main__":
         except Exception as e:  # report and go on
             err, n = f"{type(e).__name__}: {str(e)[:700]}", -1
         bad += err is not None
-        print(f"{'FAIL' if err else 'ok  '} {name:24s} {n:7d} rows {time.time() - t:6.2f}s"
+        print(f"{'FAIL' if err else 'ok  '} {name:24s} {n:7d} rows {time.time() - t:6.2f}s spark {getattr(compare, 'spark_seconds', 0):5.2f}s"
               f"{'' if name in sqls else ' (rows only)'} {err or ''}", flush=True)
     print("failures:", bad)
