@@ -56,22 +56,25 @@ def sessions(progress: DataFrame, gap_seconds: int = fixed.STALL_SECONDS) -> Dat
 
 
 def outcomes(progress: DataFrame, done: int = fixed.DONE_PERCENT, timeout: int = fixed.TIMEOUT_PERCENT,
-             timeout_minutes: int = fixed.TIMEOUT_MINUTES) -> DataFrame:
+             timeout_minutes: int = fixed.TIMEOUT_MINUTES, open_minutes: int = 10) -> DataFrame:
     """How each run ended: by its first final event, by its last progress, or by timeout.
 
-    The timeout counts from the first event of the run; events after it are not
-    seen any more.
+    The timeout counts in whole seconds from the first event of the run; events
+    after it only show, within ``open_minutes``, that the run was still open.
     """
     end = F.expr(f"INTERVAL '{timeout_minutes}' MINUTE")
-    started = progress.groupBy("run_id").agg(F.min("ts").alias("started_at"), F.max("ts").alias("last_at"))
-    seen = progress.join(started, "run_id").filter(F.col("ts") <= F.col("started_at") + end)
+    still = F.expr(f"INTERVAL '{timeout_minutes + open_minutes}' MINUTE")
+    timed = progress.withColumn("sec", F.window("ts", "1 second").start)
+    started = timed.groupBy("run_id").agg(F.min("sec").alias("started_at"))
+    seen = timed.join(started, "run_id").filter(F.col("sec") <= F.col("started_at") + still)
+    on_time = F.col("sec") <= F.col("started_at") + end
     order = F.struct("ts", "seq")
     final = F.col("type").isin("complete", "error")
     folded = seen.groupBy("run_id").agg(
-        F.min_by("type", F.when(final, order)).alias("final_type"),
-        F.max_by("progress", order).alias("last_progress"),
-        F.first("started_at").alias("started_at"), F.first("last_at").alias("last_at"))
-    timed_out = F.col("last_at") > F.col("started_at") + end
+        F.min_by("type", F.when(final & on_time, order)).alias("final_type"),
+        F.max_by("progress", F.when(on_time, order)).alias("last_progress"),
+        F.bool_or(~on_time).alias("late"))
+    timed_out = F.col("late")
     need = F.when(timed_out, F.lit(timeout)).otherwise(F.lit(done))
     outcome = (F.when(F.col("final_type") == "complete", "complete").when(F.col("final_type") == "error", "error")
                .when(F.col("last_progress") >= need, F.when(timed_out, "accepted at timeout").otherwise("accepted at end"))

@@ -41,9 +41,10 @@ def q_sessions(spark, sf):
 
 
 @query("progress_outcome", """WITH $PROGRESS,
-s AS (SELECT *, min(ts) OVER (PARTITION BY run_id) AS t0, max(ts) OVER (PARTITION BY run_id) AS t1 FROM progress),
-f AS (SELECT run_id, arg_min(type, (ts, seq)) FILTER (type IN ('complete', 'error')) AS final_type, arg_max(progress, (ts, seq)) AS last_progress,
-   any_value(t1 > t0 + INTERVAL 35 MINUTE) AS timed_out FROM s WHERE ts <= t0 + INTERVAL 35 MINUTE GROUP BY run_id)
+s AS (SELECT *, date_trunc('second', ts) AS sec, date_trunc('second', min(ts) OVER (PARTITION BY run_id)) AS t0 FROM progress),
+f AS (SELECT run_id, arg_min(type, (ts, seq)) FILTER (type IN ('complete', 'error') AND sec <= t0 + INTERVAL 35 MINUTE) AS final_type,
+   arg_max(progress, (ts, seq)) FILTER (sec <= t0 + INTERVAL 35 MINUTE) AS last_progress,
+   bool_or(sec > t0 + INTERVAL 35 MINUTE AND sec <= t0 + INTERVAL 45 MINUTE) AS timed_out FROM s GROUP BY run_id)
 SELECT run_id, last_progress, timed_out, CASE WHEN final_type IS NOT NULL THEN final_type
   WHEN timed_out AND last_progress >= 75 THEN 'accepted at timeout' WHEN timed_out THEN 'timeout'
   WHEN last_progress >= 90 THEN 'accepted at end' ELSE 'incomplete' END AS outcome FROM f""")
