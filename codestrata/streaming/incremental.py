@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from codestrata.functions import ddl as dx
@@ -78,11 +78,12 @@ def fold_batch(migrations: DataFrame, store: str, number: int) -> None:
     bad.write.mode("overwrite").parquet(f"{store}/warnings/batch={number}")
     if not _has_rows(spark, f"{store}/events/batch={number}"):
         return
-    schema = good.schema.add("bucket", "int")
+    bucketed = [*good.schema.fields, T.StructField("bucket", T.IntegerType())]
+    schema = T.StructType(bucketed)
     new = spark.read.schema(schema).parquet(f"{store}/events/batch={number}")
     touched = new.select("project", "tbl").filter("tbl <> ''").distinct()
     numbers = [r.bucket for r in new.select("bucket").distinct().collect()]
-    log = (spark.read.schema(schema.add("batch", "int")).parquet(f"{store}/events")
+    log = (spark.read.schema(T.StructType([*bucketed, T.StructField("batch", T.IntegerType())])).parquet(f"{store}/events")
            .filter(F.col("bucket").isin(numbers) & (F.col("batch") <= number))
            .dropDuplicates(["project", "path", "stmt_no"])
            .join(touched, ["project", "tbl"], "left_semi"))
