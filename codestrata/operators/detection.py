@@ -112,11 +112,14 @@ def project_flags(files: DataFrame) -> DataFrame:
         files = files.select("project", "path", startup_struct().alias("startup"), manifest_struct().alias("manifest"))
     flags = files.select(
         "project", "startup.*", "manifest", F.when(F.col("manifest").isNotNull(), F.col("path")).alias("manifest_path"))
-    grouped = flags.groupBy("project").agg(
+    # Few files raise a flag: only those rows are grouped, projects without any are added back.
+    raised = flags.filter(F.greatest(*[F.col(n) for n in columns]) | F.col("manifest_path").isNotNull())
+    grouped = raised.groupBy("project").agg(
         *[F.bool_or(n).alias(n) for n in columns],
         F.min_by("manifest", "manifest_path").alias("m"))
+    every = files.select("project").distinct().join(grouped, "project", "left").na.fill(False, list(columns))
     any_of = {side: [n for n in columns if n.startswith(side)] for side in ("frontend", "backend")}
-    return grouped.withColumns({
+    return every.withColumns({
         f"has_{side}": F.greatest(*[F.col(n) for n in names]) for side, names in any_of.items()})
 
 

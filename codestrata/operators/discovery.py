@@ -245,9 +245,17 @@ def filter_confident(cands: DataFrame, minimum: float = fixed.MIN_SERVICE_CONFID
     return cands.filter(F.col("confidence") >= minimum)
 
 
+def may_be_entry() -> Column:
+    """Files a candidate can name as its entry point: known entry names, or any file right under a service folder."""
+    path = F.col("path")
+    names = [s.rsplit("/", 1)[-1] for s in fixed.ENTRY_SUFFIXES]
+    return text.ends_with_any(path, sorted(set(names))) | _is_service_dir(text.basename(text.dirname(path)))
+
+
 def api_struct() -> Column:
-    body = F.col("content")
-    return F.struct(*[body.contains(w).alias(w) for w in ("grpc", "graphql", "apollo")])
+    """API words in the content; only possible entry points are searched."""
+    body = F.when(may_be_entry(), F.col("content"))
+    return F.struct(*[F.coalesce(body.contains(w), F.lit(False)).alias(w) for w in ("grpc", "graphql", "apollo")])
 
 
 def with_api_type(services: DataFrame, files: DataFrame) -> DataFrame:

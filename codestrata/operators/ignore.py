@@ -1,9 +1,8 @@
 """Ignore rules: later rules win, and an ignored folder hides its whole subtree.
 
 A project's own rules come from one file, so they travel as one array per
-project.  Each path folds over that array; no (path, rule) pairs are formed and
-no shuffle by project is needed when the rule side is small enough for the
-engine to broadcast.  The default rules contain no slash and no negation, so
+project.  Each path folds over that array, so no (path, rule) pairs are formed,
+and the files do not move while the rules fit a checked broadcast size.  The default rules contain no slash and no negation, so
 they collapse into one alternation over the base name.
 """
 
@@ -14,7 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from codestrata.functions import fixed, text
+from codestrata.session import size_in_bytes
 
+SALTS = 32
 RULE = "struct<rule_no:int,regex:string,literal:string,kind:string,negate:boolean,dir_only:boolean,absolute:boolean>"
 
 
@@ -80,26 +81,47 @@ def _decide(path: Column, is_dir: bool, rules: Column, start: Column) -> Column:
     return F.aggregate(rules, start, step)
 
 
+def _marks(path: Column, rules: Column | None, defaults: Sequence[str]) -> tuple[Column, Column]:
+    """(own path ignored, some folder above ignored)."""
+    file_re, dir_re = _default_patterns(defaults)
+    own = text.basename(path).rlike(file_re)
+    above = (F.instr(path, "/") > 0) & F.exists(F.split(text.dirname(path), "/"), lambda s: s.rlike(dir_re))
+    if rules is None:
+        return own, above
+    has = F.size(F.coalesce(rules, F.array().cast(f"array<{RULE}>"))) > 0
+    tree = F.exists(text.ancestors(path), lambda d: _decide(d, True, rules, text.basename(d).rlike(dir_re)))
+    return (F.when(has, _decide(path, False, rules, own)).otherwise(own),
+            F.when(has, tree).otherwise(above))
+
+
 def with_ignored(files: DataFrame, rules: DataFrame | None = None,
                  defaults: Sequence[str] = tuple(fixed.DEFAULT_IGNORE)) -> DataFrame:
     """Add ``file_ignored`` (own path) and ``tree_ignored`` (some folder above)."""
-    file_re, dir_re = _default_patterns(defaults)
     path = F.col("path")
-    own = text.basename(path).rlike(file_re)
-    above = F.exists(F.split(text.dirname(path), "/"), lambda s: s.rlike(dir_re)) & (F.instr(path, "/") > 0)
-    if rules is None:
-        return files.withColumns({"file_ignored": own, "tree_ignored": above})
-    joined = files.join(rules, "project", "left")
-    has = F.size(F.coalesce("rules", F.array().cast(f"array<{RULE}>"))) > 0
-    own_rules = F.when(has, _decide(path, False, F.col("rules"), own)).otherwise(own)
-    tree_rules = F.when(has, F.exists(
-        text.ancestors(path),
-        lambda d: _decide(d, True, F.col("rules"), text.basename(d).rlike(dir_re)))).otherwise(above)
-    return joined.withColumns({"file_ignored": own_rules, "tree_ignored": tree_rules}).drop("rules")
+    if rules is not None:
+        files = files.join(rules, "project", "left")
+    own, above = _marks(path, None if rules is None else F.col("rules"), defaults)
+    return files.withColumns({"file_ignored": own, "tree_ignored": above}).drop("rules")
 
 
 def apply_ignore(files: DataFrame, rules: DataFrame | None = None,
-                 defaults: Sequence[str] = tuple(fixed.DEFAULT_IGNORE)) -> DataFrame:
-    return (with_ignored(files, rules, defaults)
-            .filter(~F.col("file_ignored") & ~F.col("tree_ignored"))
-            .drop("file_ignored", "tree_ignored"))
+                 defaults: Sequence[str] = tuple(fixed.DEFAULT_IGNORE),
+                 broadcast_bytes: int = 256 << 20) -> DataFrame:
+    """Drop ignored files.
+
+    Rules up to ``broadcast_bytes`` travel to the files, which then never move.
+    Beyond that the decision is made on (project, path) alone, with salted rules
+    so that one huge project spreads over many tasks, and the ignored paths are
+    removed by an anti join on (project, path), whose keys are unique.
+    """
+    if rules is None:
+        own, above = _marks(F.col("path"), None, defaults)
+        return files.filter(~own & ~above)
+    if size_in_bytes(rules) <= broadcast_bytes:
+        marked = with_ignored(files, F.broadcast(rules), defaults)
+        return marked.filter(~F.col("file_ignored") & ~F.col("tree_ignored")).drop("file_ignored", "tree_ignored")
+    own, above = _marks(F.col("path"), F.col("rules"), defaults)
+    salted = rules.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    keys = files.select("project", "path").withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int"))
+    ignored = keys.join(salted, ["project", "salt"], "left").filter(own | above).select("project", "path")
+    return files.join(ignored, ["project", "path"], "left_anti")

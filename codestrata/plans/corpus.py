@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from codestrata.functions import fixed, text
 from codestrata.operators import filters, ignore, stats
 from codestrata.plans.registry import define, has_any, literal, query, sql_list
+from codestrata.session import cut_lineage
 from codestrata.sources import views
 
 
@@ -93,7 +94,7 @@ def q_ignore_last_match(spark, sf):
 SELECT project, path FROM marks WHERE NOT file_ignored AND NOT tree_ignored""")
 def q_ignore_filter(spark, sf):
     files = views.repos(spark, sf)
-    return ignore.apply_ignore(files, ignore.parse_ignore(files)).select("project", "path")
+    return ignore.apply_ignore(files, cut_lineage(ignore.parse_ignore(files))).select("project", "path")
 
 
 define("PRUNED", "(parent <> '.' AND (" + has_any("lower(parent)", fixed.PRUNED_DIRS)
@@ -126,8 +127,11 @@ def q_supported_files(spark, sf):
 
 
 def crawl(files, own_rules: bool = True):
-    """The whole intake: ignore rules, pruning, noise, size, extension and secret filters, redaction."""
-    rules = ignore.parse_ignore(files) if own_rules else None
+    """The whole intake: ignore rules, pruning, noise, size, extension and secret filters, redaction.
+
+    The parsed rules are written first, so that their size is known to the join.
+    """
+    rules = cut_lineage(ignore.parse_ignore(files)) if own_rules else None
     kept = filters.skip_secret_files(filters.supported(filters.drop_noise(filters.prune_dirs(files))))
     return filters.redact(filters.size_cap(ignore.apply_ignore(kept, rules)))
 

@@ -52,3 +52,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/codestrata-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def size_in_bytes(df: DataFrame) -> int:
+    """Size the optimizer expects; exact for written tables, large when it cannot tell."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

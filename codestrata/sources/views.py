@@ -220,7 +220,9 @@ def web(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def repos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    # A few narrow bytes per part become a whole file: spread them before they grow.
+    df = part.repartition(spark.sparkContext.defaultParallelism)
     for level in LEVELS:
         df = df.selectExpr(*level)
     # One-row generator: later filters on path stay above the long template

@@ -46,14 +46,6 @@ _STATE = ("started bigint, late bigint, at_us bigint, at_seq bigint, progress in
           "final_us bigint, final_seq bigint, final_type string")
 
 
-def _fold_seconds(rows: pd.DataFrame) -> pd.DataFrame:
-    """At most two rows per second: the last event and the first final one."""
-    rows = rows.sort_values(["us", "seq"])
-    lasts = rows.groupby("sec").tail(1)
-    finals = rows[rows["type"].isin(("complete", "error"))].groupby("sec").head(1)
-    return pd.concat([lasts, finals])
-
-
 def outcomes(stream: DataFrame, done: int = fixed.DONE_PERCENT, timeout: int = fixed.TIMEOUT_PERCENT,
              timeout_minutes: int = fixed.TIMEOUT_MINUTES, open_minutes: int = 10,
              forget_days: int = 30) -> DataFrame:
@@ -71,6 +63,14 @@ def outcomes(stream: DataFrame, done: int = fixed.DONE_PERCENT, timeout: int = f
     limit, grace = timeout_minutes * 60, open_minutes * 60
     forget_ms = forget_days * 86_400_000
 
+    def fold_seconds(rows: pd.DataFrame) -> pd.DataFrame:
+        """At most two rows per second: the last event and the first final one."""
+        rows = rows.sort_values(["us", "seq"])
+        lasts = rows.groupby("sec").tail(1)
+        finals = rows[rows["type"].isin(("complete", "error"))].groupby("sec").head(1)
+        return pd.concat([lasts, finals])
+
+    # Both functions are closures without module globals, so workers need no package.
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             started, late, _, _, progress, _, _, final = state.get
@@ -99,7 +99,7 @@ def outcomes(stream: DataFrame, done: int = fixed.DONE_PERCENT, timeout: int = f
         kept = None
         for rows in batches:
             low = int(rows["sec"].min())
-            kept = _fold_seconds(rows if kept is None else pd.concat([kept, rows]))
+            kept = fold_seconds(rows if kept is None else pd.concat([kept, rows]))
             if not state.exists:
                 started = low if started is None else min(started, low)
             kept = kept[kept["sec"] <= started + limit + grace]

@@ -36,6 +36,17 @@ def test_rules_of_one_project_leave_others_alone(make_files):
     assert [r.project for r in out.collect()] == ["q"]
 
 
+def test_large_rule_tables_take_the_salted_route(make_files):
+    rows = [(f"p{i % 3}", f"d{i % 7}/f{i}.{'txt' if i % 2 else 'log'}", "") for i in range(200)]
+    rows += [("p0", ".gitignore", "*.txt\n!f1*\nd3/\n"), ("p1", ".gitignore", "/d2\n")]
+    files = make_files(*rows)
+    rules = ignore.parse_ignore(files)
+    small = ignore.apply_ignore(files, rules, broadcast_bytes=1 << 62)
+    large = ignore.apply_ignore(files, rules, broadcast_bytes=0)
+    key = lambda df: sorted((r.project, r.path) for r in df.collect())
+    assert 0 < small.count() < 200 and key(small) == key(large)
+
+
 def test_prune_tests_any_part_of_the_folder_path(make_files):
     files = make_files(("src/router/a.go", ""), ("src/core/a.go", ""), ("a/b/c/d/e/f/g/h/i/x.go", ""),
                        ("a/b/c/d/e/f/g/h/i/j/x.go", ""), ("out.go", ""))
