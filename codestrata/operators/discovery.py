@@ -258,6 +258,15 @@ def api_struct() -> Column:
     return F.struct(*[F.coalesce(body.contains(w), F.lit(False)).alias(w) for w in ("grpc", "graphql", "apollo")])
 
 
+def with_entry_content(services: DataFrame, files: DataFrame) -> DataFrame:
+    """Content of each service's entry point, null when the entry is only a folder.
+
+    Entry points are unique paths, so the join cannot skew; use ``with_api_type``
+    where flags are enough and the text need not move.
+    """
+    return services.join(files.select("project", F.col("path").alias("entry_point"), "content"), ["project", "entry_point"], "left")
+
+
 def with_api_type(services: DataFrame, files: DataFrame) -> DataFrame:
     """API type from the entry point's content; only two flags leave the file scan."""
     if "api" not in files.columns:

@@ -88,6 +88,20 @@ def progress_rate(progress: DataFrame, width: str = "1 minute", slide: str | Non
         F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "stage", "n_events")
 
 
+def phase_of(progress: Column | str) -> Column:
+    """Phase a percentage belongs to: the last one that has started."""
+    p = F.col(progress) if isinstance(progress, str) else progress
+    out = F.lit("start")
+    for percent, name in fixed.PHASES:
+        out = F.when(p >= percent, name).otherwise(out)
+    return out
+
+
+def phase_counts(progress: DataFrame) -> DataFrame:
+    return progress.groupBy("run_id", phase_of("progress").alias("phase")).agg(
+        F.count("*").alias("n_events"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
 def report_frequency(n_files: Column | str) -> Column:
     """Files between two progress reports, by corpus size."""
     n = F.col(n_files) if isinstance(n_files, str) else n_files

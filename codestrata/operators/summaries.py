@@ -249,6 +249,21 @@ def repository_details(files: DataFrame, services_df: DataFrame, types: DataFram
     return out if fn is None else out.mapInPandas(fn, schema)
 
 
+def is_multi_service(details: DataFrame, folders: DataFrame, many_folders: int = 3) -> DataFrame:
+    """Microservices or monorepo?  Projects without details fall back to their number of folders."""
+    n = folders.groupBy("project").agg(F.count("*").alias("n_folders"))
+    known = (F.col("architecture") == "microservices") | (F.col("repo_layout") == "monorepo")
+    joined = n.join(details.select("project", "architecture", "repo_layout"), "project", "full_outer")
+    return joined.select("project", F.coalesce(known, F.col("n_folders") > many_folders, F.lit(False)).alias("is_multi_service"))
+
+
+def nest_summaries(folders: DataFrame, summaries: DataFrame) -> DataFrame:
+    """Files next to the summary of their folder, kept flat: folders may be of any size."""
+    return summaries.join(folders.select("project", "folder", F.col("purpose").alias("folder_purpose"),
+                                         F.col("primary_language").alias("folder_language"), F.col("n_files").alias("folder_files")),
+                          ["project", "folder"])
+
+
 def fallback_questions(types: DataFrame, purposes: DataFrame | None = None) -> DataFrame:
     """Question rows by project type, in table order; the purpose question comes last."""
     rows = []

@@ -66,6 +66,13 @@ def q_rate_sliding(spark, sf):
     return progress.progress_rate(views.progress(spark, sf), "10 minutes", "5 minutes")
 
 
+@query("progress_phases", f"""WITH $PROGRESS
+SELECT run_id, CASE {" ".join(f"WHEN progress >= {p} THEN '{n}'" for p, n in reversed(fixed.PHASES))} ELSE 'start' END AS phase,
+  count(*) AS n_events, min(ts) AS first_ts, max(ts) AS last_ts FROM progress GROUP BY ALL""")
+def q_phases(spark, sf):
+    return progress.phase_counts(views.progress(spark, sf))
+
+
 _PER_MINUTE, _PER_DAY = 2, 100
 
 
@@ -75,7 +82,14 @@ m AS (SELECT seq, ts, time_bucket(INTERVAL 1 MINUTE, ts) AS minute, CAST(date_tr
 d AS (SELECT *, sum(CASE WHEN minute_ok THEN 1 ELSE 0 END) OVER (PARTITION BY day ORDER BY ts, seq) AS used FROM m)
 SELECT seq, ts, minute, day, minute_ok, minute_ok AND used <= {_PER_DAY} AS admitted FROM d""")
 def q_quota(spark, sf):
-    return progress.admit_quota(views.progress(spark, sf).select("seq", "ts"), _PER_MINUTE, _PER_DAY)
+    return progress.admit_quota(views.progress(spark, sf).select("seq", "ts"), @query("progress_phases", f"""WITH $PROGRESS
+SELECT run_id, CASE {" ".join(f"WHEN progress >= {p} THEN '{n}'" for p, n in reversed(fixed.PHASES))} ELSE 'start' END AS phase,
+  count(*) AS n_events, min(ts) AS first_ts, max(ts) AS last_ts FROM progress GROUP BY ALL""")
+def q_phases(spark, sf):
+    return progress.phase_counts(views.progress(spark, sf))
+
+
+_PER_MINUTE, _PER_DAY)
 
 
 @query("quota_usage", f"""WITH $PROGRESS,

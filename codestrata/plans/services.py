@@ -162,6 +162,13 @@ def q_api_type(spark, sf):
     return discovery.discover_services(views.repos(spark, sf)).select("project", "name", "entry_point", "api_type")
 
 
+@query("svc_entry_content", """WITH $REPOS, $SERVICES
+SELECT s.project, s.name, s.entry_point, f.content FROM services s LEFT JOIN files f ON f.project = s.project AND f.path = s.entry_point""")
+def q_entry_content(spark, sf):
+    files = views.repos(spark, sf)
+    return discovery.with_entry_content(discovery.discover_services(files).select("project", "name", "entry_point"), files)
+
+
 @query("svc_purpose", "WITH $REPOS, $SERVICES SELECT project, name, purpose, kind FROM services")
 def q_purpose(spark, sf):
     return discovery.discover_services(views.repos(spark, sf)).select("project", "name", "purpose", "kind")

@@ -162,6 +162,24 @@ def q_details(spark, sf):
     return summaries.repository_details(files, discovery.discover_services(files), types)
 
 
+@query("multi_service", """WITH $REPOS, $RULES, $MANIFEST, $STARTUP, $TYPED, $STACKS, $SERVICES, $SUMMARIES,
+ns AS (SELECT s.project, has_workspace, (SELECT count(*) FROM services x WHERE x.project = s.project) AS n FROM stacked s)
+SELECT project, n > 1 OR has_workspace AS is_multi_service FROM ns""")
+def q_multi_service(spark, sf):
+    files = views.repos(spark, sf)
+    types = cut_lineage(detection.project_type(files))
+    details = summaries.repository_details(files, discovery.discover_services(files), types)
+    return summaries.is_multi_service(details, summaries.folder_summary(summaries.summarize_files(files)))
+
+
+@query("nested_summaries", """WITH $REPOS, $SUMMARIES
+SELECT s.project, s.folder, s.path, s.language, f.purpose AS folder_purpose, f.primary_language AS folder_language, f.n_files AS folder_files
+FROM fsum s JOIN foldersum f ON f.project = s.project AND f.folder = s.folder""")
+def q_nested(spark, sf):
+    rows = _file_summaries(spark, sf)
+    return summaries.nest_summaries(summaries.folder_summary(rows), rows.select("project", "folder", "path", "language"))
+
+
 @query("evidence_paths", f"WITH $REPOS SELECT project, path FROM facts WHERE {has_any('lpath', fixed.IMPORTANT_TOKENS)}")
 def q_evidence_paths(spark, sf):
     return summaries.evidence_paths(views.repos(spark, sf))

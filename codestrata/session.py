@@ -13,6 +13,8 @@ RECOMMENDED = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # plans here are built from many small expressions; skip recording a call site for each
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

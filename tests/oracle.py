@@ -45,9 +45,11 @@ def _bag(columns, rows):
     return [columns[i] for i in order], Counter(tuple(_norm(r[i]) for i in order) for r in rows)
 
 
-def compare(spark, con, sf_dir, query, sql):
+def compare(spark, con, sf_dir, query, sql, check_plan=None):
     t = time.time()
     df = query(spark, sf_dir)
+    if check_plan:
+        check_plan(df)
     cols, got = _bag(df.columns, [tuple(r) for r in df.collect()])
     compare.spark_seconds = time.time() - t
     cur = con.execute(sql)
