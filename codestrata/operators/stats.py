@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from codestrata.functions import fixed, text
 from codestrata.functions.chunks import chunks
-from codestrata.operators.filters import file_facts, is_key_file
+from codestrata.operators.filters import is_key_file
 
 
 def file_stats(files: DataFrame) -> DataFrame:

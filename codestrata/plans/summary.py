@@ -218,24 +218,24 @@ def q_qa(spark, sf):
 
 # --- result cache -------------------------------------------------------------------------
 
-# Half of the corpus plays the old cache: odd hashes are known, some are stale or expired.
+# Labelled documents play the old cache: toxic ones have changed since, low-quality ones are too old.
 _NOW = "2024-03-02 00:00:00"
 
 
-def _old_cache(files):
-    digest = text.content_hash("content")
-    last = F.conv(F.substring(digest, 32, 1), 16, 10).cast("int")
-    return files.filter(last % 2 == 1).select(
-        F.lit("file").alias("kind"), F.concat_ws("/", "project", "path").alias("key"),
-        F.when(last == 3, F.md5(F.lit("old").cast("binary"))).otherwise(digest).alias("content_hash"),
-        F.when(last == 5, F.lit("2024-02-29 23:00:00")).otherwise(F.lit("2024-03-01 12:00:00")).cast("timestamp_ntz").alias("ts"),
+def _old_cache(spark, sf):
+    doc, labels = views.table(spark, sf, "documents"), views.table(spark, sf, "labels")
+    path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return doc.join(labels, "doc_id").select(
+        F.lit("file").alias("kind"), F.concat_ws("/", "source", path).alias("key"),
+        F.when(F.col("toxic") == 1, F.md5(F.lit("old").cast("binary"))).otherwise(text.content_hash("text")).alias("content_hash"),
+        F.when(F.col("quality") == 0, F.lit("2024-02-29 23:00:00")).otherwise(F.lit("2024-03-01 12:00:00")).cast("timestamp_ntz").alias("ts"),
         F.lit("{}").alias("result"))
 
 
 define("OLDCACHE", """
-h AS (SELECT project, path, md5(content) AS hash, CAST('0x' || md5(content)[32:32] AS INTEGER) AS last FROM files),
-old AS (SELECT project || '/' || path AS key, CASE WHEN last = 3 THEN md5('old') ELSE hash END AS content_hash,
-   CASE WHEN last = 5 THEN TIMESTAMP '2024-02-29 23:00:00' ELSE TIMESTAMP '2024-03-01 12:00:00' END AS ts FROM h WHERE last % 2 = 1),
+h AS (SELECT project, path, md5(content) AS hash FROM files),
+old AS (SELECT source || '/' || source || '/' || lang || '/' || d.doc_id || '.txt' AS key, CASE WHEN toxic = 1 THEN md5('old') ELSE md5(text) END AS content_hash,
+   CASE WHEN quality = 0 THEN TIMESTAMP '2024-02-29 23:00:00' ELSE TIMESTAMP '2024-03-01 12:00:00' END AS ts FROM documents d JOIN labels l ON l.doc_id = d.doc_id),
 hit AS (SELECT h.project, h.path FROM h JOIN old o ON o.key = h.project || '/' || h.path AND o.content_hash = h.hash AND o.ts >= TIMESTAMP '2024-03-02 00:00:00' - INTERVAL 24 HOUR)""")
 
 
@@ -247,14 +247,14 @@ def _keyed(files):
 def q_todo(spark, sf):
     files = views.corpus(spark, sf)
     now = F.lit(_NOW).cast("timestamp_ntz")
-    return cache.split_by_cache(_keyed(files), _old_cache(files), now)[1].select("project", "path")
+    return cache.cache_todo(_keyed(files), _old_cache(spark, sf), now).select("project", "path")
 
 
 @query("cache_hits", "WITH $CORPUS, $OLDCACHE SELECT project, path, '{}' AS result FROM hit")
 def q_hits(spark, sf):
     files = views.corpus(spark, sf)
     now = F.lit(_NOW).cast("timestamp_ntz")
-    return cache.split_by_cache(_keyed(files), _old_cache(files), now)[0].select("project", "path", "result")
+    return cache.cache_hits(_keyed(files), _old_cache(spark, sf), now).select("project", "path", "result")
 
 
 @query("host_services", r"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from codestrata.functions import fixed, text
+from codestrata.session import cut_lineage, size_in_bytes
 
 CACHE = T.StructType([
     T.StructField("kind", T.StringType()),
@@ -50,19 +51,40 @@ def latest(rows: DataFrame) -> DataFrame:
             .select("kind", "key", "c.content_hash", "c.ts", "c.result"))
 
 
-def split_by_cache(files: DataFrame, cache: DataFrame, now: Column, kind: str = "file",
-                   ttl_hours: int = fixed.CACHE_TTL_HOURS) -> tuple[DataFrame, DataFrame]:
-    """(hits with their result, rows still to do) for files with a ``key`` column.
+def _valid(cache: DataFrame, now: Column, kind: str, ttl_hours: int) -> DataFrame:
+    return (latest(cache).filter((F.col("kind") == kind) & ~text.is_expired("ts", now, ttl_hours))
+            .select("key", "content_hash", "result"))
+
+
+def cache_hits(files: DataFrame, cache: DataFrame, now: Column, kind: str = "file",
+               ttl_hours: int = fixed.CACHE_TTL_HOURS) -> DataFrame:
+    """Stored results of files (with a ``key`` column) whose content has not changed."""
+    hashed = files.withColumn("content_hash", text.content_hash("content")).drop("content")
+    return hashed.join(_valid(cache, now, kind, ttl_hours), ["key", "content_hash"])
+
 
-    A hit has the same key and content hash and is not older than the time to
-    live.  Keys are unique on both sides, so neither join can skew.
+def cache_todo(files: DataFrame, cache: DataFrame, now: Column, kind: str = "file",
+               ttl_hours: int = fixed.CACHE_TTL_HOURS, broadcast_bytes: int = 256 << 20) -> DataFrame:
+    """Files without a valid result: other content, no entry, or an entry too old.
+
+    Contents are hashed where they are read and only (key, hash) pairs meet the
+    cache.  The missing keys, usually few, are written, so their size is known:
+    up to ``broadcast_bytes`` they go to the files, beyond it both sides shuffle on
+    the key, which is unique.
     """
-    valid = (latest(cache).filter((F.col("kind") == kind) & ~text.is_expired("ts", now, ttl_hours))
-             .select("key", "content_hash", "result"))
     hashed = files.withColumn("content_hash", text.content_hash("content"))
-    hits = hashed.join(valid, ["key", "content_hash"])
-    todo = hashed.join(valid, ["key", "content_hash"], "left_anti")
-    return hits, todo
+    pairs = hashed.select("key", "content_hash")
+    missing = cut_lineage(pairs.join(_valid(cache, now, kind, ttl_hours), ["key", "content_hash"], "left_anti"))
+    keys = missing.select("key")
+    if size_in_bytes(missing) <= broadcast_bytes:
+        keys = F.broadcast(keys)
+    return hashed.join(keys, "key", "left_semi")
+
+
+def split_by_cache(files: DataFrame, cache: DataFrame, now: Column, kind: str = "file",
+                   ttl_hours: int = fixed.CACHE_TTL_HOURS) -> tuple[DataFrame, DataFrame]:
+    """(hits with their result, files still to do)."""
+    return cache_hits(files, cache, now, kind, ttl_hours), cache_todo(files, cache, now, kind, ttl_hours)
 
 
 def read_cache_json(spark: SparkSession, folder: str) -> DataFrame:

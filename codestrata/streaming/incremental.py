@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from codestrata.functions import ddl as dx
 from codestrata.operators import ddl, summaries
 from codestrata.operators.filters import migration_files
+from codestrata.session import cut_lineage
 from codestrata.sources import cache
 
 EVENT_BUCKETS = 64
@@ -27,7 +28,7 @@ def analyze_batch(files: DataFrame, cache_path: str, now=None, summarize: Callab
     now = F.current_timestamp() if now is None else now
     keyed = files.withColumn("key", F.concat_ws("/", "project", "path"))
     stored = spark.createDataFrame([], cache.CACHE) if not _exists(spark, cache_path) else spark.read.schema(cache.CACHE).parquet(cache_path)
-    _, todo = cache.split_by_cache(keyed, stored, now)
+    todo = cut_lineage(cache.cache_todo(keyed, stored, now))
     made = (summarize or summaries.summarize_files)(todo.select("project", "path", "content"))
     hashes = todo.select("project", "path", "key", "content_hash")
     rows = made.join(hashes, ["project", "path"]).select(
