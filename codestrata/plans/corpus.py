@@ -12,7 +12,7 @@ from codestrata.sources import views
 
 
 @query("file_stats", """WITH $CORPUS
-SELECT project, count(*) AS total_files, sum(size) AS total_bytes,
+SELECT project, count(*) AS total_files, CAST(sum(size) AS BIGINT) AS total_bytes,
        round(sum(size) / 1048576.0, 6) AS total_size_mb
 FROM facts GROUP BY project""")
 def q_file_stats(spark, sf):
@@ -34,7 +34,7 @@ def q_folder_count(spark, sf):
 
 
 @query("file_facts", """WITH $REPOS
-SELECT project, path, size, ext, base, parent, len(path) - len(replace(path, '/', '')) AS depth FROM facts""")
+SELECT project, path, size, ext, base, parent, CAST(len(path) - len(replace(path, '/', '')) AS INTEGER) AS depth FROM facts""")
 def q_file_facts(spark, sf):
     return filters.file_facts(views.repos(spark, sf)).drop("content")
 
@@ -172,7 +172,7 @@ def q_important(spark, sf):
 
 
 @query("key_files_top8", f"""WITH $REPOS
-SELECT project, path, row_number() OVER (PARTITION BY project ORDER BY path) AS rank
+SELECT project, path, CAST(row_number() OVER (PARTITION BY project ORDER BY path) AS INTEGER) AS rank
 FROM facts WHERE {has_any('lpath', fixed.KEY_FILE_TOKENS)}
 QUALIFY rank <= {fixed.KEY_FILE_LIMIT}""")
 def q_key_files(spark, sf):

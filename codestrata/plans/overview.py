@@ -76,7 +76,7 @@ def is_incomplete():
 lg AS (SELECT project, CASE ext WHEN '' THEN 'Other' ELSE language END AS language, count(*) AS n FROM (
    SELECT f.project, f.ext, coalesce(s.language, 'Other') AS language FROM facts f LEFT JOIN (SELECT DISTINCT regexp_extract(path, '\\.[^./]*$') AS ext, language FROM fsum) s ON lower(s.ext) = f.ext) x GROUP BY ALL),
 o AS (
-SELECT t.project, (SELECT count(*) FROM files f WHERE f.project = t.project) AS total_files, (SELECT sum(size) FROM facts f WHERE f.project = t.project) AS total_bytes,
+SELECT t.project, (SELECT count(*) FROM files f WHERE f.project = t.project) AS total_files, (SELECT CAST(sum(size) AS BIGINT) FROM facts f WHERE f.project = t.project) AS total_bytes,
   t.primary_type, t.confidence, (SELECT count(*) FROM services s WHERE s.project = t.project) AS n_services, (SELECT count(*) FROM best b WHERE b.project = t.project) AS n_edges,
   (SELECT count(*) FROM live l WHERE l.project = t.project) AS n_tables, (SELECT count(*) FROM annotated l WHERE l.project = t.project) AS n_columns,
   (SELECT count(*) FROM annotated l WHERE l.project = t.project AND is_fk) AS n_references, c.total_variables, c.required_count,

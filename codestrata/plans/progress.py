@@ -33,7 +33,7 @@ def q_stalls_30(spark, sf):
 
 @query("progress_sessions", f"""WITH $PROGRESS,
 g AS (SELECT *, CASE WHEN ts > lag(ts) OVER w + INTERVAL {_GAP} SECOND THEN 1 ELSE 0 END AS gap FROM progress WINDOW w AS (PARTITION BY run_id ORDER BY ts, seq)),
-s AS (SELECT *, sum(gap) OVER (PARTITION BY run_id ORDER BY ts, seq) AS session_no FROM g)
+s AS (SELECT *, CAST(sum(gap) OVER (PARTITION BY run_id ORDER BY ts, seq) AS BIGINT) AS session_no FROM g)
 SELECT run_id, session_no, min(ts) AS started_at, max(ts) AS ended_at, count(*) AS n_events, arg_max(progress, (ts, seq)) AS last_progress,
   count(*) FILTER (type = 'complete') = 0 AS stalled FROM s GROUP BY ALL""")
 def q_sessions(spark, sf):

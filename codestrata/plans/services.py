@@ -355,6 +355,12 @@ def _edges(spark, sf):
     return services, edges.service_edges(files, services)
 
 
+@query("file_owners", "WITH $REPOS, $EDGES SELECT project, path, owner FROM owner")
+def q_owners(spark, sf):
+    files = views.repos(spark, sf)
+    return edges.with_owner(files.select("project", "path"), edges.aliases(_found(files))).withColumnRenamed("from", "owner")
+
+
 @query("edges_all", "WITH $REPOS, $EDGES SELECT * FROM edges")
 def q_edges(spark, sf):
     return _edges(spark, sf)[1]

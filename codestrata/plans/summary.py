@@ -31,15 +31,15 @@ fsum AS MATERIALIZED (
   SELECT project, path, folder, language, CASE WHEN p0 <> '' THEN p0 ELSE language || ' file ' || base END AS purpose,
     CASE WHEN tokens < {summaries.LOW_TOKENS} THEN 'low' WHEN tokens < {summaries.MEDIUM_TOKENS} THEN 'medium' ELSE 'high' END AS complexity,
     {_distinct3("ts")} AS key_types, {_distinct3("ims")} AS imports, tokens, lines FROM fsum0),
-lc AS (SELECT project, folder, language, count(*) AS n, sum(tokens) AS tokens, sum(lines) AS lines, count(*) FILTER (complexity = 'high') AS n_complex FROM fsum GROUP BY ALL),
+lc AS (SELECT project, folder, language, count(*) AS n, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(lines) AS BIGINT) AS lines, count(*) FILTER (complexity = 'high') AS n_complex FROM fsum GROUP BY ALL),
 folders AS MATERIALIZED (
   SELECT project, folder, string_agg(language || ':' || n, ',' ORDER BY language) AS languages, first(language ORDER BY n DESC, language) AS primary_language,
-    sum(n) AS n_files, sum(tokens) AS tokens, sum(lines) AS lines, sum(n_complex) AS n_complex FROM lc GROUP BY ALL),
+    CAST(sum(n) AS BIGINT) AS n_files, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(lines) AS BIGINT) AS lines, CAST(sum(n_complex) AS BIGINT) AS n_complex FROM lc GROUP BY ALL),
 foldersum AS MATERIALIZED (SELECT *, primary_language || CASE WHEN {has_any('lower(folder)', fixed.SERVICE_FOLDER_TOKENS)} THEN ' service folder' ELSE ' folder' END AS purpose FROM folders),
-pl AS (SELECT project, language, sum(n) AS n, sum(tokens) AS tokens, sum(lines) AS lines, sum(n_complex) AS n_complex FROM lc GROUP BY ALL),
+pl AS (SELECT project, language, sum(n) AS n, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(lines) AS BIGINT) AS lines, CAST(sum(n_complex) AS BIGINT) AS n_complex FROM lc GROUP BY ALL),
 projsum AS (
   SELECT project, string_agg(language || ':' || n, ',' ORDER BY language) AS languages, first(language ORDER BY n DESC, language) AS primary_language,
-    sum(n) AS n_files, sum(tokens) AS tokens, sum(lines) AS lines, sum(n_complex) AS n_complex,
+    CAST(sum(n) AS BIGINT) AS n_files, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(lines) AS BIGINT) AS lines, CAST(sum(n_complex) AS BIGINT) AS n_complex,
     (SELECT count(*) FROM folders f WHERE f.project = pl.project) AS n_folders FROM pl GROUP BY ALL)""")
 
 
@@ -74,14 +74,14 @@ def q_projects(spark, sf):
 
 
 @query("rollup_summary", """WITH $REPOS, $SUMMARIES
-SELECT project, folder, CAST(grouping(project, folder) AS INTEGER) AS level, count(*) AS n_files, sum(tokens) AS tokens, sum(lines) AS lines FROM fsum GROUP BY ROLLUP (project, folder)""")
+SELECT project, folder, CAST(grouping(project, folder) AS INTEGER) AS level, count(*) AS n_files, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(lines) AS BIGINT) AS lines FROM fsum GROUP BY ROLLUP (project, folder)""")
 def q_rollup(spark, sf):
     return summaries.rollup_summary(_file_summaries(spark, sf))
 
 
 @query("rollup_corpus", """WITH $CORPUS
 SELECT project, split_part(path, '/', 2) AS folder, CAST(grouping(project, folder) AS INTEGER) AS level, count(*) AS n_files,
-  sum(CAST(floor(len(content) / 3) AS INTEGER) + 10) AS tokens FROM files GROUP BY ROLLUP (project, folder)""")
+  CAST(sum(CAST(floor(len(content) / 3) AS INTEGER) + 10) AS BIGINT) AS tokens FROM files GROUP BY ROLLUP (project, folder)""")
 def q_rollup_corpus(spark, sf):
     files = views.corpus(spark, sf).select("project", F.element_at(text.segments("path"), 2).alias("folder"), text.token_estimate("content").alias("tokens"))
     return files.rollup("project", "folder").agg(
@@ -205,7 +205,7 @@ def q_questions(spark, sf):
 @query("qa_pairs", f"""WITH p AS (
   SELECT conv_id, turn, role, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS question, trim(lead(text) OVER w, ' ' || chr(9) || chr(10) || chr(13)) AS answer, lead(role) OVER w AS r2
   FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
-SELECT conv_id, turn, question, answer, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rank
+SELECT conv_id, turn, question, answer, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS rank
 FROM p WHERE role = 'user' AND r2 = 'assistant' AND question <> '' AND answer <> '' QUALIFY rank <= {fixed.QUESTION_LIMIT}""")
 def q_qa(spark, sf):
     turns = views.table(spark, sf, "conversations")
