@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codestrata.llm import exact_dedup
+from codestrata.llm import exact_dedup, kd_shards, simhash
 from codestrata.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": lambda spark, sf: exact_dedup.op1(documents(spark, sf)),
+    "op2_kd_shards": lambda spark, sf: kd_shards.op2(documents(spark, sf)),
+    "op9_simhash": lambda spark, sf: simhash.op9(documents(spark, sf)),
 }
 
 ORACLES: dict[str, str] = {
