@@ -34,6 +34,7 @@ class Mph:
         self.bits = np.unpackbits(np.frombuffer(packed, np.uint8), count=sum(self.sizes)).astype(bool)
         self.rank = np.cumsum(self.bits) - 1
         self.starts = [0, *np.cumsum(self.sizes).tolist()]
+        self._one: tuple[bytes, list[int]] | None = None
 
     @classmethod
     def build(cls, keys: np.ndarray) -> Mph:
@@ -64,11 +65,14 @@ class Mph:
 
     def slot(self, a: int, b: int) -> int:
         """``slots`` for one key."""
+        if self._one is None:
+            self._one = self.bits.tobytes(), self.rank.tolist()
+        bits, rank = self._one
         for level, size in enumerate(self.sizes):
             x = a ^ ((level + 1) * _STEP & _MASK)
             x = (((x ^ (x >> 30)) * _A) + b) & _MASK
             x = ((x ^ (x >> 27)) * _B) & _MASK
             at = (x ^ (x >> 31)) % size + self.starts[level]
-            if self.bits[at]:
-                return int(self.rank[at])
+            if bits[at]:
+                return rank[at]
         return -1

@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from codestrata.llm import exact_dedup, kd_shards, simhash
+from codestrata.llm import bpe, exact_dedup, kd_shards, simhash
 from codestrata.llm.common import documents
 
+#: Public vocabularies, as installed on every machine.
+BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": lambda spark, sf: exact_dedup.op1(documents(spark, sf)),
     "op2_kd_shards": lambda spark, sf: kd_shards.op2(documents(spark, sf)),
+    "op3_byte_bpe": lambda spark, sf: bpe.op3(documents(spark, sf), BPE_RANKS, public_tokenizers.PATTERN),
     "op9_simhash": lambda spark, sf: simhash.op9(documents(spark, sf)),
 }
 
