@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from codestrata.llm import bpe, exact_dedup, kd_shards, langid, simhash
+from codestrata.llm import bpe, decontaminate, exact_dedup, kd_shards, langid, simhash
 from codestrata.llm.common import documents
 
 #: Public vocabularies, as installed on every machine.
@@ -17,6 +17,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": lambda spark, sf: exact_dedup.op1(documents(spark, sf)),
     "op2_kd_shards": lambda spark, sf: kd_shards.op2(documents(spark, sf)),
     "op3_byte_bpe": lambda spark, sf: bpe.op3(documents(spark, sf), BPE_RANKS, public_tokenizers.PATTERN),
+    "op4_decontaminate": lambda spark, sf: decontaminate.contaminated(
+        documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet")),
     "op6_language_id": lambda spark, sf: langid.op6(documents(spark, sf)),
     "op9_simhash": lambda spark, sf: simhash.op9(documents(spark, sf)),
 }
