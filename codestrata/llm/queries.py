@@ -7,11 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from codestrata.llm import bpe, decontaminate, exact_dedup, kd_shards, langid, simhash
+from codestrata.llm import bpe, decontaminate, exact_dedup, kd_shards, langid, simhash, token_counts
 from codestrata.llm.common import documents
 
 #: Public vocabularies, as installed on every machine.
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+COUNTED = public_tokenizers.path("byte_bpe_50k.json")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": lambda spark, sf: exact_dedup.op1(documents(spark, sf)),
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": lambda spark, sf: decontaminate.contaminated(
         documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet")),
     "op6_language_id": lambda spark, sf: langid.op6(documents(spark, sf)),
+    "op7_token_counts": lambda spark, sf: token_counts.op7(documents(spark, sf), COUNTED),
     "op9_simhash": lambda spark, sf: simhash.op9(documents(spark, sf)),
 }
 
