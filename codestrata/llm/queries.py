@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from codestrata.llm import bpe, decontaminate, exact_dedup, kd_shards, langid, simhash, substring_dedup, token_counts
+from codestrata.llm import bpe, decontaminate, exact_dedup, kd_shards, langid, license_scan, simhash, substring_dedup, token_counts
 from codestrata.llm.common import documents
 
 #: Public vocabularies, as installed on every machine.
@@ -24,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_counts": lambda spark, sf: token_counts.op7(documents(spark, sf), COUNTED),
     "op8_substring_dedup": lambda spark, sf: substring_dedup.repeated_spans(documents(spark, sf)),
     "op9_simhash": lambda spark, sf: simhash.op9(documents(spark, sf)),
+    "op10_license_scan": lambda spark, sf: license_scan.op10(documents(spark, sf)),
 }
 
 ORACLES: dict[str, str] = {
