@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from codestrata.llm import bpe, decontaminate, exact_dedup, kd_shards, langid, license_scan, simhash, substring_dedup, token_counts
+from codestrata.llm import bpe, decontaminate, exact_dedup, kd_shards, langid, license_scan, line_dedup, simhash, substring_dedup, token_counts
 from codestrata.llm.common import documents
 
 #: Public vocabularies, as installed on every machine.
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": lambda spark, sf: bpe.op3(documents(spark, sf), BPE_RANKS, public_tokenizers.PATTERN),
     "op4_decontaminate": lambda spark, sf: decontaminate.contaminated(
         documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet")),
+    "op5_line_dedup": lambda spark, sf: line_dedup.decisions(documents(spark, sf)),
     "op6_language_id": lambda spark, sf: langid.op6(documents(spark, sf)),
     "op7_token_counts": lambda spark, sf: token_counts.op7(documents(spark, sf), COUNTED),
     "op8_substring_dedup": lambda spark, sf: substring_dedup.repeated_spans(documents(spark, sf)),
