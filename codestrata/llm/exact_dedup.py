@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.llm.common import attach, parts, ship
+from codestrata.llm.common import attach, parts, ship, without
 from codestrata.llm.mph import Mph, as_keys
 from codestrata.session import cut_lineage
 
@@ -134,3 +134,9 @@ def op1(docs: DataFrame) -> DataFrame:
     rows = cut_lineage(digests(docs))
     return dedup(rows, older_half(rows)).select(
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """Documents that are the first of equal texts, with all their columns."""
+    rows = cut_lineage(digests(docs))
+    return without(docs, dedup(rows, older_half(rows)).filter("not kept"))

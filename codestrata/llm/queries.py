@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": lambda spark, sf: substring_dedup.repeated_spans(documents(spark, sf)),
     "op9_simhash": lambda spark, sf: simhash.op9(documents(spark, sf)),
     "op10_license_scan": lambda spark, sf: license_scan.op10(documents(spark, sf)),
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {
