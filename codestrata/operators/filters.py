@@ -24,15 +24,16 @@ def file_facts(files: DataFrame) -> DataFrame:
 # --- predicates ----------------------------------------------------------------
 
 def in_pruned_dir(path: Column | str, tokens: Sequence[str] = fixed.PRUNED_DIRS,
-                  max_depth: int = fixed.MAX_DEPTH) -> Column:
-    """True when a folder above the file is pruned.
+                  max_depth: int | None = fixed.MAX_DEPTH) -> Column:
+    """True when a folder above the file is pruned; no depth is too much if ``max_depth`` is None.
 
     Folder tests look for a token anywhere in the folder path, and every
     ancestor is a prefix of the direct parent; testing the parent is enough.
     """
     parent = text.dirname(path)
     nested = F.instr(text.col(path), "/") > 0
-    return nested & (text.contains_any(F.lower(parent), tokens) | (text.slashes(parent) > max_depth))
+    named = text.contains_any(F.lower(parent), tokens)
+    return nested & (named if max_depth is None else named | (text.slashes(parent) > max_depth))
 
 
 def is_noise(path: Column | str) -> Column:
@@ -43,8 +44,11 @@ def is_noise(path: Column | str) -> Column:
     return hit | text.ends_with_any(low, fixed.NOISE_SUFFIXES)
 
 
-def is_supported(path: Column | str, exts: Sequence[str] | None = fixed.SUPPORTED_EXTS) -> Column:
-    return F.lit(True) if exts is None else text.extension(path).isin(list(exts))
+def is_supported(path: Column | str, exts: Sequence[str] | None = fixed.SUPPORTED_EXTS, names: Sequence[str] = ()) -> Column:
+    """By extension or, in any case, by file name; every file if ``exts`` is None."""
+    if exts is None:
+        return F.lit(True)
+    return text.extension(path).isin(list(exts)) | F.lower(text.basename(path)).isin(list(names))
 
 
 def is_secret_file(path: Column | str, globs: Sequence[str] = fixed.SECRET_FILE_GLOBS) -> Column:
@@ -58,7 +62,7 @@ def within_size(size: Column | str, mb: float = fixed.MAX_FILE_MB) -> Column:
 # --- filters -------------------------------------------------------------------
 
 def prune_dirs(files: DataFrame, tokens: Sequence[str] = fixed.PRUNED_DIRS,
-               max_depth: int = fixed.MAX_DEPTH) -> DataFrame:
+               max_depth: int | None = fixed.MAX_DEPTH) -> DataFrame:
     return files.filter(~in_pruned_dir("path", tokens, max_depth))
 
 
@@ -66,11 +70,13 @@ def drop_noise(files: DataFrame) -> DataFrame:
     return files.filter(~is_noise("path"))
 
 
-def supported(files: DataFrame, exts: Sequence[str] | None = fixed.SUPPORTED_EXTS) -> DataFrame:
-    return files.filter(is_supported("path", exts))
+def supported(files: DataFrame, exts: Sequence[str] | None = fixed.SUPPORTED_EXTS, names: Sequence[str] = ()) -> DataFrame:
+    return files.filter(is_supported("path", exts, names))
 
 
-def size_cap(files: DataFrame, mb: float = fixed.MAX_FILE_MB) -> DataFrame:
+def size_cap(files: DataFrame, mb: float | None = fixed.MAX_FILE_MB) -> DataFrame:
+    if mb is None:
+        return files
     size = F.col("size") if "size" in files.columns else F.octet_length("content")
     return files.filter(within_size(size, mb))
 
@@ -89,10 +95,10 @@ def redact_lines(df: DataFrame, column: str) -> DataFrame:
 
 # --- selections ------------------------------------------------------------------
 
-def important_files(files: DataFrame, chars: int = fixed.IMPORTANT_CHARS) -> DataFrame:
-    low = F.lower("path")
-    return (files.filter(text.contains_any(low, fixed.IMPORTANT_TOKENS))
-            .withColumn("content", text.truncated("content", chars)))
+def important_files(files: DataFrame, chars: int | None = None) -> DataFrame:
+    """Files that describe a project; ``chars`` cuts their texts, whole ones are kept by default."""
+    kept = files.filter(text.contains_any(F.lower("path"), fixed.IMPORTANT_TOKENS))
+    return kept if chars is None else kept.withColumn("content", text.truncated("content", chars))
 
 
 def is_key_file(path: Column | str) -> Column:
@@ -130,9 +136,13 @@ def migration_files(files: DataFrame) -> DataFrame:
     return files.filter(is_migration())
 
 
-def detection_files(files: DataFrame, max_bytes: int = fixed.DETECTION_MAX_BYTES) -> DataFrame:
-    """Type-detection input: all files outside build folders, content of manifests only."""
-    keep = (F.lower(text.basename("path")).isin(fixed.DETECTION_MANIFESTS)
-            & (F.octet_length("content") < max_bytes))
+def detection_files(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Type-detection input: all files outside build folders, content of manifests only.
+
+    ``max_bytes`` leaves out the content of larger manifests; none is left out by default.
+    """
+    keep = F.lower(text.basename("path")).isin(fixed.DETECTION_MANIFESTS)
+    if max_bytes is not None:
+        keep = keep & (F.octet_length("content") < max_bytes)
     return (files.filter(~text.contains_any("path", fixed.DETECTION_IGNORE))
             .withColumn("content", F.when(keep, F.col("content"))))

@@ -106,7 +106,7 @@ def with_ignored(files: DataFrame, rules: DataFrame | None = None,
 
 def apply_ignore(files: DataFrame, rules: DataFrame | None = None,
                  defaults: Sequence[str] = tuple(fixed.DEFAULT_IGNORE),
-                 broadcast_bytes: int = 256 << 20) -> DataFrame:
+                 broadcast_bytes: int = 32 << 20) -> DataFrame:
     """Drop ignored files.
 
     Rules up to ``broadcast_bytes`` travel to the files, which then never move.

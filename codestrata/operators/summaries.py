@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from codestrata.functions import fixed, services, text, verdicts
 from codestrata.operators import filters, tables
-from codestrata.operators.stats import first_chunk
 
 # Extension to language; anything else is "Other".
 LANGUAGES = {
@@ -69,27 +68,33 @@ def folder_of(path: Column | str) -> Column:
     return F.when(parent == ".", "root").otherwise(parent)
 
 
-def summarize_files(files: DataFrame, fn: Callable | None = None,
-                    max_tokens: int = fixed.CHUNK_TOKENS) -> DataFrame:
-    """One summary per non-empty file, read from its first chunk.
+def summarize_files(files: DataFrame, fn: Callable | None = None, top_n: int | None = None) -> DataFrame:
+    """One summary per non-empty file, over its whole text.
 
+    ``top_n`` cuts the lists of types and imports; all are kept by default.
     ``fn`` replaces the default: a ``mapInPandas`` function over
-    ``(project, path, n_chunks, content)`` that yields ``FILE_SUMMARY`` columns.
+    ``(project, path, content)`` that yields ``FILE_SUMMARY`` columns; a model with
+    a limit on its input takes ``stats.chunk_rows`` or ``stats.first_chunk`` instead.
     """
-    heads = first_chunk(files, max_tokens)
+    texts = files.select("project", "path", "content").filter(F.col("content") != "")
     if fn is not None:
-        return heads.mapInPandas(fn, FILE_SUMMARY)
+        return texts.mapInPandas(fn, FILE_SUMMARY)
     body, base = F.col("content"), text.basename("path")
     tokens = text.token_estimate(body)
     found = F.regexp_extract(body, PURPOSE, 1)
     language = language_of("path")
     imports = F.concat(*[F.regexp_extract_all(body, F.lit(p), F.lit(1)) for p in IMPORTS])
-    return heads.select(
+
+    def listed(c: Column) -> Column:
+        every = F.array_distinct(c)
+        return every if top_n is None else F.slice(every, 1, top_n)
+
+    return texts.select(
         "project", "path", folder_of("path").alias("folder"), language.alias("language"),
         F.when(found != "", found).otherwise(F.concat(language, F.lit(" file "), base)).alias("purpose"),
         F.when(tokens < LOW_TOKENS, "low").when(tokens < MEDIUM_TOKENS, "medium").otherwise("high").alias("complexity"),
-        F.slice(F.array_distinct(F.regexp_extract_all(body, F.lit(TYPES), F.lit(1))), 1, 3).alias("key_types"),
-        F.slice(F.array_distinct(imports), 1, 3).alias("imports"),
+        listed(F.regexp_extract_all(body, F.lit(TYPES), F.lit(1))).alias("key_types"),
+        listed(imports).alias("imports"),
         tokens.alias("tokens"), text.line_count(body).alias("lines"))
 
 

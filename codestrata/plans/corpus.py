@@ -126,32 +126,44 @@ def q_supported_files(spark, sf):
     return filters.size_cap(files).select("project", "path")
 
 
-def crawl(files, own_rules: bool = True):
+define("REDACTED", """array_to_string(list_transform(string_split(content, chr(10)), lambda l:
+  CASE WHEN contains(lower(l), 'api_key') OR contains(lower(l), 'password') OR contains(lower(l), 'secret') OR contains(lower(l), 'token')
+       THEN CASE WHEN strpos(l, ':') > 0 THEN split_part(l, ':', 1) || ': [REDACTED]'
+                 WHEN strpos(l, '=') > 0 THEN split_part(l, '=', 1) || '=[REDACTED]' ELSE l END
+       ELSE l END), chr(10))""")
+
+
+INTAKE_EXTS = fixed.SUPPORTED_EXTS + fixed.INTAKE_EXTS
+
+
+def crawl(files, own_rules: bool = True, exts=INTAKE_EXTS, names=fixed.INTAKE_NAMES, mb=fixed.MAX_FILE_MB,
+          max_depth=fixed.MAX_DEPTH, secret_globs=fixed.SECRET_FILE_GLOBS, redact: bool = True):
     """The whole intake: ignore rules, pruning, noise, size, extension and secret filters, redaction.
 
+    None switches a limit off: ``exts``, ``mb`` (megabytes of a file) and ``max_depth``. The
+    intake is meant for text facts; configuration is read from the files as they are, see ``overview.analyze``.
     The parsed rules are written first, so that their size is known to the join.
     """
     rules = cut_lineage(ignore.parse_ignore(files)) if own_rules else None
-    kept = filters.skip_secret_files(filters.supported(filters.drop_noise(filters.prune_dirs(files))))
-    return filters.redact(filters.size_cap(ignore.apply_ignore(kept, rules)))
+    kept = filters.supported(filters.drop_noise(filters.prune_dirs(files, max_depth=max_depth)), exts, names)
+    if secret_globs:
+        kept = filters.skip_secret_files(kept, secret_globs)
+    kept = filters.size_cap(ignore.apply_ignore(kept, rules), mb)
+    return filters.redact(kept) if redact else kept
 
 
-@query("crawl", f"""WITH $REPOS, $IGNORE_CTES
-SELECT m.project, m.path FROM marks m JOIN facts f ON f.project = m.project AND f.path = m.path
+define("INTAKE", f"""intake AS MATERIALIZED (
+SELECT f.*, $REDACTED AS redacted FROM marks m JOIN facts f ON f.project = m.project AND f.path = m.path
 WHERE NOT file_ignored AND NOT tree_ignored AND NOT $PRUNED AND NOT $NOISE AND NOT $SECRET_FILE
-  AND ext IN {sql_list(fixed.SUPPORTED_EXTS)} AND size <= {fixed.MAX_FILE_MB} * 1048576""")
-def q_crawl(spark, sf):
-    return crawl(views.repos(spark, sf)).select("project", "path")
+  AND (ext IN {sql_list(INTAKE_EXTS)} OR lbase IN {sql_list(fixed.INTAKE_NAMES)}) AND size <= {fixed.MAX_FILE_MB} * 1048576)""")
 
 
-# --- redaction, selections --------------------------------------------------------
+@query("crawl", "WITH $REPOS, $IGNORE_CTES, $INTAKE SELECT project, path, redacted AS content FROM intake")
+def q_crawl(spark, sf):
+    return crawl(views.repos(spark, sf)).select("project", "path", "content")
 
-define("REDACTED", """array_to_string(list_transform(string_split(content, chr(10)), lambda l:
-  CASE WHEN contains(lower(l), 'api_key') OR contains(lower(l), 'password') OR contains(lower(l), 'secret') OR contains(lower(l), 'token')
-       THEN CASE WHEN strpos(l, ':') > 0 THEN split_part(l, ':', 1) || ': [REDACTED]'
-                 WHEN strpos(l, '=') > 0 THEN split_part(l, '=', 1) || '=[REDACTED]' ELSE l END
-       ELSE l END), chr(10))""")
 
+# --- redaction, selections --------------------------------------------------------
 
 @query("redact_lines", "WITH $CORPUS SELECT project, path, $REDACTED AS content FROM files")
 def q_redact(spark, sf):
@@ -168,6 +180,12 @@ SELECT project, path, CASE WHEN len(content) > {fixed.IMPORTANT_CHARS}
   THEN left(content, {fixed.IMPORTANT_CHARS}) || '...' ELSE content END AS content
 FROM facts WHERE {has_any('lpath', fixed.IMPORTANT_TOKENS)}""")
 def q_important(spark, sf):
+    return filters.important_files(views.repos(spark, sf), fixed.IMPORTANT_CHARS)
+
+
+@query("important_files_whole", f"""WITH $REPOS
+SELECT project, path, content FROM facts WHERE {has_any('lpath', fixed.IMPORTANT_TOKENS)}""")
+def q_important_whole(spark, sf):
     return filters.important_files(views.repos(spark, sf))
 
 
@@ -191,8 +209,7 @@ def q_file_roles(spark, sf):
 
 
 @query("detection_files", f"""WITH $REPOS
-SELECT project, path, CASE WHEN lbase IN {sql_list(fixed.DETECTION_MANIFESTS)} AND size < {fixed.DETECTION_MAX_BYTES}
-  THEN content END AS content
+SELECT project, path, CASE WHEN lbase IN {sql_list(fixed.DETECTION_MANIFESTS)} THEN content END AS content
 FROM facts WHERE NOT {has_any('path', fixed.DETECTION_IGNORE)}""")
 def q_detection_files(spark, sf):
     return filters.detection_files(views.repos(spark, sf))

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from codestrata.operators import config, ddl, detection, discovery, edges, stats, summaries
 from codestrata.operators.scan import scan
-from codestrata.plans.registry import query
+from codestrata.plans import config as _config  # noqa: F401  its query is the check of intake_config
+from codestrata.plans.corpus import crawl
+from codestrata.plans.registry import ORACLES, query
 from codestrata.session import cut_lineage
 from codestrata.sources import views
 
@@ -27,14 +29,23 @@ class Analysis:
     files: DataFrame
 
 
-def analyze(files: DataFrame) -> Analysis:
-    """All fact tables; file contents are read once, by the scan."""
+def analyze(files: DataFrame, intake: DataFrame | None = None) -> Analysis:
+    """All fact tables; file contents are read once, by the scan.
+
+    ``files`` are the raw files: types, services, edges, migrations and configuration are
+    found in them, as ``.env`` files, Makefiles and manifests must be seen unredacted.
+    ``intake`` is what ``corpus.crawl`` keeps of them; sizes and languages are those of the
+    intake, or of all files if there is none.
+    """
     scanned = cut_lineage(scan(files))
+    kept = scanned
+    if intake is not None:
+        kept = cut_lineage(intake.select("project", "path", F.octet_length("content").cast("bigint").alias("size")))
     services = cut_lineage(discovery.discover_services(scanned))
-    languages = (scanned.groupBy("project", summaries.language_of("path").alias("language"))
+    languages = (kept.groupBy("project", summaries.language_of("path").alias("language"))
                  .agg(F.count("*").alias("n_files")))
     return Analysis(
-        stats=stats.file_stats(scanned), types=detection.project_type(scanned), services=services,
+        stats=stats.file_stats(kept), types=detection.project_type(scanned), services=services,
         edges=edges.dedup_edges(edges.service_edges(scanned, services)),
         schema=ddl.Schema(scanned, persist=True), config_totals=config.config_totals(scanned),
         languages=languages, files=scanned)
@@ -72,7 +83,7 @@ def is_incomplete():
     return ((F.col("primary_type") == "") & (F.col("total_files") == 0) & (F.col("n_languages") == 0))
 
 
-@query("overview", """WITH $REPOS, $RULES, $MANIFEST, $STARTUP, $TYPED, $EDGES, $DDL, $CONFIG, $SUMMARIES,
+_OVERVIEW = """WITH $REPOS, $RULES, $MANIFEST, $STARTUP, $TYPED, $EDGES, $DDL, $CONFIG, $SUMMARIES,
 lg AS (SELECT project, CASE ext WHEN '' THEN 'Other' ELSE language END AS language, count(*) AS n FROM (
    SELECT f.project, f.ext, coalesce(s.language, 'Other') AS language FROM facts f LEFT JOIN (SELECT DISTINCT regexp_extract(path, '\\.[^./]*$') AS ext, language FROM fsum) s ON lower(s.ext) = f.ext) x GROUP BY ALL),
 o AS (
@@ -85,6 +96,36 @@ FROM typed t JOIN ctotals c ON c.project = t.project)
 SELECT project, total_files, total_bytes, primary_type, confidence, n_services, CASE WHEN n_services > 1 THEN n_edges ELSE 0 END AS n_edges,
   CASE WHEN primary_type IN ('Backend', 'Fullstack') THEN n_tables ELSE 0 END AS n_tables, CASE WHEN primary_type IN ('Backend', 'Fullstack') THEN n_columns ELSE 0 END AS n_columns,
   CASE WHEN primary_type IN ('Backend', 'Fullstack') THEN n_references ELSE 0 END AS n_references, total_variables, required_count, n_languages, primary_language,
-  CAST(round(confidence * 10) AS INTEGER) AS confidence_percent, CASE WHEN n_services > 1 THEN 'microservices' ELSE 'monolith' END AS architecture, false AS is_incomplete FROM o""")
+  CAST(round(confidence * 10) AS INTEGER) AS confidence_percent, CASE WHEN n_services > 1 THEN 'microservices' ELSE 'monolith' END AS architecture, false AS is_incomplete FROM o"""
+
+
+@query("overview", _OVERVIEW)
 def q_overview(spark, sf):
     return overview(analyze(views.repos(spark, sf)))
+
+
+# --- from raw files to facts: intake and analysis as one flow -----------------------------
+
+_INTAKE_OVERVIEW = (_OVERVIEW.replace("$SUMMARIES,", "$SUMMARIES, $IGNORE_CTES, $INTAKE,")
+                    .replace("FROM facts f LEFT JOIN", "FROM intake f LEFT JOIN")
+                    .replace("(SELECT count(*) FROM files f WHERE f.project = t.project)", "(SELECT count(*) FROM intake f WHERE f.project = t.project)")
+                    .replace("CAST(sum(size) AS BIGINT) FROM facts f", "CAST(sum(strlen(redacted)) AS BIGINT) FROM intake f"))
+
+
+@query("intake_overview", _INTAKE_OVERVIEW)
+def q_intake_overview(spark, sf):
+    raw = views.repos(spark, sf)
+    return overview(analyze(raw, crawl(raw)))
+
+
+@query("intake_config", ORACLES["config_totals"])
+def q_intake_config(spark, sf):
+    """Variables that the projects require, from the raw walk, where ``.env`` files are still there."""
+    raw = views.repos(spark, sf)
+    return analyze(raw, crawl(raw)).config_totals
+
+
+@query("intake_services", "WITH $REPOS, $EDGES SELECT project, name, path FROM services")
+def q_intake_services(spark, sf):
+    raw = views.repos(spark, sf)
+    return analyze(raw, crawl(raw)).services.select("project", "name", "path")

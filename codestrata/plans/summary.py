@@ -14,9 +14,9 @@ _LANG = " ".join(f"WHEN '{e}' THEN '{n}'" for e, n in summaries.LANGUAGES.items(
 _IMPORTS = " || ".join(f"regexp_extract_all(content, {literal(p)}, 1)" for p in summaries.IMPORTS)
 
 
-def _distinct3(expr: str) -> str:
-    """First three distinct elements, in order of appearance."""
-    return f"list_filter({expr}, lambda x, i: list_position({expr}, x) = i)[1:3]"
+def _distinct(expr: str) -> str:
+    """Distinct elements, in order of appearance."""
+    return f"list_filter({expr}, lambda x, i: list_position({expr}, x) = i)"
 
 
 _KIND_CASE = " ".join(f"WHEN {has_any('lower(purpose)', words)} THEN '{kind}'" for words, kind in fixed.SERVICE_KINDS)
@@ -30,7 +30,7 @@ fsum0 AS MATERIALIZED (
 fsum AS MATERIALIZED (
   SELECT project, path, folder, language, CASE WHEN p0 <> '' THEN p0 ELSE language || ' file ' || base END AS purpose,
     CASE WHEN tokens < {summaries.LOW_TOKENS} THEN 'low' WHEN tokens < {summaries.MEDIUM_TOKENS} THEN 'medium' ELSE 'high' END AS complexity,
-    {_distinct3("ts")} AS key_types, {_distinct3("ims")} AS imports, tokens, lines FROM fsum0),
+    {_distinct("ts")} AS key_types, {_distinct("ims")} AS imports, tokens, lines FROM fsum0),
 lc AS (SELECT project, folder, language, count(*) AS n, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(lines) AS BIGINT) AS lines, count(*) FILTER (complexity = 'high') AS n_complex FROM fsum GROUP BY ALL),
 folders AS MATERIALIZED (
   SELECT project, folder, string_agg(language || ':' || n, ',' ORDER BY language) AS languages, first(language ORDER BY n DESC, language) AS primary_language,
@@ -53,6 +53,14 @@ def q_files(spark, sf):
     return _file_summaries(spark, sf).withColumns({c: F.array_join(c, ",") for c in ("key_types", "imports")})
 
 
+@query("file_summaries_corpus", """WITH $CORPUS, $SUMMARIES
+SELECT project, path, purpose, complexity, array_to_string(key_types, ',') AS key_types, array_to_string(imports, ',') AS imports, tokens, lines FROM fsum""")
+def q_files_corpus(spark, sf):
+    """Whole texts, also those of many chunks."""
+    found = summaries.summarize_files(views.corpus(spark, sf)).drop("folder", "language")
+    return found.withColumns({c: F.array_join(c, ",") for c in ("key_types", "imports")})
+
+
 @query("folder_summary", "WITH $REPOS, $SUMMARIES SELECT * FROM foldersum")
 def q_folders(spark, sf):
     return summaries.summarize_folders(_file_summaries(spark, sf))

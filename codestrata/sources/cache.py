@@ -46,25 +46,37 @@ def cache_read(spark: SparkSession, path: str, kind: str | None = None) -> DataF
     return latest(rows)
 
 
+def _newest(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Time and hash of the latest row of each key; results are neither read nor moved."""
+    return rows.groupBy(*keys).agg(F.max(F.struct("ts", "content_hash")).alias("c")).select(*keys, "c.content_hash", "c.ts")
+
+
 def latest(rows: DataFrame) -> DataFrame:
-    return (rows.groupBy("kind", "key").agg(F.max(F.struct("ts", "content_hash", "result")).alias("c"))
-            .select("kind", "key", "c.content_hash", "c.ts", "c.result"))
+    """Latest row per (kind, key). Of rows with one time and hash, the largest result counts."""
+    newest = _newest(rows, ["kind", "key"])
+    return rows.join(newest, ["kind", "key", "content_hash", "ts"], "left_semi").groupBy("kind", "key", "content_hash", "ts").agg(
+        F.max("result").alias("result")).select("kind", "key", "content_hash", "ts", "result")
 
 
-def _valid(cache: DataFrame, now: Column, kind: str, ttl_hours: int) -> DataFrame:
-    return (latest(cache).filter((F.col("kind") == kind) & ~text.is_expired("ts", now, ttl_hours))
-            .select("key", "content_hash", "result"))
+def _valid_keys(cache: DataFrame, now: Column, kind: str, ttl_hours: int) -> DataFrame:
+    """(key, content_hash, ts) of entries that are not too old."""
+    return _newest(cache.filter(F.col("kind") == kind), ["key"]).filter(~text.is_expired("ts", now, ttl_hours))
 
 
 def cache_hits(files: DataFrame, cache: DataFrame, now: Column, kind: str = "file",
                ttl_hours: int = fixed.CACHE_TTL_HOURS) -> DataFrame:
     """Stored results of files (with a ``key`` column) whose content has not changed."""
     hashed = files.withColumn("content_hash", text.content_hash("content")).drop("content")
-    return hashed.join(_valid(cache, now, kind, ttl_hours), ["key", "content_hash"])
+    hits = hashed.join(_valid_keys(cache, now, kind, ttl_hours), ["key", "content_hash"])
+    # only now the results of those keys are fetched
+    stored = cache.filter(F.col("kind") == kind).select("key", "content_hash", "ts", "result")
+    wanted = hits.select("key", "content_hash", "ts").distinct()
+    results = stored.join(wanted, ["key", "content_hash", "ts"], "left_semi").groupBy("key", "content_hash", "ts").agg(F.max("result").alias("result"))
+    return hits.join(results, ["key", "content_hash", "ts"]).drop("ts")
 
 
 def cache_todo(files: DataFrame, cache: DataFrame, now: Column, kind: str = "file",
-               ttl_hours: int = fixed.CACHE_TTL_HOURS, broadcast_bytes: int = 256 << 20) -> DataFrame:
+               ttl_hours: int = fixed.CACHE_TTL_HOURS, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """Files without a valid result: other content, no entry, or an entry too old.
 
     Contents are hashed where they are read and only (key, hash) pairs meet the
@@ -74,7 +86,7 @@ def cache_todo(files: DataFrame, cache: DataFrame, now: Column, kind: str = "fil
     """
     hashed = files.withColumn("content_hash", text.content_hash("content"))
     pairs = hashed.select("key", "content_hash")
-    missing = cut_lineage(pairs.join(_valid(cache, now, kind, ttl_hours), ["key", "content_hash"], "left_anti"))
+    missing = cut_lineage(pairs.join(_valid_keys(cache, now, kind, ttl_hours).drop("ts"), ["key", "content_hash"], "left_anti"))
     keys = missing.select("key")
     if size_in_bytes(missing) <= broadcast_bytes:
         keys = F.broadcast(keys)
