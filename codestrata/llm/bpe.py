@@ -17,17 +17,16 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.llm.common import ship, slices
 from codestrata.llm.mph import Mph, as_keys
-from codestrata.llm.pretokens import blocks
+from codestrata.llm.pretokens import Splitter
 
 #: Pre-tokens that a worker remembers, twice at most.
-REMEMBERED = 1 << 17
+REMEMBERED = 1 << 19
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -133,7 +132,7 @@ class Tokenizer:
     _made: dict[int, Tokenizer] = {}
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
-        self.vocabulary, self.pattern = Vocabulary(ranks), regex.compile(pattern)
+        self.vocabulary, self.splitter = Vocabulary(ranks), Splitter(pattern)
         self.pieces = Store(self.vocabulary.encode_piece)
 
     @classmethod
@@ -144,7 +143,7 @@ class Tokenizer:
 
     def encode(self, text: str | None) -> np.ndarray:
         get = self.pieces.__getitem__
-        return np.frombuffer(b"".join(b"".join(map(get, found)) for found in blocks(self.pattern, text or "")), "<i4")
+        return np.frombuffer(b"".join(b"".join(map(get, found)) for found in self.splitter.blocks(text or "")), "<i4")
 
 
 class Shared:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import islice
 
@@ -27,16 +28,43 @@ NEWER = (
 _NEWER = regex.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in NEWER) + "]")
 
 
-def blocks(pattern: regex.Pattern, text: str) -> Iterator[list[str]]:
-    """All matches in order; a long text gives several lists, so that few are held at a time."""
-    if not text.isascii() and _NEWER.search(text):
-        shadow = _NEWER.sub("\N{REPLACEMENT CHARACTER}", text)  # as long, and neither letter nor number
-        spans = (m.span() for m in pattern.finditer(shadow))
-        while found := [text[a:b] for a, b in islice(spans, BLOCK)]:
-            yield found
-    elif len(text) <= LONG_TEXT:
-        yield pattern.findall(text)
-    else:
+#: Texts of characters below this one are split by the standard library, with the classes written out.
+NARROW = 0x250
+_WIDE = re.compile(f"[^\0-{chr(NARROW - 1)}]")
+
+
+def _written_out(escape: str) -> str:
+    """A class of the pattern as ranges of narrow characters."""
+    return "".join(f"\\u{c:04x}" for c in range(NARROW) if regex.fullmatch(escape, chr(c)))
+
+
+def _narrow(pattern: str) -> re.Pattern | None:
+    """The same pattern for narrow texts; None if it holds classes that are not written out here."""
+    letter, number, white = _written_out(r"\p{L}"), _written_out(r"\p{N}"), _written_out(r"\s")
+    out = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{white}{letter}{number}]").replace(r"(?!\S)", f"(?![^{white}])")
+    out = out.replace(r"\p{L}", f"[{letter}]").replace(r"\p{N}", f"[{number}]").replace(r"\s", f"[{white}]")
+    return None if re.search(r"\\[pPsSwWdDbBX]", out) else re.compile(out)
+
+
+class Splitter:
+    """Cuts whole texts into pre-tokens."""
+
+    def __init__(self, pattern: str) -> None:
+        self.wide, self.narrow = regex.compile(pattern), _narrow(pattern)
+
+    def blocks(self, text: str) -> Iterator[list[str]]:
+        """All matches in order; a long text gives several lists, so that few are held at a time."""
+        narrow = text.isascii() or not _WIDE.search(text)
+        if not narrow and _NEWER.search(text):
+            shadow = _NEWER.sub("\N{REPLACEMENT CHARACTER}", text)  # as long, and neither letter nor number
+            spans = (m.span() for m in self.wide.finditer(shadow))
+            while found := [text[a:b] for a, b in islice(spans, BLOCK)]:
+                yield found
+            return
+        pattern = self.narrow if narrow and self.narrow else self.wide
+        if len(text) <= LONG_TEXT:
+            yield pattern.findall(text)
+            return
         matches = pattern.finditer(text)
         while found := [m[0] for m in islice(matches, BLOCK)]:
             yield found

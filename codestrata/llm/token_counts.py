@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from codestrata.llm.bpe import Shared
 from codestrata.llm.common import ship, slices
-from codestrata.llm.pretokens import blocks
+from codestrata.llm.pretokens import Splitter
 from codestrata.session import cut_lineage
 
 HEAD = 1 << 18
@@ -59,8 +59,8 @@ def _key(piece: str) -> str:
     return piece if len(data) <= KEY_BYTES else "\0" + hashlib.sha256(data).hexdigest()
 
 
-def _patterns(special: list[str]) -> tuple[regex.Pattern, regex.Pattern | None]:
-    return regex.compile(PATTERN), regex.compile("|".join(map(regex.escape, special))) if special else None
+def _patterns(special: list[str]) -> tuple[Splitter, regex.Pattern | None]:
+    return Splitter(PATTERN), regex.compile("|".join(map(regex.escape, special))) if special else None
 
 
 def pretoken_counts(docs: DataFrame, tokenizer: Shared, head: Shared) -> DataFrame:
@@ -70,7 +70,7 @@ def pretoken_counts(docs: DataFrame, tokenizer: Shared, head: Shared) -> DataFra
     the pre-tokens in ``head``.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pattern, special = _patterns(tokenizer.value[1])
+        splitter, special = _patterns(tokenizer.value[1])
         known = head.value
         for batch in slices(batches):
             rows, keys, freqs = [], [], []
@@ -78,7 +78,7 @@ def pretoken_counts(docs: DataFrame, tokenizer: Shared, head: Shared) -> DataFra
                 parts, n = _split(text or "", special)
                 seen: Counter = Counter()
                 for part in parts:
-                    for found in blocks(pattern, part):
+                    for found in splitter.blocks(part):
                         seen.update(found)
                 for piece, freq in seen.items():
                     key = piece if len(piece) <= KEY_BYTES // 4 else _key(piece)
@@ -100,7 +100,7 @@ def pretoken_counts(docs: DataFrame, tokenizer: Shared, head: Shared) -> DataFra
 def corpus_pieces(docs: DataFrame, tokenizer: Shared) -> DataFrame:
     """(key, piece, freq) over the corpus, piece null where it is the key; added up within each task before the shuffle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pattern, special = _patterns(tokenizer.value[1])
+        splitter, special = _patterns(tokenizer.value[1])
         seen: Counter = Counter()
 
         def out() -> pa.RecordBatch:
@@ -112,7 +112,7 @@ def corpus_pieces(docs: DataFrame, tokenizer: Shared) -> DataFrame:
         for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 for part in _split(text or "", special)[0]:
-                    for found in blocks(pattern, part):
+                    for found in splitter.blocks(part):
                         seen.update(found)
             if len(seen) > HEAD:
                 yield out()
