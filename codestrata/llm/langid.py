@@ -37,8 +37,8 @@ NONE = "und"
 BUCKETS = 1 << 17
 WIDTH = 16
 ORDERS = (2, 3, 4)
-SAMPLE = 1500
-SAMPLE_CHARS = 20_000
+SAMPLE = 800
+SAMPLE_CHARS = 8_000
 #: Languages with the most labelled rows that are learned at most.
 LANGUAGES = 200
 EPOCHS = 4
@@ -140,8 +140,12 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
             if len(words) > size:
                 at = int(rng.integers(len(words) - size))
                 examples.append((index[lang], " ".join(words[at:at + size]), test))
-    bags = [(y, np.unique(ngrams([text])[0], return_counts=True), test) for y, text, test in examples]
-    fit = [(y, b, c / c.sum()) for y, (b, c), test in bags if len(b) and not test]
+    fit = []
+    for y, text, test in examples:
+        if not test:
+            b, c = np.unique(ngrams([text])[0], return_counts=True)
+            if len(b):
+                fit.append((y, b.astype(np.int32), (c / c.sum()).astype(np.float32)))
     k = len(languages)
     embed = rng.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS, WIDTH)).astype(np.float32)
     layer, bias = np.zeros((WIDTH, k), np.float32), np.zeros(k, np.float32)
@@ -151,14 +155,14 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
         for i in rng.permutation(len(fit)):
             y, b, w = fit[i]
             known[b] = True
-            mean = w.astype(np.float32) @ embed[b]
+            mean = w @ embed[b]
             p = _softmax((mean @ layer + bias)[None])[0]
             p[y] -= 1
             rate = RATE * (1 - step / steps)
             back = layer @ p
             layer -= rate * np.outer(mean, p)
             bias -= rate * p
-            embed[b] -= (rate * WIDTH) * w[:, None].astype(np.float32) * back
+            embed[b] -= (rate * WIDTH) * w[:, None] * back
             step += 1
     model = Model(languages, np.column_stack([embed @ layer, known]).astype(np.float32), bias.astype(np.float64))
     _calibrate(model, [(y, text) for (y, text, test) in examples if test])
@@ -168,8 +172,11 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
 def _calibrate(model: Model, held: list[tuple[int, str]]) -> None:
     if not held:
         return
-    buckets, counts = ngrams([t for _, t in held])
-    logits, known, _ = model._logits(buckets, counts)
+    parts = []
+    for at in range(0, len(held), 64):
+        buckets, n = ngrams([t for _, t in held[at:at + 64]])
+        parts.append((*model._logits(buckets, n)[:2], n))
+    logits, known, counts = (np.concatenate(x) for x in zip(*parts))
     y = np.array([a for a, _ in held])
     loss = lambda t: -np.log(np.maximum(_softmax(logits / t)[np.arange(len(y)), y], 1e-12)).mean()
     model.temperature = min((2.0 ** (k / 2) for k in range(-8, 15)), key=loss)
