@@ -18,6 +18,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from codestrata.session import cut_lineage
+
 SLOTS = 48
 
 SERVICE_NAMES = "users,auth,payments,orders,catalog,gateway,search-api,mailer"
@@ -182,15 +184,29 @@ _arms = {k: f"'{v}'" for k, v in CONTENTS.items()}
 for _slot, (_key, _texts) in VARIANTS.items():
     _arms[_slot] = _case(_key, {i: f"'{t}'" for i, t in enumerate(_texts)})
 
+# Kinds of file by the comment that closes them; its text and length come from the part.
+_SLASHES, _HASHES, _DASHES, _PROSE = (0, 1, 2, 7, 22, 23, 24, 28, 34, 38, 42), (8, 9, 10, 13, 29, 39, 43, 46, 47), (14, 15, 16, 17, 18), (12, 37, 44)
+
+
+def _slots(numbers: tuple[int, ...]) -> str:
+    return "slot IN (" + ", ".join(map(str, numbers)) + ")"
+
+
+_TAIL = (f"CASE WHEN {_slots(_SLASHES)} THEN repeat('// ' || p_type || ' ' || p_brand || chr(10), p_size) "
+         f"WHEN {_slots(_HASHES)} THEN repeat('# ' || p_name || ' ' || p_type || chr(10), p_size) "
+         f"WHEN {_slots(_DASHES)} THEN repeat('-- ' || p_name || ' of size ' || CAST(p_size AS STRING) || chr(10), p_size) "
+         f"WHEN {_slots(_PROSE)} THEN repeat(p_name || ', ' || p_type || ' ' || p_brand || chr(10), p_size * 20) ELSE '' END")
+
 LEVELS.append([
-    "project", "blk", "prefix", "a", "b", "c", "d", "slot",
+    "project", "blk", "prefix", "a", "b", "c", "d", "slot", "p_size", f"{_TAIL} AS tail",
+    "CASE WHEN slot IN (37, 42, 44) THEN lower(replace(replace(p_brand, '#', '-'), ' ', '-')) || '/' ELSE '' END AS shelf",
     _case("slot", {k: f"'{v}'" for k, v in PATHS.items()}) + " AS path_t",
     _case("slot", _arms) + " AS content_t",
 ])
 LEVELS.append([
     "project",
-    f"prefix || {_fill('path_t')} AS path",
-    f"{_fill('content_t')} AS content",
+    f"prefix || shelf || {_fill('path_t')} AS path",
+    f"{_fill('content_t')} || tail AS content",
 ])
 
 
@@ -220,14 +236,19 @@ def web(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def repos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
-    # A few narrow bytes per part become a whole file: spread them before they grow.
-    df = part.repartition(spark.sparkContext.defaultParallelism)
-    for level in LEVELS:
-        df = df.selectExpr(*level)
-    # One-row generator: later filters on path stay above the long template
-    # expressions instead of being inlined into a copy of them.
-    return df.select(F.inline(F.array(F.struct("project", "path", "content"))))
+    """Written once for each session and folder: a table of files like any other, with columns to prune.
+
+    A few narrow bytes of each part become a whole file, so the parts are spread before they grow.
+    """
+    sc = spark.sparkContext
+    made = sc.__dict__.setdefault("_codestrata_repos", {})
+    if sf_dir not in made:
+        df = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+        df = df.repartition(sc.defaultParallelism)
+        for level in LEVELS:
+            df = df.selectExpr(*level)
+        made[sf_dir] = cut_lineage(df)
+    return made[sf_dir]
 
 
 def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
