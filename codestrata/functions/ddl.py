@@ -1,4 +1,4 @@
-"""Column expressions over single DDL statements.
+"""Column expressions over single DDL statements, after the public grammars of the common databases.
 
 One statement becomes an array of facts.  ``op`` is one of ADD (column defined),
 DROPCOL, SETCOL (column changed), PK, UNIQUE and FK; ``cols`` names the columns
@@ -14,11 +14,37 @@ from codestrata.functions.text import col, strip
 
 FACT = ("struct<def_no:int,op:string,cols:array<string>,type:string,nullable:boolean,"
         "sets_default:boolean,default:string,ref_tbl:string,ref_cols:array<string>>")
-_QUOTES = '"[]'
+# A name: words or quoted parts, joined by dots.
+_PART = r'(?:"[^"]*"|\[[^\]]*\]|`[^`]*`|[^\s(),;."\[\]`]+)'
+_NAME = rf"{_PART}(?:\.{_PART})*"
+_LITERAL = r"'(?:[^']|'')*'"
+_OBJECTS = "TABLE|INDEX|TYPE|VIEW"
+
+# Words that change nothing about what a statement does to the schema.
+_FLAVOURS = r"(?:(?:OR\s+REPLACE|TEMP|TEMPORARY|UNLOGGED|GLOBAL|LOCAL|MATERIALIZED)\s+)+"
+_GUARDS = r"(?:(?:CONCURRENTLY|IF\s+NOT\s+EXISTS|IF\s+EXISTS|ONLY)\s+)+"
+
+_VERB = rf"(?is)^(CREATE|DROP|ALTER)\s+(?:UNIQUE\s+)?({_OBJECTS})\b"
+_HEAD = rf"(?is)^\w+\s+(?:UNIQUE\s+)?(?:{_OBJECTS})\s+({_NAME})\s*(.*)$"
+_INDEX = rf"(?is)^CREATE\s+(UNIQUE\s+)?INDEX\s+(?:({_NAME})\s+)?ON\s+(?:ONLY\s+)?({_NAME})(?:\s+USING\s+\w+)?\s*\(((?:[^()]++|\([^()]*+\))*+)\)"
+_ENUM = r"(?is)^AS\s+ENUM\s*\((.*)\)"
+# A key over listed columns, and what a foreign key refers to.
+_KEY = r"(?is)\b(PRIMARY\s+KEY|FOREIGN\s+KEY|UNIQUE)\b[^()]*\(([^()]*)\)"
+_TARGET = rf"(?is)\bREFERENCES\s+({_NAME})\s*\(([^()]*)\)"
+_DEFAULT = rf"(?is)\bDEFAULT\s+({_LITERAL}|\([^()]*\)|[^\s,]+)"
+# Actions of ALTER TABLE.
+_ADDS_KEY = r"(?is)^ADD\s+(?:CONSTRAINT\b|PRIMARY\s+KEY\b|FOREIGN\s+KEY\b|UNIQUE\b)"
+_ADDS = r"(?is)^ADD\s+(?:COLUMN\s+)?(?:IF\s+NOT\s+EXISTS\s+)?(\S.*)$"
+_DROPS = rf"(?is)^DROP\s+COLUMN\s+(?:IF\s+EXISTS\s+)?({_NAME})"
+_CHANGES = rf"(?is)^(?:ALTER|MODIFY)\s+(?:COLUMN\s+)?({_NAME})\s+(\S.*)$"
+_NO_EFFECT = r"(?is)^(?:DROP\s+CONSTRAINT|RENAME|OWNER|ENABLE|DISABLE|VALIDATE|SET|RESET|COMMENT)\b"
+
+# Commas and parentheses inside literals are stood in for by characters that no statement holds.
+_INSIDE, _STAND_INS = ",()", "\ue000\ue001\ue002"
 
 
 def unquoted(c: Column) -> Column:
-    return F.lower(F.btrim(c, F.lit(_QUOTES)))
+    return F.lower(F.regexp_replace(c, r'["`\[\]]', ""))
 
 
 def _names(listed: Column) -> Column:
@@ -34,71 +60,76 @@ def clean_statement(raw: Column | str) -> Column:
     return F.array_join(F.filter(bare, lambda line: line != ""), " ")
 
 
+def plain(stmt: Column | str) -> Column:
+    """The statement without words that do not matter to the schema: ``CREATE OR REPLACE``, ``IF EXISTS`` and the like."""
+    flat = F.regexp_replace(col(stmt), rf"(?i)^CREATE\s+{_FLAVOURS}", "CREATE ")
+    return F.regexp_replace(flat, rf"(?i)^((?:CREATE|DROP|ALTER)\s+(?:UNIQUE\s+)?(?:{_OBJECTS}))\s+{_GUARDS}", "$1 ")
+
+
 def statement_type(stmt: Column | str) -> Column:
     """Kind of a DDL statement, null for anything else."""
-    upper = F.upper(col(stmt))
-    out = None
-    for prefix, kind in fixed.STATEMENT_PREFIXES:
-        test = upper.startswith(prefix)
-        out = F.when(test, kind) if out is None else out.when(test, kind)
-    return out
-
-
-# Name of the object a statement is about, per kind (keywords in any case).
-_NAME_PATTERNS = {
-    "CREATE_TABLE": r'(?i)CREATE TABLE\s+(?:IF NOT EXISTS\s+)?"?([^"\s(]+)',
-    "DROP_TABLE": r'(?i)DROP TABLE\s+(?:IF EXISTS\s+)?"?([^"\s;]+)',
-    "ALTER_TABLE": r'(?i)ALTER TABLE\s+"?([^"\s]+)',
-    "CREATE_INDEX": r'(?i)INDEX\s+[^\s]+\s+ON\s+"?([^"\s(]+)',
-}
-INDEX_PATTERN = r"(?i)CREATE\s+(UNIQUE\s+)?INDEX\s+([^\s]+)\s+ON\s+([^\s(]+)\s*\(([^)]+)\)"
-ENUM_PATTERN = r"(?i)CREATE TYPE\s+([^\s]+)\s+AS\s+ENUM\s*\(([^)]+)\)"
-VIEW_PATTERN = r"(?i)CREATE VIEW\s+([^\s]+)\s+AS"
-DROP_VIEW_PATTERN = r"(?i)DROP VIEW\s+(?:IF EXISTS\s+)?([^\s;]+)"
-_BODY = r"(?i)CREATE TABLE[^(]*\(\s*([^\n]*)\s*\)"
-_PK = r"(?i)PRIMARY KEY\s*\(([^)]+)\)"
-_FK = r"(?i)FOREIGN KEY\s*\(([^)]+)\)\s*REFERENCES\s+([^\s(]+)\s*\(([^)]+)\)"
-_UNIQUE = r"(?i)UNIQUE\s*\(([^)]+)\)"
-_REFERENCES = r"REFERENCES\s+([^\s(]+)\s*\(([^)]+)\)"
-_DEFAULT = r"DEFAULT\s+([^,\s]+|\([^)]+\)|'[^']*')"
+    s = plain(stmt)
+    kind = F.upper(F.concat_ws("_", F.regexp_extract(s, _VERB, 1), F.regexp_extract(s, _VERB, 2)))
+    return F.when(kind.isin(sorted({k for _, k in fixed.STATEMENT_PREFIXES})), kind)
+
+
+def object_name(stmt: Column | str) -> Column:
+    """Lower-cased name of what a statement is about; empty if it names nothing."""
+    return unquoted(F.regexp_extract(plain(stmt), _HEAD, 1))
 
 
 def statement_table(stmt: Column | str, kind: Column | str) -> Column:
     """Lower-cased table name; empty when the kind has none."""
-    out = None
-    for name, pattern in _NAME_PATTERNS.items():
-        value = F.lower(F.regexp_extract(col(stmt), pattern, 1))
-        out = F.when(col(kind) == name, value) if out is None else out.when(col(kind) == name, value)
-    return out.otherwise("")
+    k = col(kind)
+    return (F.when(k.isin("CREATE_TABLE", "DROP_TABLE", "ALTER_TABLE"), object_name(stmt))
+            .when(k == "CREATE_INDEX", unquoted(F.regexp_extract(plain(stmt), _INDEX, 3))).otherwise(""))
 
 
-def column_defs(stmt: Column | str) -> Column:
-    """Definitions of a CREATE TABLE body: split at commas outside parentheses.
+def _swap(text: Column, old: str, new: str) -> Column:
+    """Replace characters inside literals: every second part between quotes."""
+    parts = F.transform(F.split(text, "'"), lambda x, i: F.when(i % 2 == 1, F.translate(x, old, new)).otherwise(x))
+    return F.array_join(parts, "'")
+
+
+def _without_literals(text: Column) -> Column:
+    return F.regexp_replace(text, _LITERAL, "''")
+
+
+def listed(text: Column) -> Column:
+    """Split at commas outside parentheses and literals.
 
     Pieces between commas are folded together while parentheses are open, so
     any nesting depth works and no regular expression can backtrack.
     """
-    pieces = F.split(F.regexp_extract(col(stmt), _BODY, 1), ",")
-    state = "struct<done:array<string>,open:string,depth:int>"
+    pieces = F.split(_swap(text, _INSIDE, _STAND_INS), ",")
 
     def depth(piece: Column) -> Column:
         opens = F.length(F.replace(piece, F.lit(")"), F.lit("")))
         closes = F.length(F.replace(piece, F.lit("("), F.lit("")))
-        return (opens - closes).cast("int")
+        return opens - closes
 
     def step(s: Column, piece: Column) -> Column:
-        text = F.when(s["open"].isNull(), piece).otherwise(F.concat(s["open"], F.lit(","), piece))
+        grown = F.when(s["open"].isNull(), piece).otherwise(F.concat(s["open"], F.lit(","), piece))
         level = s["depth"] + depth(piece)
-        closed = level == 0
         return F.struct(
-            F.when(closed, F.array_append(s["done"], text)).otherwise(s["done"]).alias("done"),
-            F.when(~closed, text).alias("open"), level.alias("depth")).cast(state)
+            F.when(level == 0, F.array_append(s["done"], grown)).otherwise(s["done"]).alias("done"),
+            F.when(level != 0, grown).alias("open"), level.alias("depth"))
 
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"),
-                     F.lit(0).alias("depth")).cast(state)
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"), F.lit(0).alias("depth"))
     whole = F.aggregate(pieces, start, step, lambda s: F.when(
         s["open"].isNull(), s["done"]).otherwise(F.array_append(s["done"], s["open"])))
-    return F.filter(F.transform(whole, lambda d: strip(d)), lambda d: d != "")
+    return F.filter(F.transform(whole, lambda d: strip(F.translate(d, _STAND_INS, _INSIDE))), lambda d: d != "")
+
+
+def _table_body(stmt: Column | str) -> Column:
+    """What stands between the first and the last parenthesis of a CREATE TABLE, null without both."""
+    rest = F.regexp_extract(plain(stmt), _HEAD, 2)
+    return F.when(rest.startswith("(") & rest.contains(")"), F.regexp_extract(rest, r"(?s)^\((.*)\)", 1))
+
+
+def column_defs(stmt: Column | str) -> Column:
+    """Definitions of a CREATE TABLE body."""
+    return listed(F.coalesce(_table_body(stmt), F.lit("")))
 
 
 def _fact(no: Column, op: str, cols: Column, *, type_=None, nullable=None, sets_default=None,
@@ -120,85 +151,106 @@ def _present(c: Column) -> Column:
 def _column_facts(definition: Column, no: Column) -> Column:
     """Facts of one column definition; null when it has fewer than two words."""
     words = F.split(strip(definition), r"\s+")
-    upper = F.upper(definition)
+    bare = _without_literals(definition)
     name = unquoted(F.get(words, F.lit(0)))
-    key = upper.contains("PRIMARY KEY")
-    ref = F.regexp_extract(upper, _REFERENCES, 1)
+    key = bare.rlike(r"(?i)\bPRIMARY\s+KEY\b")
+    ref = F.regexp_extract(bare, _TARGET, 1)
     return F.when(F.size(words) >= 2, F.array_compact(F.array(
         _fact(no, "ADD", F.array(name), type_=F.lower(F.get(words, F.lit(1))),
-              nullable=~(upper.contains("NOT NULL") | key), sets_default=F.lit(True),
-              default=_present(F.regexp_extract(upper, _DEFAULT, 1))),
+              nullable=~(bare.rlike(r"(?i)\bNOT\s+NULL\b") | key), sets_default=F.lit(True),
+              default=_present(F.regexp_extract(definition, _DEFAULT, 1))),
         F.when(key, _fact(no, "PK", F.array(name))),
-        F.when(upper.contains("UNIQUE"), _fact(no, "UNIQUE", F.array(name))),
+        F.when(bare.rlike(r"(?i)\bUNIQUE\b"), _fact(no, "UNIQUE", F.array(name))),
         F.when(ref != "", _fact(no, "FK", F.array(name), ref_tbl=unquoted(ref),
-                                ref_cols=F.array(unquoted(F.regexp_extract(upper, _REFERENCES, 2))))))))
+                                ref_cols=_names(F.regexp_extract(bare, _TARGET, 2)))))))
 
 
-def _key_fact(text: Column, no: Column, op: str) -> Column:
-    """Table-level PRIMARY KEY / UNIQUE / FOREIGN KEY, null when it does not parse."""
-    if op == "FK":
-        listed = F.regexp_extract(text, _FK, 1)
-        return F.when(listed != "", _fact(
-            no, op, _names(listed), ref_tbl=unquoted(F.regexp_extract(text, _FK, 2)),
-            ref_cols=_names(F.regexp_extract(text, _FK, 3))))
-    listed = F.regexp_extract(text, _PK if op == "PK" else _UNIQUE, 1)
-    return F.when(listed != "", _fact(no, op, _names(listed)))
+def _key_fact(definition: Column, no: Column) -> Column:
+    """A key over listed columns, null when the definition is none."""
+    bare = _without_literals(definition)
+    kind = F.upper(F.regexp_extract(bare, _KEY, 1))
+    cols, target = _names(F.regexp_extract(bare, _KEY, 2)), F.regexp_extract(bare, _TARGET, 1)
+    return (F.when(kind.startswith("PRIMARY"), _fact(no, "PK", cols))
+            .when(kind == "UNIQUE", _fact(no, "UNIQUE", cols))
+            .when(kind.startswith("FOREIGN") & (target != ""), _fact(
+                no, "FK", cols, ref_tbl=unquoted(target), ref_cols=_names(F.regexp_extract(bare, _TARGET, 2)))))
 
 
 def _is_column(definition: Column) -> Column:
-    return ~F.upper(definition).rlike("^(?:PRIMARY KEY|FOREIGN KEY|CONSTRAINT|UNIQUE)")
+    return ~definition.rlike(r"(?i)^(?:(?:PRIMARY|FOREIGN)\s+KEY\b|CONSTRAINT\b|UNIQUE\b|CHECK\b|EXCLUDE\b)")
 
 
 def create_is_valid(stmt: Column | str) -> Column:
-    """A CREATE TABLE counts only when its body and all column definitions parse."""
-    defs = column_defs(stmt)
-    return col(stmt).rlike(_BODY) & F.forall(
-        defs, lambda d: ~_is_column(d) | (F.size(F.split(strip(d), r"\s+")) >= 2))
+    """A CREATE TABLE counts only when it has a body and all column definitions parse."""
+    return _table_body(stmt).isNotNull() & F.forall(
+        column_defs(stmt), lambda d: ~_is_column(d) | (F.size(F.split(strip(d), r"\s+")) >= 2))
+
+
+def _one(fact: Column) -> Column:
+    return F.when(fact.isNotNull(), F.array(fact)).otherwise(F.array().cast(f"array<{FACT}>"))
 
 
 def create_facts(stmt: Column | str) -> Column:
     empty = F.array().cast(f"array<{FACT}>")
+    return F.flatten(F.transform(column_defs(stmt), lambda d, i: F.when(
+        _is_column(d), F.coalesce(_column_facts(d, i.cast("int")), empty)).otherwise(_one(_key_fact(d, i.cast("int"))))))
 
-    def facts(d: Column, i: Column) -> Column:
-        no, upper = i.cast("int"), F.upper(d)
-        one = lambda f: F.when(f.isNotNull(), F.array(f)).otherwise(empty)
-        return (F.when(upper.startswith("PRIMARY KEY"), one(_key_fact(d, no, "PK")))
-                .when(upper.rlike("^(?:FOREIGN KEY|CONSTRAINT)"), one(_key_fact(d, no, "FK")))
-                .when(upper.startswith("UNIQUE"), one(_key_fact(d, no, "UNIQUE")))
-                .otherwise(F.coalesce(_column_facts(d, no), empty)))
 
-    return F.flatten(F.transform(column_defs(stmt), facts))
+def alter_actions(stmt: Column | str) -> Column:
+    """The actions of an ALTER TABLE."""
+    return listed(F.regexp_extract(plain(stmt), _HEAD, 2))
 
 
-def alter_facts(stmt: Column | str) -> Column:
-    """Facts of an ALTER TABLE; DROP CONSTRAINT and unknown actions have none."""
-    s, upper = col(stmt), F.upper(col(stmt))
-    empty = F.array().cast(f"array<{FACT}>")
-    no = F.lit(0)
-    one = lambda f: F.when(f.isNotNull(), F.array(f)).otherwise(empty)
-    constraint = (F.when(upper.contains("PRIMARY KEY"), one(_key_fact(s, no, "PK")))
-                  .when(upper.contains("FOREIGN KEY"), one(_key_fact(s, no, "FK")))
-                  .when(upper.contains("UNIQUE"), one(_key_fact(s, no, "UNIQUE"))).otherwise(empty))
-    added = F.regexp_extract(s, r"(?i)\bADD\s+(?:COLUMN\s+)?([^\n]+)", 1)
-    dropped = F.regexp_extract(s, r"(?i)DROP\s+COLUMN\s+([^\s,]+)", 1)
-    change = r"(?i)(?:ALTER|MODIFY)\s+COLUMN\s+([^\s]+)\s+([^\n]+)"
-    name, rest = unquoted(F.regexp_extract(s, change, 1)), F.regexp_extract(s, change, 2)
-    new_type = F.lower(F.regexp_extract(rest, r"(?i)^(?:SET\s+DATA\s+)?TYPE\s+([^\s]+)", 1))
-    action = F.regexp_extract(F.upper(rest), r"^(SET NOT NULL|DROP NOT NULL|SET DEFAULT|DROP DEFAULT)", 1)
-    default = _present(F.regexp_extract(F.upper(rest), _DEFAULT, 1))
-    whole = (new_type == "") & (action == "")
-    set_fact = _fact(
+def _changed(action: Column, no: Column) -> Column:
+    name, rest = unquoted(F.regexp_extract(action, _CHANGES, 1)), F.regexp_extract(action, _CHANGES, 2)
+    new_type = F.lower(F.regexp_extract(rest, r"(?i)^(?:SET\s+DATA\s+)?TYPE\s+(\S+)", 1))
+    change = F.upper(F.regexp_replace(F.regexp_extract(rest, r"(?i)^(?:SET|DROP)\s+(?:NOT\s+NULL|DEFAULT)\b", 0), r"\s+", " "))
+    whole = (new_type == "") & (change == "")
+    return F.when(rest != "", _fact(
         no, "SETCOL", F.array(name),
         type_=F.when(new_type != "", new_type).when(whole, F.lower(F.substring_index(rest, " ", 1))),
-        nullable=F.when(action == "SET NOT NULL", False).when(action == "DROP NOT NULL", True)
-        .when(whole, ~F.upper(rest).contains("NOT NULL")),
-        sets_default=whole | action.isin("SET DEFAULT", "DROP DEFAULT"),
-        default=F.when(action != "DROP DEFAULT", default))
-    return (F.when(upper.contains("ADD CONSTRAINT"), constraint)
-            .when(upper.contains("ADD "), F.when(added != "", F.coalesce(_column_facts(added, no), empty)).otherwise(empty))
-            .when(upper.contains("DROP COLUMN"), F.when(dropped != "", F.array(_fact(no, "DROPCOL", F.array(unquoted(dropped))))).otherwise(empty))
-            .when(upper.rlike("ALTER COLUMN|MODIFY COLUMN"), F.when(rest != "", F.array(set_fact)).otherwise(empty))
-            .otherwise(empty))
+        nullable=F.when(change == "SET NOT NULL", False).when(change == "DROP NOT NULL", True)
+        .when(whole, ~_without_literals(rest).rlike(r"(?i)\bNOT\s+NULL\b")),
+        sets_default=whole | change.isin("SET DEFAULT", "DROP DEFAULT"),
+        default=F.when(change != "DROP DEFAULT", _present(F.regexp_extract(rest, _DEFAULT, 1)))))
+
+
+def alter_facts(stmt: Column | str) -> Column:
+    """Facts of all actions of an ALTER TABLE; DROP CONSTRAINT and unknown actions have none."""
+    empty = F.array().cast(f"array<{FACT}>")
+
+    def facts(a: Column, i: Column) -> Column:
+        no, dropped = i.cast("int"), F.regexp_extract(a, _DROPS, 1)
+        return (F.when(a.rlike(_ADDS_KEY), _one(_key_fact(a, no)))
+                .when(a.rlike(_ADDS), F.coalesce(_column_facts(F.regexp_extract(a, _ADDS, 1), no), empty))
+                .when(dropped != "", F.array(_fact(no, "DROPCOL", F.array(unquoted(dropped)))))
+                .when(a.rlike(_CHANGES), _one(_changed(a, no)))
+                .otherwise(empty))
+
+    return F.flatten(F.transform(alter_actions(stmt), facts))
+
+
+def alter_is_valid(stmt: Column | str) -> Column:
+    """Every action has an effect, or is known to have none on the schema kept here."""
+    known = F.exists(alter_actions(stmt), lambda a: a.rlike(_NO_EFFECT))
+    return known | (F.size(alter_facts(stmt)) > 0)
+
+
+def index_parts(stmt: Column | str) -> Column:
+    """Name, table, uniqueness and columns of a CREATE INDEX; null when it does not parse."""
+    s = plain(stmt)
+    part = lambda g: F.regexp_extract(s, _INDEX, g)
+    return F.when(s.rlike(_INDEX), F.struct(
+        unquoted(part(2)).alias("name"), unquoted(part(3)).alias("tbl"), (part(1) != "").alias("is_unique"),
+        F.transform(listed(part(4)), lambda c: unquoted(strip(c))).alias("cols")))
+
+
+def enum_values(stmt: Column | str) -> Column:
+    """Values of a CREATE TYPE AS ENUM, null for other types."""
+    rest = F.regexp_extract(plain(stmt), _HEAD, 2)
+    literals = F.regexp_extract_all(F.regexp_extract(rest, _ENUM, 1), F.lit(_LITERAL), F.lit(0))
+    values = F.transform(literals, lambda v: F.replace(F.substring(v, F.lit(2), F.length(v) - 2), F.lit("''"), F.lit("'")))
+    return F.when(rest.rlike(_ENUM), values)
 
 
 def migration_version(path: Column | str) -> Column:

@@ -33,8 +33,12 @@ def ddl_events(files: DataFrame) -> DataFrame:
 def ddl_errors(files: DataFrame) -> DataFrame:
     """Statements that are counted and skipped, by project."""
     s = statements(migration_files(files))
-    failed = (((F.col("type") == "CREATE_TABLE") & ~ddl.create_is_valid("stmt"))
-              | (F.col("type").isin("CREATE_TABLE", "DROP_TABLE", "ALTER_TABLE") & (F.col("tbl") == "")))
+    kind = F.col("type")
+    failed = (F.when(kind == "CREATE_TABLE", ~ddl.create_is_valid("stmt"))
+              .when(kind == "ALTER_TABLE", ~ddl.alter_is_valid("stmt"))
+              .when(kind == "CREATE_INDEX", ddl.index_parts("stmt").isNull())
+              .when(kind == "CREATE_TYPE", ddl.enum_values("stmt").isNull()).otherwise(F.lit(False))
+              | (kind.isin("CREATE_TABLE", "DROP_TABLE", "ALTER_TABLE", "CREATE_VIEW", "DROP_VIEW") & (ddl.object_name("stmt") == "")))
     return s.groupBy("project").agg(
         F.count("*").alias("n_statements"),
         F.count_if(F.col("type").isNull()).alias("n_unsupported"),
@@ -137,33 +141,23 @@ def foreign_keys(facts: DataFrame) -> DataFrame:
 
 def enums(events: DataFrame) -> DataFrame:
     """Latest definition of every enum type."""
-    quotes = "'\"[]"
-    values = F.filter(F.transform(F.split(F.regexp_extract("stmt", ddl.ENUM_PATTERN, 2), ","),
-                                  lambda v: F.btrim(text.strip(v), F.lit(quotes))), lambda v: v != "")
-    rows = events.filter((F.col("type") == "CREATE_TYPE") & F.col("stmt").rlike(ddl.ENUM_PATTERN)).select(
-        "project", ddl.unquoted(F.regexp_extract("stmt", ddl.ENUM_PATTERN, 1)).alias("name"), _seq().alias("seq"),
-        values.alias("vals"))
-    return rows.groupBy("project", "name").agg(F.max_by("vals", "seq").alias("vals"))
+    rows = events.filter(F.col("type") == "CREATE_TYPE").select(
+        "project", ddl.object_name("stmt").alias("name"), _seq().alias("seq"), ddl.enum_values("stmt").alias("vals"))
+    return rows.filter(F.col("vals").isNotNull()).groupBy("project", "name").agg(F.max_by("vals", "seq").alias("vals"))
 
 
 def views(events: DataFrame) -> DataFrame:
     """Views whose last event is a CREATE."""
-    made = F.regexp_extract("stmt", ddl.VIEW_PATTERN, 1)
-    gone = F.regexp_extract("stmt", ddl.DROP_VIEW_PATTERN, 1)
     rows = (events.filter(F.col("type").isin("CREATE_VIEW", "DROP_VIEW"))
-            .select("project", ddl.unquoted(F.when(F.col("type") == "CREATE_VIEW", made).otherwise(gone)).alias("name"),
-                    "type", _seq().alias("seq"), "stmt").filter(F.col("name") != ""))
+            .select("project", ddl.object_name("stmt").alias("name"), "type", _seq().alias("seq"), "stmt").filter(F.col("name") != ""))
     last = rows.groupBy("project", "name").agg(F.max_by(F.struct("type", "stmt"), "seq").alias("e"))
     return last.filter(F.col("e.type") == "CREATE_VIEW").select("project", "name", F.col("e.stmt").alias("sql"))
 
 
 def indexes(events: DataFrame, lives: DataFrame) -> DataFrame:
     """Indexes created while their table was alive."""
-    part = lambda g: F.regexp_extract("stmt", ddl.INDEX_PATTERN, g)
-    cols = F.transform(F.split(part(4), ","), lambda c: ddl.unquoted(text.strip(c)))
-    rows = events.filter((F.col("type") == "CREATE_INDEX") & F.col("stmt").rlike(ddl.INDEX_PATTERN)).select(
-        "project", ddl.unquoted(part(3)).alias("tbl"), ddl.unquoted(part(2)).alias("name"),
-        (part(1) != "").alias("is_unique"), cols.alias("cols"), _seq().alias("seq"))
+    rows = events.filter(F.col("type") == "CREATE_INDEX").select("project", ddl.index_parts("stmt").alias("i"), _seq().alias("seq"))
+    rows = rows.filter(F.col("i").isNotNull()).select("project", "i.tbl", "i.name", "i.is_unique", "i.cols", "seq")
     current = rows.join(lives, TABLE).filter(F.col("seq") > F.col("first_seq"))
     return (current.groupBy(*TABLE, "name").agg(F.max_by(F.struct("is_unique", "cols"), "seq").alias("i"))
             .select(*TABLE, "name", "i.is_unique", "i.cols"))

@@ -12,8 +12,11 @@ from codestrata.sources import views
 _TYPE = " ".join(f"WHEN starts_with(upper(stmt), '{p}') THEN '{t}'" for p, t in fixed.STATEMENT_PREFIXES)
 _Q = "'\"[]'"
 _NAMES = "list_transform(string_split({0}, ','), lambda c: lower(trim(trim(c), " + _Q + ")))"
+_ENUM = "'(?i)^create type ([^ ]+) as enum *[(]([^)]*)[)]'"
+_MADE_VIEW, _GONE_VIEW = "'(?i)^create view ([^ ]+) as '", "'(?i)^drop view (?:if exists )?([^ ;]+)'"
+_IDX = "'(?i)^create (unique )?index ([^ ]+) on ([^ (]+) *[(]([^)]*)[)]'"
 _FK = r"'(?i)FOREIGN KEY\s*\(([^)]+)\)\s*REFERENCES\s+([^\s(]+)\s*\(([^)]+)\)'"
-_DEF = r"'DEFAULT\s+([^,\s]+|\([^)]+\)|''[^'']*'')'"
+_DEF = "'(?i)default +(''[^'']*''|[^ ,]+)'"
 _REF = r"'REFERENCES\s+([^\s(]+)\s*\(([^)]+)\)'"
 _CHG = r"'(?i)(?:ALTER|MODIFY)\s+COLUMN\s+([^\s]+)\s+(.+)'"
 
@@ -57,7 +60,7 @@ coldefs AS (
   SELECT project, tbl, seq, 0, regexp_extract(stmt, '(?i)\\bADD\\s+(?:COLUMN\\s+)?(.+)', 1) FROM eff
   WHERE type = 'ALTER_TABLE' AND contains(upper(stmt), 'ADD ') AND NOT contains(upper(stmt), 'ADD CONSTRAINT')),
 cols0 AS MATERIALIZED (SELECT project, tbl, seq, def_no, d, lower(trim(string_split_regex(d, '\\s+')[1], {_Q})) AS col, lower(string_split_regex(d, '\\s+')[2]) AS type,
-    NOT (contains(upper(d), 'NOT NULL') OR contains(upper(d), 'PRIMARY KEY')) AS nullable, nullif(regexp_extract(upper(d), {_DEF}, 1), '') AS dflt
+    NOT (contains(upper(d), 'NOT NULL') OR contains(upper(d), 'PRIMARY KEY')) AS nullable, nullif(regexp_extract(d, {_DEF}, 1), '') AS dflt
   FROM coldefs WHERE regexp_matches(d, '^\\S+\\s+\\S')),
 keydefs AS (
   SELECT e.project, e.tbl, e.seq, d.def_no, d.d, CASE WHEN starts_with(upper(d.d), 'PRIMARY KEY') THEN 'PK' WHEN starts_with(upper(d.d), 'UNIQUE') THEN 'UNIQUE' ELSE 'FK' END AS op
@@ -101,15 +104,15 @@ annotated AS MATERIALIZED (
   SELECT c.*, EXISTS (SELECT 1 FROM keysets k WHERE k.kind = 'UNIQUE' AND len(k.cols) = 1 AND k.project = c.project AND k.tbl = c.tbl AND k.cols[1] = c.col) AS is_unique,
     f.col IS NOT NULL AS is_fk, f.ref_tbl, f.ref_col
   FROM columns c LEFT JOIN fkcols f ON f.project = c.project AND f.tbl = c.tbl AND f.col = c.col),
-enums AS (SELECT project, lower(trim(regexp_extract(stmt, {literal(dx.ENUM_PATTERN)}, 1), {_Q})) AS name, arg_max(
-    list_transform(string_split(regexp_extract(stmt, {literal(dx.ENUM_PATTERN)}, 2), ','), lambda v: trim(trim(v), '''"[]')), seq) AS vals
-  FROM ddl_events WHERE type = 'CREATE_TYPE' AND regexp_matches(stmt, {literal(dx.ENUM_PATTERN)}) GROUP BY 1, 2),
-viewev AS (SELECT project, seq, type, stmt, lower(trim(CASE type WHEN 'CREATE_VIEW' THEN regexp_extract(stmt, {literal(dx.VIEW_PATTERN)}, 1) ELSE regexp_extract(stmt, {literal(dx.DROP_VIEW_PATTERN)}, 1) END, {_Q})) AS name
+enums AS (SELECT project, lower(trim(regexp_extract(stmt, {_ENUM}, 1), {_Q})) AS name, arg_max(
+    list_transform(string_split(regexp_extract(stmt, {_ENUM}, 2), ','), lambda v: trim(trim(v), '''"[]')), seq) AS vals
+  FROM ddl_events WHERE type = 'CREATE_TYPE' AND regexp_matches(stmt, {_ENUM}) GROUP BY 1, 2),
+viewev AS (SELECT project, seq, type, stmt, lower(trim(CASE type WHEN 'CREATE_VIEW' THEN regexp_extract(stmt, {_MADE_VIEW}, 1) ELSE regexp_extract(stmt, {_GONE_VIEW}, 1) END, {_Q})) AS name
   FROM ddl_events WHERE type IN ('CREATE_VIEW', 'DROP_VIEW')),
 liveviews AS (SELECT project, name, stmt AS sql FROM viewev WHERE name <> '' QUALIFY row_number() OVER (PARTITION BY project, name ORDER BY seq DESC) = 1 AND type = 'CREATE_VIEW'),
-idx AS (SELECT e.project, lower(trim(regexp_extract(stmt, {literal(dx.INDEX_PATTERN)}, 3), {_Q})) AS tbl, lower(trim(regexp_extract(stmt, {literal(dx.INDEX_PATTERN)}, 2), {_Q})) AS name,
-    regexp_extract(stmt, {literal(dx.INDEX_PATTERN)}, 1) <> '' AS is_unique, {_NAMES.format(f"regexp_extract(stmt, {literal(dx.INDEX_PATTERN)}, 4)")} AS cols, seq
-  FROM ddl_events e WHERE type = 'CREATE_INDEX' AND regexp_matches(stmt, {literal(dx.INDEX_PATTERN)})),
+idx AS (SELECT e.project, lower(trim(regexp_extract(stmt, {_IDX}, 3), {_Q})) AS tbl, lower(trim(regexp_extract(stmt, {_IDX}, 2), {_Q})) AS name,
+    regexp_extract(stmt, {_IDX}, 1) <> '' AS is_unique, {_NAMES.format(f"regexp_extract(stmt, {_IDX}, 4)")} AS cols, seq
+  FROM ddl_events e WHERE type = 'CREATE_INDEX' AND regexp_matches(stmt, {_IDX})),
 liveidx AS (SELECT i.* FROM idx i JOIN live l ON l.project = i.project AND l.tbl = i.tbl AND i.seq > l.first_seq
   QUALIFY row_number() OVER (PARTITION BY i.project, i.tbl, i.name ORDER BY i.seq DESC) = 1)""")
 

@@ -186,3 +186,27 @@ def test_implicit_reference(make_files):
     s = schema(make_files, "CREATE TABLE users (id int)", "CREATE TABLE cats (id int, user_id int, parent_id int, dog_id int)")
     assert sorted((r.col, r.target, r.kind) for r in ddl.implicit_refs(s).collect()) == [
         ("parent_id", "cats", "self"), ("user_id", "users", "reference")]
+
+
+def test_guards_and_flavours(make_files):
+    s = schema(make_files, 'CREATE TEMP TABLE IF NOT EXISTS "T" (a int, b text)', "ALTER TABLE IF EXISTS ONLY t ADD COLUMN c int, ADD COLUMN d int NOT NULL",
+               "CREATE INDEX CONCURRENTLY IF NOT EXISTS i ON t USING btree (lower(b), a) WHERE (a > 0)",
+               "CREATE OR REPLACE VIEW v AS SELECT 1", "CREATE MATERIALIZED VIEW m AS SELECT 2", "DROP VIEW IF EXISTS m")
+    assert [(r.tbl) for r in s.tables.collect()] == ["t"]
+    assert [c[1:4] for c in cols(s)] == [("a", "int", True), ("b", "text", True), ("c", "int", True), ("d", "int", False)]
+    assert [(r.name, r.tbl, r.cols) for r in s.indexes.collect()] == [("i", "t", ["lower(b)", "a"])]
+    assert [r.name for r in s.views.collect()] == ["v"]
+
+
+def test_literals_keep_case_commas_and_blanks(make_files):
+    s = schema(make_files, "CREATE TABLE t (a text DEFAULT 'A b, (PRIMARY KEY', b int DEFAULT (1 + 2), CONSTRAINT k PRIMARY KEY (b))",
+               "CREATE TYPE e AS ENUM ('x, y', 'it''s')")
+    assert [(r.col, r.default, r.is_pk) for r in s.columns.orderBy("col").collect()] == [("a", "'A b, (PRIMARY KEY'", False), ("b", "(1 + 2)", True)]
+    assert s.enums.first().vals == ["x, y", "it's"]
+
+
+def test_losses_are_counted(make_files):
+    text = ("CREATE INDEX ON; CREATE TYPE p AS (a int); ALTER TABLE t FROB x; ALTER TABLE t DROP CONSTRAINT c; "
+            "CREATE INDEX i ON t (a); ALTER TABLE t ADD COLUMN a int")
+    row = ddl.ddl_errors(make_files(("migrations/1.sql", text))).first()
+    assert (row.n_statements, row.n_failed) == (6, 3)
