@@ -107,7 +107,8 @@ def chunks(docs: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, words: int = WORDS, sure: int = SURE) -> DataFrame:
     """doc_id, start, stop (bytes), n_words, first_doc_id, is_first and repeats: a row for each repeated span of each document.
 
-    ``repeats`` are the ranges of the span whose first place is another document; ``is_first`` if there are none.
+    ``repeats`` are the ranges of at least ``sure`` words whose first place is another document; ``is_first`` if there
+    are none. ``first_doc_id`` is that of the span's longest range.
     """
     found = chunks(docs)
     twice = found.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count(F.lit(1)).alias("n"))
@@ -129,9 +130,10 @@ def repeated_spans(docs: DataFrame, words: int = WORDS, sure: int = SURE) -> Dat
         F.max_by("beside", "start").bitwiseAND(F.lit(0xFFFF)).alias("_after"))
     spans = parts.groupBy("doc_id", "_span").agg(
         F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("n_words").alias("n_words"),
-        F.min("first_doc_id").alias("first_doc_id"), F.min("is_first").alias("is_first"),
-        F.sort_array(F.collect_list(F.when(~F.col("is_first"), F.struct("start", "stop")))).alias("repeats"),
+        F.max_by("first_doc_id", F.struct("n_words", "start")).alias("first_doc_id"),
+        F.sort_array(F.collect_list(F.when(~F.col("is_first") & (F.col("n_words") >= sure), F.struct("start", "stop")))).alias("repeats"),
         F.min_by("_before", "start").alias("_before"), F.max_by("_after", "start").alias("_after"))
+    spans = spans.withColumn("is_first", F.size("repeats") == 0)
     return spans.filter((F.col("n_words") >= sure) & (F.col("n_words") + F.col("_before") + F.col("_after") >= words)).drop(
         "_span", "_before", "_after")
 
