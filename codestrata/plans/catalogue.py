@@ -1,7 +1,7 @@
 """All registered queries."""
 
 from codestrata.plans import (  # noqa: F401
-    corpus, detect, services, config, schema, summary, progress, streams, overview,
+    corpus, detect, services, config, schema, summary, progress, streams, overview, roundtrips,
 )
 from codestrata.plans.registry import ORACLES, QUERIES  # noqa: F401
 
