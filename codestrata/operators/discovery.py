@@ -261,10 +261,12 @@ def api_struct() -> Column:
 def with_entry_content(services: DataFrame, files: DataFrame) -> DataFrame:
     """Content of each service's entry point, null when the entry is only a folder.
 
-    Entry points are unique paths, so the join cannot skew; use ``with_api_type``
-    where flags are enough and the text need not move.
+    Entry points are unique paths, so the join cannot skew, and only texts that can be entry points
+    take part; use ``with_api_type`` where flags are enough and no text need move.
     """
-    return services.join(files.select("project", F.col("path").alias("entry_point"), "content"), ["project", "entry_point"], "left")
+    listed = F.lower(text.basename("path")).isin(fixed.MAKE_FILES + fixed.COMPOSE_FILES)
+    texts = files.filter(may_be_entry() | listed).select("project", F.col("path").alias("entry_point"), "content")
+    return services.join(texts, ["project", "entry_point"], "left")
 
 
 def with_api_type(services: DataFrame, files: DataFrame) -> DataFrame:
@@ -357,10 +359,12 @@ def svc_by_stack(files: DataFrame, stack: str | None = None) -> DataFrame:
 
 
 def exposure_flags(files: DataFrame) -> DataFrame:
-    """Server tokens of single files, for services whose entry point is known."""
-    return files.select("project", F.col("path").alias("entry_point"), go_exposure("content").alias("go_api"),
-                        text.contains_any("content", fixed.NODE_SERVER_TOKENS).alias("node_api"),
-                        text.contains_any("content", fixed.REACT_SERVER_TOKENS).alias("react_api"))
+    """Server tokens of single files, for services whose entry point is known; only files that raise a flag."""
+    entries = files.filter(text.ends_with_any("path", ["main.go", "package.json", *fixed.NODE_ENTRY_SUFFIXES]) | may_be_entry())
+    flags = entries.select("project", F.col("path").alias("entry_point"), go_exposure("content").alias("go_api"),
+                           text.contains_any("content", fixed.NODE_SERVER_TOKENS).alias("node_api"),
+                           text.contains_any("content", fixed.REACT_SERVER_TOKENS).alias("react_api"))
+    return flags.filter("go_api IS NOT NULL OR node_api OR react_api")
 
 
 def exposed_services(services: DataFrame, files: DataFrame) -> DataFrame:

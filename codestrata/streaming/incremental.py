@@ -69,37 +69,36 @@ def split_errors(migrations: DataFrame) -> tuple[DataFrame, DataFrame]:
 def fold_batch(migrations: DataFrame, store: str, number: int) -> None:
     """Append the events of a batch and refresh the columns of the tables it touches.
 
-    Events live in hash buckets of (project, table); only touched buckets are
-    read again.  A list of at most ``EVENT_BUCKETS`` numbers goes to the driver.
+    A migration file that arrives again replaces its older version, also for tables that
+    only the older one names. Events live in hash buckets of (project, table); only touched
+    buckets are read again.  A list of at most ``EVENT_BUCKETS`` numbers goes to the driver.
     """
     spark = migrations.sparkSession
     good, bad = split_errors(migrations)
     bucket = F.pmod(F.xxhash64("project", "tbl"), F.lit(EVENT_BUCKETS)).cast("int")
+    paths = migration_files(migrations).select("project", "path").distinct()
+    paths.write.mode("overwrite").parquet(f"{store}/files/batch={number}")
     good.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/events/batch={number}")
     bad.write.mode("overwrite").parquet(f"{store}/warnings/batch={number}")
-    if not _has_rows(spark, f"{store}/events/batch={number}"):
+    schema = T.StructType([*good.schema.fields, T.StructField("bucket", T.IntegerType()), T.StructField("batch", T.IntegerType())])
+    seen = T.StructType([*paths.schema.fields, T.StructField("batch", T.IntegerType())])
+    arrived = spark.read.schema(seen).parquet(f"{store}/files").filter(F.col("batch") <= number)
+    newest = arrived.groupBy("project", "path").agg(F.max("batch").alias("batch"), F.count(F.lit(1)).alias("versions"))
+    # tables of the batch's files, in this version or an older one
+    current = newest.filter(F.col("batch") == number)
+    log = spark.read.schema(schema).parquet(f"{store}/events").filter((F.col("batch") <= number) & F.col("bucket").isNotNull())
+    new = log.filter(F.col("batch") == number).select("project", "tbl", "bucket")
+    old = log.join(current.filter("versions > 1").select("project", "path"), ["project", "path"], "left_semi").select("project", "tbl", "bucket")
+    touched = cut_lineage(new.union(old).filter("tbl <> ''").distinct())
+    numbers = [r.bucket for r in touched.select("bucket").distinct().collect()]
+    if not numbers:
         return
-    bucketed = [*good.schema.fields, T.StructField("bucket", T.IntegerType())]
-    schema = T.StructType(bucketed)
-    new = spark.read.schema(schema).parquet(f"{store}/events/batch={number}")
-    touched = new.select("project", "tbl").filter("tbl <> ''").distinct()
-    numbers = [r.bucket for r in new.select("bucket").distinct().collect()]
-    log = (spark.read.schema(T.StructType([*bucketed, T.StructField("batch", T.IntegerType())])).parquet(f"{store}/events")
-           .filter(F.col("bucket").isin(numbers) & (F.col("batch") <= number))
-           .dropDuplicates(["project", "path", "stmt_no"])
-           .join(touched, ["project", "tbl"], "left_semi"))
-    events = ddl.table_events(log)
-    lives = ddl.table_lives(events)
-    columns = ddl.live_columns(ddl.live_facts(events, lives))
+    live = (log.filter(F.col("bucket").isin(numbers)).join(newest.select("project", "path", "batch"), ["project", "path", "batch"], "left_semi")
+            .dropDuplicates(["project", "path", "stmt_no"]).join(touched.select("project", "tbl"), ["project", "tbl"], "left_semi"))
+    events = ddl.table_events(live)
+    columns = ddl.live_columns(ddl.live_facts(events, ddl.table_lives(events)))
     columns.write.mode("overwrite").parquet(f"{store}/columns/batch={number}")
-    touched.write.mode("overwrite").parquet(f"{store}/touched/batch={number}")
-
-
-def _has_rows(spark: SparkSession, path: str) -> bool:
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    return any(s.isDirectory() and s.getPath().getName().startswith("bucket=") for s in fs.listStatus(target))
+    touched.select("project", "tbl").write.mode("overwrite").parquet(f"{store}/touched/batch={number}")
 
 
 def current_columns(spark: SparkSession, store: str, upto: int | None = None) -> DataFrame:

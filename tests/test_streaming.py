@@ -117,3 +117,13 @@ def test_expiry(spark):
     row = spark.range(1).select(text.is_expired(F.lit("2024-01-01 00:00:00").cast("timestamp"), F.lit("2024-01-02 00:00:01").cast("timestamp")).alias("a"),
                                 text.is_expired(F.lit("2024-01-01 00:00:00").cast("timestamp"), F.lit("2024-01-02 00:00:00").cast("timestamp")).alias("b")).first()
     assert (row.a, row.b) == (True, False)
+
+
+def test_a_migration_that_arrives_again_replaces_its_older_version(spark, make_files, tmp_path):
+    from codestrata.streaming.incremental import current_columns, fold_batch
+    store = str(tmp_path / "store")
+    fold_batch(make_files(("migrations/1.sql", "CREATE TABLE t (a int); CREATE TABLE gone (z int)"), ("migrations/2.sql", "ALTER TABLE t ADD COLUMN b int")), store, 0)
+    fold_batch(make_files(("migrations/1.sql", "CREATE TABLE t (c int)")), store, 1)
+    assert sorted((r.tbl, r.col) for r in current_columns(spark, store).collect()) == [("t", "b"), ("t", "c")]
+    fold_batch(make_files(("migrations/1.sql", "")), store, 2)
+    assert sorted((r.tbl, r.col) for r in current_columns(spark, store).collect()) == [("t", "b")]
