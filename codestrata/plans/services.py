@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from codestrata.functions import fixed, services as sv
 from codestrata.operators import discovery, edges
-from codestrata.plans.registry import define, has_any, literal, query, sql_list
+from codestrata.plans.registry import ORACLES, define, has_any, literal, query, sql_list
 from codestrata.session import cut_lineage
 from codestrata.sources import views
 
@@ -419,6 +419,22 @@ def q_url_facts(spark, sf):
     return sv.repo_url_facts(views.table(spark, sf, "pages").select("page_id", "url"), "url")
 
 
+# Repository addresses in the forms that people paste, made from the host and number of a page.
+_URL_FORMS = """CASE CAST(page_id % 6 AS INT)
+  WHEN 0 THEN 'https://github.com/' || split_part(url, '/', 3) || '/repo-' || CAST(page_id AS STRING) || '.git'
+  WHEN 1 THEN 'git@github.com:' || split_part(url, '/', 3) || '/repo-' || CAST(page_id AS STRING) || '.git'
+  WHEN 2 THEN 'https://user:key@github.com/' || split_part(url, '/', 3) || '/repo-' || CAST(page_id AS STRING)
+  WHEN 3 THEN 'https://github.com/' || split_part(url, '/', 3)
+  WHEN 4 THEN 'https://github.com/' || split_part(url, '/', 3) || '/repo-' || CAST(page_id AS STRING) || '/tree/main'
+  ELSE split_part(url, '/', 3) || '/a?b=c&d ' || CAST(page_id AS STRING) END"""
+
+
+@query("url_forms", ORACLES["url_facts"].replace("FROM pages)", f"FROM (SELECT page_id, {_URL_FORMS} AS url FROM pages) pages)", 1))
+def q_url_forms(spark, sf):
+    pages = views.table(spark, sf, "pages").selectExpr("page_id", f"{_URL_FORMS} AS url")
+    return sv.repo_url_facts(pages, "url")
+
+
 @query("web_links", r"""
 WITH w AS (SELECT page_id, lower(split_part(split_part(regexp_replace(url, '^[a-zA-Z]+://', ''), '/', 1), ':', 1)) AS host, html FROM pages),
 l AS (SELECT page_id, host, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS href FROM w),
