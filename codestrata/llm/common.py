@@ -19,6 +19,9 @@ PACKAGE = Path(__file__).resolve().parents[1]
 #: A group is hot when it has over one HOT-th of all rows; so there are fewer than HOT such groups.
 HOT = 1000
 
+#: Groups that are broadcast without regard to their size.
+SMALL = 500_000
+
 #: Texts are handed to Python functions in slices of so many rows.
 SLICE = 128
 
@@ -39,7 +42,7 @@ def ship(spark: SparkSession) -> None:
     sc.addPyFile(path)
     sc._codestrata_llm = path
     with contextlib.suppress(Exception):  # a bound on bytes exists since 4.1
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,14 +73,19 @@ _WHITE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, spread: Column,
-           share: int = HOT) -> DataFrame:
+           share: int = HOT, n_groups: int | None = None) -> DataFrame:
     """Left join of ``groups`` (one row for each ``key``) to ``rows``, whatever the size of a group.
 
+    If the caller has counted the groups, of a few numbers each, and they are at most ``SMALL``, all are broadcast.
+
     Groups with over one ``share``-th of all ``total`` rows are fewer than ``share`` and are broadcast.
     Their rows take no part in the shuffled join: they get a salt that no group has,
     made from ``spread``, and so are dealt out evenly.
     """
     facts = [c for c in groups.columns if c != key]
+    if n_groups is not None and n_groups <= SMALL:
+        few = F.broadcast(groups.withColumnRenamed(key, "_key"))
+        return rows.join(few, rows[key] == few["_key"], "left").drop("_key")
     hot = groups.filter(F.col(size) * F.lit(share) > F.lit(total)).select(
         F.col(key).alias("_key"), F.struct(*facts).alias("_hot"))
     rest = groups.select(F.col(key).alias("_key"), F.lit(0).cast("long").alias("_salt"), F.struct(*facts).alias("_rest"))
