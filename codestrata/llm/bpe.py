@@ -11,6 +11,7 @@ A null text is encoded as an empty one, and decodes to empty bytes.
 from __future__ import annotations
 
 import base64
+import hashlib
 from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
@@ -26,7 +27,7 @@ from codestrata.llm.mph import Mph, as_keys
 from codestrata.llm.pretokens import Splitter
 
 #: Pre-tokens that a worker remembers, twice at most.
-REMEMBERED = 1 << 19
+REMEMBERED = 3 << 16
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -127,9 +128,9 @@ class Store(dict):
 
 
 class Tokenizer:
-    """Vocabulary and split pattern; built once in each worker from what the driver has read."""
+    """Vocabulary and split pattern. A worker keeps one, from what the driver has read."""
 
-    _made: dict[int, Tokenizer] = {}
+    _made: tuple[str, Tokenizer] | None = None
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.vocabulary, self.splitter = Vocabulary(ranks), Splitter(pattern)
@@ -137,9 +138,10 @@ class Tokenizer:
 
     @classmethod
     def of(cls, shared) -> Tokenizer:
-        if shared.id not in cls._made:
-            cls._made[shared.id] = cls(*shared.value)
-        return cls._made[shared.id]
+        if cls._made is None or cls._made[0] != shared.name:
+            cls._made = None  # the store of another one goes first
+            cls._made = shared.name, cls(*shared.value)
+        return cls._made[1]
 
     def encode(self, text: str | None) -> np.ndarray:
         get = self.pieces.__getitem__
@@ -147,11 +149,10 @@ class Tokenizer:
 
 
 class Shared:
-    """A broadcast value with a number that names it."""
+    """A broadcast value; ``name`` tells values apart."""
 
-    def __init__(self, spark: SparkSession, value) -> None:
-        self.held = spark.sparkContext.broadcast(value)
-        self.id = id(self.held) ^ hash(spark.sparkContext.applicationId)
+    def __init__(self, spark: SparkSession, value, name: str = "") -> None:
+        self.held, self.name = spark.sparkContext.broadcast(value), name
 
     @property
     def value(self):
@@ -161,7 +162,9 @@ class Shared:
 def shared_tokenizer(spark: SparkSession, path: str, pattern: str) -> Shared:
     """The rank file is read on the driver; its size is that of a vocabulary, whatever the input."""
     ship(spark)
-    return Shared(spark, (read_ranks(path), pattern))
+    ranks = read_ranks(path)
+    name = hashlib.sha256(repr((sorted(ranks.items()), pattern)).encode()).hexdigest()
+    return Shared(spark, (ranks, pattern), name)
 
 
 def encode(docs: DataFrame, tokenizer: Shared) -> DataFrame:

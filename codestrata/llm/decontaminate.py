@@ -76,7 +76,7 @@ class Templates:
     """Windows of a slice of texts; remembers tokens."""
 
     def __init__(self) -> None:
-        self.codes = Store(_code)
+        self.codes = Store(_code, 1 << 16)
 
     def windows(self, texts: list[str], lengths: list[int], wanted: Wanted | None, whole_only: bool = False) -> list[tuple]:
         """(text, form, position, tokens of the text, length, hash, slots) of all windows whose hash is wanted.
