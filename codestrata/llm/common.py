@@ -14,11 +14,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codestrata.session import cut_lineage
+
 PACKAGE = Path(__file__).resolve().parents[1]
 
 #: A group is hot when it has over one HOT-th of all rows; so there are fewer than HOT such groups.
 HOT = 1000
 
+#: Column of the number of a row.
+ROW = "_row_no"
+
 #: Groups that are broadcast without regard to their size.
 SMALL = 500_000
 
@@ -103,7 +108,12 @@ def parts(rows: int, each: int) -> int:
     return max(1, math.ceil(rows / each))
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """Documents, written once with a number for each row in the column ``_row_no``: a doc_id may be null or repeat."""
+    return cut_lineage(docs.withColumn(ROW, F.monotonically_increasing_id()))
+
+
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Documents whose doc_id is not in ``dropped``; a null doc_id equals a null one."""
-    ids = dropped.select(F.col("doc_id").alias("_gone"))
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_gone"]), "left_anti")
+    """Rows of ``numbered`` documents whose number is not in ``dropped``, with the columns that the documents had."""
+    gone = dropped.select(F.col(ROW).alias("_gone_row"))
+    return docs.join(gone, docs[ROW] == gone["_gone_row"], "left_anti").drop(ROW)

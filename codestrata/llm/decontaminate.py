@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.llm.bpe import Shared, Store
-from codestrata.llm.common import ship, slices, without
+from codestrata.llm.common import ROW, numbered, ship, slices, without
 from codestrata.session import cut_lineage
 
 WINDOW = 8
@@ -200,5 +200,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents that no benchmark item contaminates, with all their columns."""
-    return without(docs, cut_lineage(contaminated(docs, benchmark).select("doc_id").distinct()))
+    """Rows that no benchmark item contaminates, with all their columns; each is judged by itself, whatever its doc_id."""
+    docs = numbered(docs)
+    found = contaminated(docs.select(F.col(ROW).alias("doc_id"), "text"), benchmark)
+    return without(docs, cut_lineage(found.select(F.col("doc_id").alias(ROW)).distinct()))

@@ -8,7 +8,8 @@ distinct digests up there; all 32 bytes are compared. Members repeat a row of th
 history, the others are grouped among themselves.
 
 Null texts count as empty. A null doc_id never names a group unless all its rows have
-none. Rows that repeat both doc_id and text are copies of one row and share its fate.
+none. Rows that repeat both doc_id and text are copies of one row and share its fate in
+``op1``; ``keep_first`` keeps one row of each text.
 """
 
 from __future__ import annotations
@@ -18,9 +19,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.llm.common import attach, parts, ship, without
+from codestrata.llm.common import ROW, attach, numbered, parts, ship, without
 from codestrata.llm.mph import Mph, as_keys
-from codestrata.session import cut_lineage
+from codestrata.session import cut_lineage, release
 
 #: Distinct digests in a shard of the index, on average.
 SHARD_KEYS = 20_000
@@ -33,8 +34,8 @@ def normalised(text: Column) -> Column:
 
 
 def digests(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id and the 32 bytes that stand for the text."""
-    return docs.select("doc_id", F.unhex(F.sha2(normalised(F.col(text)), 256)).alias("digest"))
+    """doc_id, the number of the row if it has one, and the 32 bytes that stand for the text."""
+    return docs.select("doc_id", *[c for c in docs.columns if c == ROW], F.unhex(F.sha2(normalised(F.col(text)), 256)).alias("digest"))
 
 
 def distinct_digests(rows: DataFrame) -> DataFrame:
@@ -137,6 +138,11 @@ def op1(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """Documents that are the first of equal texts, with all their columns."""
+    """One row of equal texts, one that has the smallest doc_id, with all its columns."""
+    docs = numbered(docs)
     rows = cut_lineage(digests(docs))
-    return without(docs, dedup(rows, older_half(rows)).filter("not kept"))
+    out = cut_lineage(dedup(rows, older_half(rows)).select("digest", "kept", ROW))
+    firsts = out.filter("kept").groupBy("digest").agg(F.min(ROW).alias("_first"))
+    dropped = cut_lineage(out.join(firsts.select("_first"), F.col(ROW) == F.col("_first"), "left_anti").select(ROW))
+    release(rows, out)
+    return without(docs, dropped)

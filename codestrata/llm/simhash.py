@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.llm.common import attach, parts, segments, ship, slices, without
+from codestrata.llm.common import ROW, attach, numbered, parts, segments, ship, slices, without
 from codestrata.llm.components import components
 from codestrata.session import cut_lineage, release
 
@@ -77,15 +77,16 @@ def _vote(votes: np.ndarray, joined: bytes, starts: list[int], ends: list[int])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and its fingerprint as a signed long."""
+    """doc_id, its fingerprint as a signed long, and the number of the row if it has one."""
     ship(docs.sparkSession)
+    more = [c for c in docs.columns if c == ROW]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = np.array([fingerprint(x) for x in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), *batch.columns[2:]], ["doc_id", "fp", *more])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text", *more).mapInArrow(run, ", ".join(f"{c} long" for c in ["doc_id", "fp", *more]))
 
 
 def _signed(x: int) -> int:
@@ -142,7 +143,10 @@ def links(distinct: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id: one row for each document, with the smallest doc_id that links reach."""
+    """doc_id, fp, component_id, component: one row for each document, with the smallest doc_id and the least fingerprint that links reach.
+
+    The number of the row is added if it has one.
+    """
     rows = cut_lineage(fingerprints(docs))
     distinct = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
     linked = components(links(distinct.select("fp")))
@@ -151,15 +155,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = cut_lineage(named)
     names = named.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("_n"))
     total = named.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    groups = cut_lineage(attach(named, names, "component", "_n", total[0], F.col("fp")).select("fp", "component_id", "n"))
+    groups = cut_lineage(attach(named, names, "component", "_n", total[0], F.col("fp")).select("fp", "component_id", "component", "n"))
     release(named, distinct)
-    return attach(rows, groups, "fp", "n", total[1], F.col("doc_id")).select("doc_id", "fp", "component_id")
+    return attach(rows, groups, "fp", "n", total[1], F.col("doc_id")).drop("n")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Documents that are the smallest of their component, with all their columns."""
-    found = near_duplicates(docs)
-    return without(docs, found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """One row of each component, one that has the smallest doc_id, with all its columns."""
+    docs = numbered(docs)
+    found = cut_lineage(near_duplicates(docs).select("doc_id", "component_id", "component", ROW))
+    firsts = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min(ROW).alias("_first"))
+    dropped = cut_lineage(found.join(firsts.select("_first"), F.col(ROW) == F.col("_first"), "left_anti").select(ROW))
+    release(found)
+    return without(docs, dropped)
 
 
 def op9(docs: DataFrame) -> DataFrame:

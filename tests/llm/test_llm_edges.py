@@ -87,3 +87,22 @@ def test_stages(spark, tables, tmp_path, stage):
         assert set(kept) <= {r[0] for r in ROWS}
         if docs is tables[0]:
             assert {1, 6} <= set(kept)
+
+
+def test_stages_judge_rows_without_or_with_repeated_ids(spark, tmp_path):
+    prose = [" ".join(f"{chr(97 + k)}{chr(97 + i % 26)}{chr(97 + i * i % 26)}word" for i in range(k, k + 40)) for k in range(8)]
+    item = "which item holds these nine words and one more"
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    near = prose[0] + " end"
+    rows = [(None, prose[0]), (None, prose[1]), (None, prose[2]), (1, prose[0]), (2, prose[3]), (2, prose[4]), (2, prose[3]),
+            (3, prose[5]), (4, prose[5]), (4, prose[6]), (None, prose[7]), (None, prose[7])]
+    _, exact, near_stage, clean, _ = [f for _, f in corpus_pipeline.STAGES]
+    texts = lambda df: sorted((str(r["doc_id"]), r["text"]) for r in df.collect())
+    want = sorted((str(i), t) for i, t in [(None, prose[1]), (None, prose[2]), (1, prose[0]), (2, prose[3]), (2, prose[4]), (3, prose[5]),
+                                           (4, prose[6]), (None, prose[7])])
+    make = lambda r: spark.createDataFrame(r, "doc_id long, text string")
+    assert texts(exact(spark, make(rows), str(tmp_path))) == want
+    assert texts(near_stage(spark, make([*rows, (9, prose[1].upper())]), str(tmp_path))) == sorted(
+        [x for x in want if x != ("None", prose[1])] + [("9", prose[1].upper())])
+    leaks = [(None, near), (None, "so " + item), (None, prose[1]), (5, prose[2]), (5, item), (6, prose[3]), (6, prose[3])]
+    assert texts(clean(spark, make(leaks), str(tmp_path))) == sorted((str(i), t) for i, t in leaks if item not in t)
