@@ -12,9 +12,9 @@ likely pairs are ever listed.
 Links of at least ``SIMILAR`` join components, found by distributed union of stars. The
 first line of a component, by doc_id and line number, stays.
 
-Permutations exclusive-or the hash with a constant. Shingles of the ``SAMPLED`` part of all
-hashes come first in each, so a long line needs only those for its minima; this changes no
-signature, as long as it has one.
+A permutation exclusive-ors the hash of a shingle with a constant and hashes the result
+again, so that the minima of a pair agree independently of each other. All shingles of a
+line take part in all of them.
 
 Lines end at line feeds. Blank lines always stay. Null texts have no lines, empty ones
 have one that is blank. A null doc_id counts as -1 where lines are ordered. Rows that
@@ -38,9 +38,6 @@ BANDS = 8
 ROWS = 4
 SIMILAR = 0.8
 
-#: Lines of so many characters or fewer use all shingles for their minima.
-SHORT_LINE = 64
-
 #: Bytes of a sketch in one number.
 LANES = 7
 
@@ -53,8 +50,6 @@ MORE_CENTRES = (16, 512)
 #: Distinct lines signed by one task, on average.
 TASK_LINES = 30_000
 
-_LOW = (1 << 62) - 1
-
 
 def occurrences(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, line) of all lines that are not blank."""
@@ -87,13 +82,9 @@ def bands(lines: DataFrame) -> DataFrame:
     tasks = parts(lines.count(), TASK_LINES)
     dealt = lines.select("h", "line").repartition(tasks, "h").select("h", _code_points(F.col("line")).alias("points"))
     each = dealt.select("h", "points", F.explode(F.sequence(F.lit(0), _last_shingle(F.col("points")))).alias("i"))
-    hashed = each.select("h", "i", (F.octet_length("points") <= 4 * SHORT_LINE).alias("short"),
-                         F.xxhash64(F.substring("points", F.col("i") * 4 + 1, 4 * Q)).alias("x"))
-    sampled = F.shiftrightunsigned("x", 62) == 0
-    needed = hashed.filter(sampled | F.col("short") | (F.col("i") == 0)).select(
-        "h", F.col("x").bitwiseAND(F.lit(_LOW)).bitwiseOR(F.when(sampled, F.lit(0)).otherwise(F.lit(1 << 62)).cast("long")).alias("y"))
-    minima = [F.min(F.col("y").bitwiseXOR(F.lit(_constant(k)))).alias(f"m{k}") for k in range(BANDS * ROWS)]
-    signed = needed.groupBy("h").agg(*minima)
+    hashed = each.select("h", F.xxhash64(F.substring("points", F.col("i") * 4 + 1, 4 * Q)).alias("x"))
+    minima = [F.min(F.xxhash64(F.col("x").bitwiseXOR(F.lit(_constant(k))))).alias(f"m{k}") for k in range(BANDS * ROWS)]
+    signed = hashed.groupBy("h").agg(*minima)
     keys = [F.xxhash64(F.lit(b), *[f"m{k}" for k in range(b * ROWS, (b + 1) * ROWS)]) for b in range(BANDS)]
     n = BANDS * ROWS
     sketch = [reduce(lambda x, y: x.bitwiseOR(y), [F.shiftleft(F.col(f"m{k}").bitwiseAND(F.lit(255)), 8 * (k - at)) for k in range(at, min(at + LANES, n))])
@@ -114,7 +105,7 @@ def _agreeing(a: Column, b: Column) -> Column:
 
 def _constant(k: int) -> int:
     """Constants of the permutations: a digest of their number."""
-    return int.from_bytes(hashlib.sha256(str(k).encode()).digest()[:8], "big") & _LOW
+    return int.from_bytes(hashlib.sha256(str(k).encode()).digest()[:8], "big", signed=True)
 
 
 def _shingles(line: Column) -> Column:

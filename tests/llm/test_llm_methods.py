@@ -224,6 +224,22 @@ def test_lines_against_all_pairs(spark):
         assert r["text"] == "\n".join(x for n, x in enumerate(texts[r["doc_id"]].split("\n")) if (r["doc_id"], n) not in got)
 
 
+@pytest.mark.parametrize("length", [18, 28, 60, 130])
+def test_similar_lines_meet_as_often_as_independent_minima_do(spark, length):
+    rng, pairs = random.Random(length), []
+    while len(pairs) < 1500:  # a new start and a new end: a shift leaves n - 2k of n + 2k shingles or so
+        n = length - line_dedup.Q + 1
+        k = max(1, round(n / 9))
+        both = "".join(chr(rng.randrange(97, 123)) for _ in range(length + k))
+        pairs.append((both[k:], both[:-k]))
+    ideal = np.mean([(1 - jaccard(a, b) ** line_dedup.ROWS) ** line_dedup.BANDS for a, b in pairs])
+    lines = spark.createDataFrame([(2 * i + j, t) for i, p in enumerate(pairs) for j, t in enumerate(p)], "h long, line string")
+    keys = {r["h"]: r["keys"] for r in line_dedup.bands(lines).collect()}
+    missed = np.mean([not any(x == y for x, y in zip(keys[2 * i], keys[2 * i + 1])) for i in range(len(pairs))])
+    print(f"length {length}: Jaccard {np.mean([jaccard(*p) for p in pairs]):.3f}, missed {missed:.4f}, ideal {ideal:.4f}")
+    assert missed <= ideal + 4 * (ideal * (1 - ideal) / len(pairs)) ** 0.5
+
+
 def test_line_dedup_runs_no_python(docs):
     plan = line_dedup.bands(line_dedup.distinct_lines(line_dedup.occurrences(docs)))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
