@@ -5,10 +5,12 @@ Equal lines are one from the start. Every distinct line has its set of character
 hashes under ``BANDS`` x ``ROWS`` permutations; lines that agree in a whole band meet in a
 bucket. A pair of similarity 0.8 meets with probability 0.985. In a bucket the smallest line
 is the centre and the others are compared with it, by the exact Jaccard similarity of the
-sets; those that are not similar meet further centres, ever more at a time, until
-nothing is left. A bucket that holds one family of lines is so settled by as many
-comparisons as it has lines. Sketches of the signatures tell chance meetings, so that only
-likely pairs are ever listed.
+sets. These links join components over all buckets. Then every two lines of a bucket that
+still lie in different components are compared: first, of each line and component, the
+likeliest pair, and after another join all. So the components are those of all similar
+pairs that share a bucket. A bucket that holds one family of lines is settled by about as
+many comparisons as it has lines. Sketches of the signatures tell chance meetings, so that
+only likely pairs are ever listed.
 Links of at least ``SIMILAR`` join components, found by distributed union of stars. The
 first line of a component, by doc_id and line number, stays.
 
@@ -44,8 +46,8 @@ LANES = 7
 #: Of similar lines so large a share of the minima agrees; at 0.8 fewer do in one case of 700.
 AGREEING = 0.5625
 
-#: Centres that a bucket elects after the first: four times as many in each round, from the first to the second number.
-MORE_CENTRES = (16, 512)
+#: Lines of a bucket that are compared in one row, on average.
+BLOCK = 256
 
 #: Distinct lines signed by one task, on average.
 TASK_LINES = 30_000
@@ -147,7 +149,7 @@ def verified(pairs: DataFrame, facts: DataFrame, similar: float) -> DataFrame:
 
 
 def links(lines: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """Links (a, b) between hashes of similar lines."""
+    """Links (a, b) between hashes of similar lines, which connect all that are similar and share a bucket."""
     signed = cut_lineage(bands(lines))
     every = signed.select("h", F.explode("keys").alias("key"))
     first = cut_lineage(every.groupBy("key").agg(F.min("h").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
@@ -160,34 +162,50 @@ def links(lines: DataFrame, similar: float = SIMILAR) -> DataFrame:
     facts = cut_lineage(own.join(signed.select(F.col("h").alias("_h"), "sketch"), F.col("h") == F.col("_h")).select("h", "sketch", "line"))
     pairs = cut_lineage(met.filter("a < b").select("a", "b").distinct())
     likely = cut_lineage(_with_both(pairs, facts, "sketch").filter(_likely(F.col("sketch_a"), F.col("sketch_b"), similar)).select("a", "b"))
-    found = verified(likely, facts, similar)
-    left = met.filter("a <> b").join(found.select(F.col("a").alias("_a"), F.col("b").alias("_b")), F.expr("a = _a and b = _b"), "left_anti")
-    sketches = facts.select(F.col("h").alias("_h"), "sketch")
-    open_ = cut_lineage(left.select("key", F.col("b").alias("h")).join(sketches, F.col("h") == F.col("_h")).select("key", "h", "sketch"))
-    release(pairs, likely, met, first)
-    each = MORE_CENTRES[0]
-    while True:
-        # what is like no centre stays in its bucket; it meets more centres, in one row, so that no pairs are listed but likely ones
-        size = open_.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        ranked = open_.withColumn("_rank", F.expr("row_number() over (partition by key order by h)")).filter(F.col("_rank") <= each)
-        few = ranked.groupBy("key").agg(F.collect_list(F.struct("h", "sketch")).alias("centres"))
-        centres = cut_lineage(size.join(few, "key").select("key", "n", "centres"))
-        total, buckets = centres.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-        if not total:
-            return found
-        met = attach(open_, centres, "key", "n", total, F.col("h"), n_groups=buckets * each * 8).filter("centres is not null")
-        maybe = F.filter("centres", lambda c: (c["h"] < F.col("h")) & _likely(c["sketch"], F.col("sketch"), similar))
-        met = cut_lineage(met.select("key", "h", "sketch", F.transform(maybe, lambda c: c["h"]).alias("maybe"),
-                                     F.exists("centres", lambda c: c["h"] == F.col("h")).alias("is_centre")))
-        tried = cut_lineage(met.select(F.explode("maybe").alias("a"), F.col("h").alias("b")).distinct())
-        good = verified(tried, facts, similar)
-        found = found.union(good)
-        judged = met.filter("not is_centre").select("key", "h", "sketch", F.explode_outer("maybe").alias("a"))
-        judged = judged.join(good.select(F.col("a").alias("_a"), F.col("b").alias("_b")), F.expr("a = _a and h = _b"), "left")
-        none = judged.groupBy("key", "h", "sketch").agg(F.count("_a").alias("like")).filter("like = 0")
-        before, open_ = open_, cut_lineage(none.select("key", "h", "sketch"))
-        release(before, centres, met, tried)
-        each = min(4 * each, MORE_CENTRES[1])
+    found, tried = verified(likely, facts, similar), likely
+    members = cut_lineage(met.select("key", F.col("b").alias("h")))
+    release(pairs, met, first)
+    for last in (False, True):
+        # first the likeliest pair of each line and component, which mostly joins them; then all that still lie apart
+        apart = _apart(members, facts, found, similar).join(
+            tried.select(F.col("a").alias("_a"), F.col("b").alias("_b")), F.expr("a = _a and b = _b"), "left_anti")
+        if not last:
+            apart = apart.groupBy("minor", "root").agg(F.expr("max_by(struct(a, b), struct(agreeing, a, b))").alias("_p")).select("_p.a", "_p.b")
+        more = cut_lineage(apart.select("a", "b").distinct())
+        found, tried = found.union(verified(more, facts, similar)), tried.union(more)
+    return found
+
+
+def _apart(members: DataFrame, facts: DataFrame, found: DataFrame, similar: float) -> DataFrame:
+    """(a, b, agreeing, minor, root): likely pairs of a bucket that ``found`` does not connect; at least one of each two is ``minor``.
+
+    In a bucket all lines but those of its largest component are minor. They are dealt in
+    blocks of about ``BLOCK``, each in one row, and every line of the bucket meets every
+    block. Two lines of different components are never both in the largest, so no pair is left out.
+    """
+    linked = cut_lineage(components(found))
+    named = cut_lineage(facts.select("h", "sketch").join(linked, F.col("h") == linked["node"], "left").select(
+        F.col("h").alias("_h"), "sketch", F.coalesce("component", "h").alias("root")))
+    placed = cut_lineage(members.join(named, F.col("h") == F.col("_h")).select("key", "h", "root", "sketch"))
+    sizes = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    mixed = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.expr("max_by(root, struct(n, root))").alias("main"), F.max("n").alias("most"))
+    mixed = cut_lineage(mixed.filter("n > most").select("key", "n", "main", F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("blocks")))
+    total, buckets = mixed.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    open_ = cut_lineage(attach(placed, mixed, "key", "n", total, F.col("h"), n_groups=buckets).filter("main is not null"))
+    block = F.xxhash64("key", F.col("block"))
+    minor = open_.filter("root <> main").withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
+    minor = cut_lineage(minor.groupBy("key", "block").agg(F.collect_list(F.struct("h", "root", "sketch")).alias("centres"), F.max("n").alias("n")).select(
+        block.alias("at"), "centres", "n"))
+    meets, blocks = minor.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    dealt = open_.select("h", "root", "sketch", "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).select(
+        "h", "root", "sketch", block.alias("at"))
+    met = attach(dealt, minor, "at", "n", meets, F.col("h"), n_groups=blocks * BLOCK)
+    maybe = F.filter("centres", lambda c: (c["root"] != F.col("root")) & _likely(c["sketch"], F.col("sketch"), similar))
+    pairs = met.filter("centres is not null").select("h", "root", F.explode(F.transform(maybe, lambda c: F.struct(
+        c["h"].alias("minor"), _agreeing(c["sketch"], F.col("sketch")).alias("agreeing")))).alias("_m"))
+    pairs = cut_lineage(pairs.select(F.least("h", "_m.minor").alias("a"), F.greatest("h", "_m.minor").alias("b"), "_m.agreeing", "_m.minor", "root").distinct())
+    release(linked, named, placed, mixed, open_, minor)
+    return pairs
 
 
 def duplicate_lines(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:

@@ -240,6 +240,36 @@ def test_similar_lines_meet_as_often_as_independent_minima_do(spark, length):
     assert missed <= ideal + 4 * (ideal * (1 - ideal) / len(pairs)) ** 0.5
 
 
+def test_families_that_drift_by_small_edits_stay_whole(spark):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(rng.randrange(3, 9)))
+    families = []
+    for _ in range(40):
+        base = [word() for _ in range(16)]
+        families.append([" ".join(base)])
+        for _ in range(39):
+            base[rng.randrange(16)] = word()
+            families[-1].append(" ".join(base))
+    lines = sorted({x for f in families for x in f})
+    df = spark.createDataFrame([(i, x, i) for i, x in enumerate(lines)], "h long, line string, place long")
+    buckets = defaultdict(list)
+    for r in line_dedup.bands(df).collect():
+        for k in r["keys"]:
+            buckets[k].append(r["h"])
+    u, v = Union(), Union()
+    pairs = {(a, b) for hs in buckets.values() for a in hs for b in hs if a < b}
+    similar = [(a, b) for a, b in pairs if jaccard(lines[a], lines[b]) >= line_dedup.SIMILAR]
+    for a, b in similar:
+        u.join(a, b)
+    for r in line_dedup.links(df).collect():
+        assert jaccard(lines[r["a"]], lines[r["b"]]) >= line_dedup.SIMILAR
+        v.join(r["a"], r["b"])
+    recall = np.mean([v.find(a) == v.find(b) for a, b in similar])
+    classes = [len({w.find(i) for i in range(len(lines))}) for w in (u, v)]
+    print(f"pairs {len(similar)}, recall {recall:.4f}, classes by all pairs and by links {classes}")
+    assert recall == 1 and classes[0] == classes[1]
+
+
 def test_line_dedup_runs_no_python(docs):
     plan = line_dedup.bands(line_dedup.distinct_lines(line_dedup.occurrences(docs)))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
