@@ -9,10 +9,13 @@ first in an order that a digest of doc_id gives), whole and as short excerpts, s
 short texts are learned too. Prediction covers every whole text.
 
 Scores are calibrated on a part of the sample that was not trained on: a temperature
-makes them probabilities, and a text is rejected if its score or the share of its
-n-grams known from training lies below what nearly all (``1 - REJECT``) of those
-texts reach, or if it has no letter. Texts of fewer than ``SHORT`` n-grams give no
-ground for a rejection by score.
+makes them probabilities, and a text is rejected if its score lies below what all but
+``REJECT`` of those texts reach, or if the share of its 4-grams that training saw in the
+predicted language does, or if it has no letter. A language that was not learned may get a
+high score, but shares few 4-grams with the one it is taken for. Texts of fewer than
+``SHORT`` n-grams, about five words, give no ground for a rejection. A class of length with
+fewer than ``LEAST_IN_CLASS`` texts to calibrate with rejects what lies below all of them, of any class; with fewer
+than ``LEAST_HELD`` in all classes, only texts without letters are rejected.
 
 Null text, or one without letters: ``und`` with score 0, rejected. If no row can be
 learned from, every text is ``und``.
@@ -43,8 +46,16 @@ SAMPLE_CHARS = 8_000
 LANGUAGES = 200
 EPOCHS = 4
 RATE = 0.2
-REJECT = 0.0005
+#: Part of the held-out texts of a class of length that each of the two tests may reject.
+REJECT = 0.002
 SHORT = 60
+#: Classes of length, by n-grams: a few words tell less than a whole text, so each has its own thresholds.
+CLASSES = (SHORT, 240)
+#: Held-out texts of over SHORT n-grams for a rejection at all, and of a class for thresholds of its own.
+LEAST_HELD = 50
+LEAST_IN_CLASS = int(1 / REJECT)
+#: Bits of the table of seen 4-grams for each that is in it, at least; so under one in so many unseen ones counts as seen.
+SEEN_BITS = 32
 
 _letters: list[np.ndarray] = []
 
@@ -55,15 +66,32 @@ def _is_letter() -> np.ndarray:
     return _letters[0]
 
 
-def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash buckets of all n-grams of the texts, text after text, and how many each has."""
+def _characters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Lower-case letters of the texts with a zero for each run of others, and the place of each text's last."""
     low = [t.lower() for t in texts]
     chars = np.frombuffer(("\n".join(low) + "\n").encode("utf-32-le", "surrogatepass"), "<u4")
     owner_end = np.cumsum(np.fromiter(map(len, low), np.int64, len(low)) + 1)
     letter = _is_letter()[chars]
     keep = letter | np.concatenate(([True], letter[:-1]))  # one mark for each run of other characters
     code = np.where(letter, chars, 0)[keep]
-    ends = np.cumsum(keep)[owner_end - 1]  # of each text, among the kept
+    return code, np.cumsum(keep)[owner_end - 1]  # of each text, among the kept
+
+
+def fours(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all 4-grams of the texts, text after text, and how many each has."""
+    code, ends = _characters(texts)
+    n = max(0, len(code) - 3)
+    h = np.zeros(n, np.uint64)
+    for j in range(4):
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + code[j:j + n].astype(np.uint64)
+    ok = (code[1:1 + n] != 0) & (code[2:2 + n] != 0)
+    before = np.concatenate(([0], np.cumsum(ok)))[np.minimum(ends, n)]
+    return h[ok], np.diff(np.concatenate(([0], before)))
+
+
+def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash buckets of all n-grams of the texts, text after text, and how many each has."""
+    code, ends = _characters(texts)
     size = len(code)
     found, counts = [], []
     inside = code != 0
@@ -89,34 +117,66 @@ def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """Languages; for each bucket the layer's output for its embedding, and last whether training knew it."""
+    """Languages; for each bucket the layer's output for its embedding; a table of bits of the 4-grams seen in each language."""
 
     languages: list[str]
     table: np.ndarray
     bias: np.ndarray
+    seen: np.ndarray
     temperature: float = 1.0
-    least_score: float = 0.0
-    least_known: float = 0.0
+    least_score: tuple[float, ...] = (0.0,) * (len(CLASSES) + 1)
+    least_known: tuple[float, ...] = (0.0,) * (len(CLASSES) + 1)
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and whether it is rejected, for each text."""
         buckets, counts = ngrams(texts)
-        logits, known, has = self._logits(buckets, counts)
+        logits = self._logits(buckets, counts)
         p = _softmax(logits / self.temperature)
         best = p.argmax(1) if len(self.languages) else np.zeros(len(texts), int)
         letters = np.array([any(map(str.isalpha, t)) if not n else True for t, n in zip(texts, counts)]) & bool(self.languages)
+        known = self.known(texts, best) if self.languages else np.zeros(len(texts))
         score = np.where(letters, p.max(1) if len(self.languages) else 0.0, 0.0)
-        rejected = ~letters | ((counts >= SHORT) & ((score < self.least_score) | (known < self.least_known)))
+        size = np.digitize(counts, CLASSES)
+        rejected = ~letters | (score < np.array(self.least_score)[size]) | (known < np.array(self.least_known)[size])
         return [self.languages[b] if ok else NONE for b, ok in zip(best, letters)], score, rejected
 
-    def _logits(self, buckets: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def known(self, texts: list[str], language: np.ndarray) -> np.ndarray:
+        """Share of the 4-grams of each text that training saw in its language; 1 if it has none."""
+        h, counts = fours(texts)
+        at = _places(h, np.repeat(language, counts), 8 * len(self.seen))
+        hit = np.concatenate(([0], np.cumsum(self.seen[at >> 3] >> (at & 7).astype(np.uint8) & 1, dtype=np.int64)))
+        ends = np.cumsum(counts)
+        return np.where(counts > 0, (hit[ends] - hit[ends - counts]) / np.maximum(counts, 1), 1.0)
+
+    def _logits(self, buckets: np.ndarray, counts: np.ndarray) -> np.ndarray:
         sums = np.zeros((len(counts), self.table.shape[1]), np.float64)
         has = counts > 0
         if has.any():
             starts = (np.cumsum(counts) - counts)[has]
             sums[has] = np.add.reduceat(self.table[buckets], starts, axis=0, dtype=np.float64)
         mean = sums / np.maximum(counts, 1)[:, None]
-        return mean[:, :-1] + self.bias, mean[:, -1], has
+        return mean + self.bias
+
+
+def _places(h: np.ndarray, language: np.ndarray, bits: int) -> np.ndarray:
+    """Places of 4-grams of languages in a table of so many bits, a power of two."""
+    x = (h + language.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    return ((x ^ (x >> np.uint64(29))) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def _seen(rows: list[tuple[int, str]]) -> np.ndarray:
+    """The table of bits of the 4-grams of ``(language, text)`` pairs."""
+    grams: dict[int, list[np.ndarray]] = {}
+    for y, text in rows:
+        grams.setdefault(y, []).append(np.unique(fours([text])[0]))
+    each = {y: np.unique(np.concatenate(g)) for y, g in grams.items()}
+    bits = 1 << max(10, (SEEN_BITS * sum(map(len, each.values()))).bit_length())
+    table = np.zeros(bits // 8, np.uint8)
+    for y, g in each.items():
+        at = _places(g, np.full(len(g), y), bits)
+        np.bitwise_or.at(table, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+    return table
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -149,12 +209,10 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
     k = len(languages)
     embed = rng.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS, WIDTH)).astype(np.float32)
     layer, bias = np.zeros((WIDTH, k), np.float32), np.zeros(k, np.float32)
-    known = np.zeros(BUCKETS, bool)
     step, steps = 0, max(1, EPOCHS * len(fit))
     for _ in range(EPOCHS):
         for i in rng.permutation(len(fit)):
             y, b, w = fit[i]
-            known[b] = True
             mean = w @ embed[b]
             p = _softmax((mean @ layer + bias)[None])[0]
             p[y] -= 1
@@ -164,7 +222,8 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
             bias -= rate * p
             embed[b] -= (rate * WIDTH) * w[:, None] * back
             step += 1
-    model = Model(languages, np.column_stack([embed @ layer, known]).astype(np.float32), bias.astype(np.float64))
+    model = Model(languages, (embed @ layer).astype(np.float32), bias.astype(np.float64),
+                  _seen([(y, text) for y, text, test in examples if not test]))
     _calibrate(model, [(y, text) for (y, text, test) in examples if test])
     return model
 
@@ -175,17 +234,19 @@ def _calibrate(model: Model, held: list[tuple[int, str]]) -> None:
     parts = []
     for at in range(0, len(held), 64):
         buckets, n = ngrams([t for _, t in held[at:at + 64]])
-        parts.append((*model._logits(buckets, n)[:2], n))
+        logits = model._logits(buckets, n)
+        parts.append((logits, model.known([t for _, t in held[at:at + 64]], logits.argmax(1)), n))
     logits, known, counts = (np.concatenate(x) for x in zip(*parts))
     y = np.array([a for a, _ in held])
     loss = lambda t: -np.log(np.maximum(_softmax(logits / t)[np.arange(len(y)), y], 1e-12)).mean()
     model.temperature = min((2.0 ** (k / 2) for k in range(-8, 15)), key=loss)
     score = _softmax(logits / model.temperature).max(1)
-    long = counts >= SHORT
-    if long.any():
-        # half of what the weakest of nearly all held-out texts reaches, so that clean texts stay
-        model.least_score = float(np.quantile(score[long], REJECT)) / 2
-        model.least_known = float(np.quantile(known[long], REJECT)) / 2
+    size = np.digitize(counts, CLASSES)
+    least = [(0.0, 0.0)]
+    for k in range(1, len(CLASSES) + 1):
+        mine, at = (size == k, REJECT) if (size == k).sum() >= LEAST_IN_CLASS else (size > 0, 0.0)
+        least.append((float(np.quantile(score[mine], at)), float(np.quantile(known[mine], at))) if mine.sum() >= LEAST_HELD else (0.0, 0.0))
+    model.least_score, model.least_known = zip(*least)
 
 
 def sample(rows: DataFrame, per_language: int = SAMPLE, chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:

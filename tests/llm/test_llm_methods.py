@@ -296,6 +296,18 @@ def test_foreign_text_is_rejected(rows):
     assert rejected.tolist() == [True, True, True, False] and lang[1:3] == ["und", "und"]
 
 
+def test_an_unlearned_language_of_the_same_script_is_rejected(spark):
+    texts = defaultdict(list)
+    for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").orderBy("doc_id").collect():
+        texts[r["lang"]].append(r["text"] or "")
+    for out in ("en", "es"):
+        model = langid.train([(lang, t[:8000]) for i in range(800) for lang in sorted(texts) if lang != out for t in texts[lang][i:i + 1]])
+        refused = {lang: np.concatenate([model.predict(texts[lang][at:at + 128])[2] for at in range(800, min(1300, len(texts[lang])), 128)]).mean()
+                   for lang in texts}
+        print(f"without {out}: rejected {({k: round(float(v), 4) for k, v in refused.items()})}, least score {model.least_score}, known {model.least_known}")
+        assert refused[out] >= 0.95 and all(v <= 0.01 for lang, v in refused.items() if lang != out)
+
+
 # --- 8 substring dedup -------------------------------------------------------------------------
 
 def test_passages_are_found_in_any_place(spark):
