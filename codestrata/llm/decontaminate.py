@@ -3,10 +3,12 @@
 Texts are tokens: numbers and words. A template replaces numbers, units behind a number
 and names (capitalised words) by typed placeholders; everything else is compared without
 case or punctuation. Every window of ``WINDOW`` template tokens of the benchmark is
-hash-joined with those of all documents, in two forms: with names replaced, to catch
-re-parameterised questions, and with names as words, to catch copies in other case.
-Windows of which fewer than half are words are no evidence. An item shorter than the
-window is one window of its own length; items under ``LEAST`` tokens are not searched.
+hash-joined with those of all documents, in three forms: with names replaced, to catch
+re-parameterised questions, with names as words, to catch copies in other case, and with
+every token as it is, to catch copies that consist mostly of numbers. In the first two,
+windows of which fewer than half are words are no evidence, and templates under ``LEAST``
+tokens are not searched. An item shorter than the window is one window of its own length,
+so a text that holds all words of a very short item in a row is contaminated by it.
 
 Matches of a document and an item at one offset must fill the slots consistently: a value
 of the item always stands for the same value of the document, and the other way round.
@@ -52,7 +54,8 @@ UNITS = frozenset("""mm cm m km meter meters metre metres kilometer kilometers i
 _TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+")
 _WORD, _NUMBER, _NAME, _UNIT = 0, 1, 2, 3
 _MARKS = np.array([0x6A09E667F3BCC908, 0xBB67AE8584CAA73B, 0x3C6EF372FE94F82B], np.uint64)
-_FORMS = ("names as words", "names replaced")
+_FORMS = ("names as words", "names replaced", "literal")
+_LITERAL = 2
 _PRIME = 0x100000001B3 * 0x9E3779B97F4A7C15 & ((1 << 64) - 1) | 1
 
 WINDOWS = "id long, form int, pos int, n_tokens int, length int, hash long, slots array<string>"
@@ -78,9 +81,10 @@ class Templates:
     def __init__(self) -> None:
         self.codes = Store(_code, 1 << 16)
 
-    def windows(self, texts: list[str], lengths: list[int], wanted: Wanted | None, whole_only: bool = False) -> list[tuple]:
+    def windows(self, texts: list[str], shapes: list[tuple[int, int]], wanted: Wanted | None, whole_only: bool = False) -> list[tuple]:
         """(text, form, position, tokens of the text, length, hash, slots) of all windows whose hash is wanted.
 
+        ``shapes`` are the pairs of form and length to make.
         ``whole_only`` makes windows shorter than WINDOW only of texts of just that length.
         """
         tokens = [_TOKEN.findall(t) for t in texts]
@@ -96,19 +100,21 @@ class Templates:
         slot = number | unit
         plain = np.where(number, _MARKS[0], np.where(unit, _MARKS[1], word))
         found: list[tuple] = []
-        for form in (0, 1):
-            holes = slot | (kind == _NAME) if form else slot
-            symbols = np.where(holes & ~slot, _MARKS[2], plain) if form else plain
+        for form in range(len(_FORMS)):
+            holes = (slot | (kind == _NAME), slot)[form == 0] if form != _LITERAL else np.zeros(len(flat), bool)
+            symbols = word if form == _LITERAL else np.where(holes & ~slot, _MARKS[2], plain)
             words = np.concatenate(([0], np.cumsum(~holes)))
-            for length in lengths:
+            for length in (n for f, n in shapes if f == form):
                 n = len(symbols) - length + 1
                 if n <= 0:
                     continue
                 h = np.zeros(n, np.uint64)
                 for j in range(length):
                     h = h * np.uint64(_PRIME) + symbols[j:j + n]
-                h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(2 * length + form)
-                ok = (owner[:n] == owner[length - 1:]) & (2 * (words[length:] - words[:n]) >= length)
+                h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(4 * length + form)
+                ok = owner[:n] == owner[length - 1:]
+                if form != _LITERAL:
+                    ok &= 2 * (words[length:] - words[:n]) >= length
                 if whole_only and length < WINDOW:
                     ok &= sizes[owner[:n]] == length
                 if wanted is not None:
@@ -143,7 +149,7 @@ class Wanted:
         return self.sorted[at] == h
 
 
-def windows(rows: DataFrame, lengths: list[int], wanted: Shared | None, whole_only: bool = False) -> DataFrame:
+def windows(rows: DataFrame, shapes: list[tuple[int, int]], wanted: Shared | None, whole_only: bool = False) -> DataFrame:
     """Template windows of ``rows(id, text)``."""
     ship(rows.sparkSession)
 
@@ -152,7 +158,7 @@ def windows(rows: DataFrame, lengths: list[int], wanted: Shared | None, whole_on
         look = Wanted(wanted.value) if wanted else None
         for batch in slices(batches):
             ids = batch.column(0).to_pylist()
-            found = own.windows([x or "" for x in batch.column(1).to_pylist()], lengths, look, whole_only)
+            found = own.windows([x or "" for x in batch.column(1).to_pylist()], shapes, look, whole_only)
             cols = list(zip(*found)) or [()] * 7
             yield pa.RecordBatch.from_arrays(
                 [pa.array([ids[i] for i in cols[0]], pa.int64()), *[pa.array(c, pa.int32()) for c in cols[1:5]],
@@ -166,13 +172,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, covered (tokens), coverage (share of the item), consistency, kind: one row for each such pair."""
     spark = docs.sparkSession
     items = benchmark.filter(F.col("text").isNotNull()).groupBy("text").agg(F.min("item_id").alias("id")).select("id", "text")
-    theirs = cut_lineage(windows(items, list(range(LEAST, WINDOW + 1)), None, whole_only=True))
-    lengths = sorted(r[0] for r in theirs.select("length").distinct().collect())
+    every = [(form, n) for form in range(len(_FORMS)) for n in range(1 if form == _LITERAL else LEAST, WINDOW + 1)]
+    theirs = cut_lineage(windows(items, every, None, whole_only=True))
+    shapes = sorted((r[0], r[1]) for r in theirs.select("form", "length").distinct().collect())
     hashes = theirs.select("hash").distinct()
     wanted = None
     if hashes.count() <= SENT:
         wanted = Shared(spark, np.array([r[0] for r in hashes.collect()], np.int64))
-    ours = windows(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), lengths or [WINDOW], wanted)
+    ours = windows(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), shapes, wanted)
     hits = ours.select(F.col("id").alias("doc_id"), "form", "hash", F.col("pos").alias("at"), F.col("slots").alias("ours")).join(
         theirs.select(F.col("id").alias("item_id"), "form", "hash", "pos", "n_tokens", "length", F.col("slots").alias("theirs")),
         ["form", "hash"])
@@ -195,7 +202,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     good = spans.filter((F.col("consistency") >= CONSISTENT) & ((F.col("covered") >= ENOUGH) | (F.col("coverage") >= SHARE)))
     kind = F.when(F.coalesce("same", F.lit(1)) == 1, "copy").otherwise("reparameterised")
     best = good.withColumn("_rank", F.expr(
-        "row_number() over (partition by doc_id, item_id order by covered desc, consistency desc, form, offset)")).filter("_rank = 1")
+        "row_number() over (partition by doc_id, item_id order by coverage desc, covered desc, consistency desc, form, offset)")).filter("_rank = 1")
     return best.select("doc_id", "item_id", F.col("covered").cast("long"), "coverage", "consistency", kind.alias("kind"))
 
 

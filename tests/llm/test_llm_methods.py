@@ -177,6 +177,14 @@ def test_copies_and_new_parameters_are_caught(spark):
     assert kinds == {(1, 1): "copy", (2, 1): "reparameterised", (3, 1): "copy", (4, 2): "copy"}
 
 
+def test_copies_of_short_items_and_of_items_full_of_numbers_are_caught(spark):
+    items = ["Sort 5 3 9 1 7 2 8 4 6", "Compute 12 + 34 - 5 + 7", "Define entropy.", "3 4 5"]
+    cases = [f"Some words before it. {t.lower()} And words behind." for t in items] + ["Sort 6 4 8 2 7 1 9 3 5", "Compute 13 + 34 - 5 + 8", "entropy is to define"]
+    found = decontaminate.contaminated(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string"),
+                                       spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"], r["kind"]) for r in found} == {(i, i, "copy") for i in range(4)}
+
+
 def test_planted_passages_of_the_benchmark(spark, docs, rows):
     benchmark = spark.read.parquet(f"{SF}/benchmark.parquet")
     words = lambda t: re.findall(r"[^\W_]+", t.lower())
