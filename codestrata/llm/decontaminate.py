@@ -10,10 +10,13 @@ windows of which fewer than half are words are no evidence, and templates under
 tokens are not searched. An item shorter than the window is one window of its own length,
 so a text that holds all words of a very short item in a row is contaminated by it.
 
-Matches of a document and an item at one offset must fill the slots consistently: a value
-of the item always stands for the same value of the document, and the other way round.
-A document is contaminated by an item if at some offset at least ``CONSISTENT`` of the
-slots agree so and the windows cover ``ENOUGH`` tokens or ``SHARE`` of the item.
+A run of numbers, or of names that are replaced, is one placeholder, so that a value may have
+any number of tokens. Matches of a document and an item at one offset, or at neighbouring
+ones (each at most ``DRIFT`` from the next, as inserted words make them), must fill the
+slots consistently: a value of the item always stands for the same value of the document,
+and the other way round. A document is contaminated by an item if in some such group at
+least ``CONSISTENT`` of the slots agree so and the windows cover ``ENOUGH`` template tokens
+or ``SHARE`` of the item.
 
 Items of equal text are searched once, under their smallest item_id. Null texts have no
 tokens. Rows that repeat a doc_id count as one document.
@@ -38,6 +41,7 @@ WINDOW = 8
 LEAST = 4
 ENOUGH = 13
 SHARE = 0.6
+DRIFT = 8
 CONSISTENT = 0.8
 
 #: Hashes of benchmark windows that are sent to all tasks (8 bytes each); with more, all windows of the documents are shuffled.
@@ -103,6 +107,16 @@ class Templates:
         for form in range(len(_FORMS)):
             holes = (slot | (kind == _NAME), slot)[form == 0] if form != _LITERAL else np.zeros(len(flat), bool)
             symbols = word if form == _LITERAL else np.where(holes & ~slot, _MARKS[2], plain)
+            # the runs: a first token each, and the tokens up to the next first
+            what = np.where(holes, kind, _WORD)
+            what[holes & unit] = _UNIT
+            more = np.zeros(len(flat), bool)
+            more[1:] = (what[1:] == what[:-1]) & (owner[1:] == owner[:-1]) & ((what[1:] == _NUMBER) | (what[1:] == _NAME))
+            first = np.flatnonzero(~more)
+            until = np.append(first[1:], len(flat))
+            symbols, holes, whose = symbols[first], holes[first], owner[first]
+            count = np.bincount(whose, minlength=len(texts))
+            begin = np.cumsum(count) - count
             words = np.concatenate(([0], np.cumsum(~holes)))
             for length in (n for f, n in shapes if f == form):
                 n = len(symbols) - length + 1
@@ -112,20 +126,20 @@ class Templates:
                 for j in range(length):
                     h = h * np.uint64(_PRIME) + symbols[j:j + n]
                 h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(4 * length + form)
-                ok = owner[:n] == owner[length - 1:]
+                ok = whose[:n] == whose[length - 1:]
                 if form != _LITERAL:
                     ok &= 2 * (words[length:] - words[:n]) >= length
                 if whole_only and length < WINDOW:
-                    ok &= sizes[owner[:n]] == length
+                    ok &= count[whose[:n]] == length
                 if wanted is not None:
                     ok &= wanted.maybe(h)
                 at = np.flatnonzero(ok)
                 if wanted is not None:
                     at = at[wanted.has(h[at])]
                 for i in at.tolist():
-                    who = int(owner[i])
-                    found.append((who, form, i - int(start[who]), int(sizes[who]), length, int(h[i].astype(np.int64)),
-                                  [flat[j].lower() for j in range(i, i + length) if holes[j]]))
+                    who = int(whose[i])
+                    found.append((who, form, i - int(begin[who]), int(count[who]), length, int(h[i].astype(np.int64)),
+                                  [" ".join(flat[first[j]:until[j]]).lower() for j in range(i, i + length) if holes[j]]))
         return found
 
 
@@ -183,9 +197,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hits = ours.select(F.col("id").alias("doc_id"), "form", "hash", F.col("pos").alias("at"), F.col("slots").alias("ours")).join(
         theirs.select(F.col("id").alias("item_id"), "form", "hash", "pos", "n_tokens", "length", F.col("slots").alias("theirs")),
         ["form", "hash"])
-    place = ["doc_id", "item_id", "form", "offset"]
-    hits = cut_lineage(hits.withColumn("offset", F.col("at") - F.col("pos")).dropDuplicates([*place, "pos"]))
-    over = "over (partition by doc_id, item_id, form, offset order by pos)"
+    hits = cut_lineage(_grouped(hits.withColumn("offset", F.col("at") - F.col("pos")).dropDuplicates(
+        ["doc_id", "item_id", "form", "offset", "pos"])))
+    place = ["doc_id", "item_id", "form", "span"]
+    over = "over (partition by doc_id, item_id, form, span order by pos)"
     spans = hits.withColumn("_new", F.expr(f"least(length, coalesce(pos - lag(pos) {over}, length))")).groupBy(*place).agg(
         F.sum("_new").alias("covered"), F.max("n_tokens").alias("n_tokens"))
     pairs = hits.select(*place, F.explode(F.arrays_zip("ours", "theirs")).alias("_s")).groupBy(
@@ -202,10 +217,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     good = spans.filter((F.col("consistency") >= CONSISTENT) & ((F.col("covered") >= ENOUGH) | (F.col("coverage") >= SHARE)))
     kind = F.when(F.coalesce("same", F.lit(1)) == 1, "copy").otherwise("reparameterised")
     best = good.withColumn("_rank", F.expr(
-        "row_number() over (partition by doc_id, item_id order by coverage desc, covered desc, consistency desc, form, offset)")).filter("_rank = 1")
+        "row_number() over (partition by doc_id, item_id order by coverage desc, covered desc, consistency desc, form, span)")).filter("_rank = 1")
     return best.select("doc_id", "item_id", F.col("covered").cast("long"), "coverage", "consistency", kind.alias("kind"))
 
 
+def _grouped(hits: DataFrame) -> DataFrame:
+    """Hits by groups (``span``): each offset for itself, and all neighbouring offsets together.
+
+    In the latter a position of the item counts once, at the offset with the most hits.
+    """
+    pair = "partition by doc_id, item_id, form"
+    near = hits.withColumn("_step", F.expr(f"offset - lag(offset) over ({pair} order by offset, pos)")).withColumn(
+        "_run", F.expr(f"sum(if(_step > {DRIFT}, 1, 0)) over ({pair} order by offset, pos)")).withColumn(
+        "_support", F.expr(f"count(1) over ({pair}, offset)"))
+    near = near.withColumn("_all", F.expr(f"count(1) over ({pair}, _run)")).filter("_support < _all").withColumn(
+        "_rank", F.expr(f"row_number() over ({pair}, _run, pos order by _support desc, offset)")).filter("_rank = 1")
+    single = hits.withColumn("span", F.col("offset").cast("long") * 2)
+    return single.unionByName(near.withColumn("span", F.col("_run") * 2 + 1).select(*single.columns))
+
+
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows that no benchmark item contaminates, with all their columns; each is judged by itself, whatever its doc_id."""
     docs = numbered(docs)

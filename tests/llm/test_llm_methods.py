@@ -185,6 +185,18 @@ def test_copies_of_short_items_and_of_items_full_of_numbers_are_caught(spark):
     assert {(r["doc_id"], r["item_id"], r["kind"]) for r in found} == {(i, i, "copy") for i in range(4)}
 
 
+def test_values_of_other_lengths_and_inserted_words_are_caught(spark):
+    q = "Maria bought 30 red apples at the old market, then Maria gave away some of them to her kind neighbour next door"
+    short = "the farmer counted 30 sheep near the river and sold a few of them"
+    items = spark.createDataFrame([(1, q), (2, short)], "item_id long, text string")
+    new = q.replace("Maria", "Anna Lopez").replace("30", "thirty five")
+    cases = [(1, new), (2, short.replace("30", "one hundred twenty")), (3, q.replace("market,", "and busy market,")),
+             (4, new.replace("then Anna Lopez", "then Peter Miller")), (5, new.replace("market, then", "market, but then"))]
+    found = decontaminate.contaminated(spark.createDataFrame(cases, "doc_id long, text string"), items).collect()
+    assert {(r["doc_id"], r["item_id"]): r["kind"] for r in found} == {
+        (1, 1): "reparameterised", (2, 2): "reparameterised", (3, 1): "copy", (4, 1): "reparameterised", (5, 1): "reparameterised"} or print(found)
+
+
 def test_planted_passages_of_the_benchmark(spark, docs, rows):
     benchmark = spark.read.parquet(f"{SF}/benchmark.parquet")
     words = lambda t: re.findall(r"[^\W_]+", t.lower())
