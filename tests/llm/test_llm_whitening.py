@@ -70,7 +70,7 @@ def test_odd_rows(spark):
     good = rng.standard_normal((40, 5)).round(3).tolist()
     good[7] = good[3]  # repeated vector: once in the fit list, both in the result
     rows = [(i, v, "a", 1) for i, v in enumerate(good)]
-    bad = [None, [], [1.0, None, 0, 0, 0], [float("nan")] * 5, [float("inf"), 0.0, 0, 0, 0], [1.0, 2.0], [1e300, 0.0, 0, 0, 0]]
+    bad = [None, [], [1.0, None, 0.0, 0.0, 0.0], [float("nan")] * 5, [float("inf")] * 5, [1.0, 2.0], [1e300] * 5]
     schema = "vec_id long, embedding array<double>, x string, n int"
     table = spark.createDataFrame(rows + [(100 + i, v, None, None) for i, v in enumerate(bad)], schema)
     check(whitening.op13(table), integers(good), k=5)
