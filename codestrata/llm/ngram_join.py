@@ -13,6 +13,9 @@ link when ``100 * intersection >= PERCENT * union``. Equal sets are one from the
    sizes that it can link with. A row carries a bitmap of ``BITS`` bits, the parities of the
    set's hashes. The bits in which two bitmaps differ are at most the shingles that are in
    one set only; so their count bounds the overlap from above, and most pairs end here.
+   A bitmap says little about a set much larger than itself. So a set of ``SECTION`` shingles
+   or more is cut by hash into 2, 4, 8, ... sections of about that size, each with rows and a bitmap
+   of its own: if two sets link, then the sections of one hash in both reach the bound too.
    Pairs that pass are joined into classes, by a spanning forest of each tile.
 3. The hashes of the sets that are in a class, and of no others, are moved: each set once, to
    its class. There the bitmaps are compared again and what passes is intersected exactly,
@@ -58,6 +61,9 @@ BUCKETS = 1 << 18
 #: Bits of a signature.
 BITS = 256
 
+#: Least size, on average, of the sections of a large set; with twice as many shingles it has twice as many.
+SECTION = 256
+
 #: Rows of a tile, or members of a block, that are compared at a time; bytes of hashes of a block.
 TILE, BLOCK, BLOCK_BYTES = 2048, 2048, 24 << 20
 
@@ -128,34 +134,45 @@ def _size_band(n: int) -> int:
     return int(math.log(n) / -math.log(PERCENT / 100) * (1 - 1e-12))
 
 
+def _levels(n: int) -> list[int]:
+    """Into 2**level sections a set is cut: by its size, and as the least sets that are cut once more if it can link with them."""
+    level = max(0, (n // SECTION).bit_length() - 1)
+    larger = SECTION << (level + 1)
+    return [level, level + 1] if 100 * n >= PERCENT * larger else [level]
+
+
 def _texts(docs: DataFrame, *more: str) -> DataFrame:
-    return docs.select(*[F.col(c).cast("long") for c in more], F.col("text").cast("string").cast("binary").alias("text"))
+    """The text in bytes, behind a hash of it and ``more`` columns."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.xxhash64(text).alias("text_hash"), *[F.col(c).cast("long") for c in more], text.cast("binary").alias("text"))
 
 
 def read_sets(docs: DataFrame) -> DataFrame:
-    """Rows ``(doc_id, set, n, null, null)`` of all documents, and ``(null, null, null, bucket, times)`` of the histogram."""
+    """Rows ``(doc_id, text_hash, set, node, n)`` of all documents, and ``(bucket, times)`` of the histogram; the rest is null."""
     ship(docs.sparkSession)
+    fields = {"doc_id": pa.int64(), "text_hash": pa.int64(), "set": pa.binary(), "node": pa.int64(), "n": pa.int64(), "bucket": pa.int32(), "times": pa.int64()}
+
+    def filled(rows: int, **columns: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(rows, t)) for c, t in fields.items()], list(fields))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, times = _Words(), np.zeros(BUCKETS, np.int64)
-        names = ["doc_id", "set", "n", "bucket", "times"]
         for batch in slices(batches):
             sets, sizes = [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 h = shingles(text, known)
                 np.add.at(times, _bucket(h), 1)
                 sets.append(_digest(h) if len(h) else None)
                 sizes.append(len(h))
-            nothing = pa.nulls(len(sets), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sets, pa.binary()), pa.array(sizes, pa.int64()), pa.nulls(len(sets), pa.int32()), nothing], names)
+            nodes = [s and _node(s) for s in sets]
+            yield filled(len(sets), doc_id=batch.column(1), text_hash=batch.column(0), set=pa.array(sets, pa.binary()),
+                         node=pa.array(nodes, pa.int64()), n=pa.array(sizes, pa.int64()))
         full = np.flatnonzero(times)
         for at in range(0, len(full), 1 << 15):
             b = full[at:at + (1 << 15)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(b), pa.int64()), pa.nulls(len(b), pa.binary()), pa.nulls(len(b), pa.int64()),
-                                              pa.array(b.astype(np.int32)), pa.array(times[b])], names)
+            yield filled(len(b), bucket=pa.array(b.astype(np.int32)), times=pa.array(times[b]))
 
-    return _texts(docs, "doc_id").mapInArrow(run, "doc_id long, set binary, n long, bucket int, times long")
+    return _texts(docs, "doc_id").mapInArrow(run, "doc_id long, text_hash long, set binary, node long, n long, bucket int, times long")
 
 
 def histogram(rows: DataFrame) -> np.ndarray:
@@ -166,51 +183,74 @@ def histogram(rows: DataFrame) -> np.ndarray:
     return out
 
 
+def _first_rows(h: np.ndarray, node: int, times: np.ndarray, limit: int) -> Iterator[tuple]:
+    """(deal, token, node, n, size, lead) and signature of the rows of one set, section by section."""
+    rank = times[_bucket(h)]
+    for level in _levels(len(h)):
+        section = (_mixed(h) >> np.uint64(64 - level)).astype(np.int64) if level else np.zeros(len(h), np.int64)
+        order = np.lexsort((rank, section))  # hashes are sorted: they decide ties
+        ends = np.cumsum(np.bincount(section, minlength=1 << level)).tolist()
+        for start, end in zip([0, *ends], ends):
+            n = end - start
+            if not n:
+                continue
+            own = order[start:end]
+            first = n - -(-PERCENT * n // 100) + 1
+            lead = n - -(-2 * PERCENT * n // (100 + PERCENT)) + 1
+            at = own[:first]
+            token = (h[at] + np.uint64(level)).view(np.int64)
+            hot = rank[at] > limit
+            if hot.any():
+                band = _size_band(n)
+                joins = [xxhash.xxh64_intdigest(f"{t} {b}") for t in token[hot].tolist() for b in (band, band + 1)]
+                joins = np.array(joins, np.uint64).view(np.int64)
+                token = np.concatenate([token[~hot], joins])
+                k = len(token) - len(joins)
+                deal = np.where(np.arange(len(token)) < k, token, node)
+                size = np.where(np.arange(len(token)) < k, n, 0)
+                leads = np.concatenate([np.arange(first)[~hot] < lead, np.zeros(len(joins), bool)])
+            else:
+                deal, size, leads = token, np.full(first, n), np.arange(first) < lead
+            m = len(token)
+            yield (deal, token, np.full(m, node), size.astype(np.int32), np.full(m, len(h), np.int32), leads), np.tile(signature(h[own]), (m, 1))
+
+
 def tile_rows(docs: DataFrame, order: np.ndarray, hot: int) -> DataFrame:
-    """(deal, token, node, n, lead, sig): a row for each of the first shingles of a set.
+    """(deal, token, node, n, size, lead, sig): a row for each of the first shingles of a set, or of its sections.
 
-    ``lead`` says that a pair in which this set is the smaller has to meet here. Rows of hot
-    shingles have size 0 and, instead of the shingle, a node that joins their class.
+    ``n`` counts the section, ``size`` the set. ``lead`` says that a pair in which this
+    section is the smaller has to meet here. Rows of hot shingles have ``n`` 0 and, instead
+    of the shingle, a node that joins their class.
     """
     ship(docs.sparkSession)
     ranks = docs.sparkSession.sparkContext.broadcast(order.clip(0, (1 << 31) - 1).astype(np.int32))
     limit = min(hot, (1 << 31) - 1)
+    names = ["deal", "token", "node", "n", "size", "lead", "sig"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen, times = _Words(), set(), ranks.value
         for batch in slices(batches):
-            columns: list[list[np.ndarray]] = [[], [], [], [], [], []]
-            for text in batch.column(0).to_pylist():
-                h = shingles(text, known)
-                n = len(h)
-                digest = _digest(h)
-                if not n or digest in seen:
+            rows, sigs, held = [], [], 0
+            for text_hash, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if text_hash in seen:
                     continue
                 if len(seen) >= SEEN:
                     seen.clear()
-                seen.add(digest)
-                first = n - -(-PERCENT * n // 100) + 1
-                lead = n - -(-2 * PERCENT * n // (100 + PERCENT)) + 1
-                rank = times[_bucket(h)]
-                at = np.lexsort((h, rank))[:first]
-                token, hot_ones = h[at].view(np.int64), rank[at] > limit
-                node, cold = _node(digest), ~hot_ones
-                k = int(cold.sum())
-                band = _size_band(n)
-                joins = [xxhash.xxh64_intdigest(f"{t} {b}") for t in token[hot_ones].tolist() for b in (band, band + 1)]
-                joins = np.array(joins, np.uint64).view(np.int64)
-                full = lambda v: np.full(k + len(joins), v)
-                columns[0].append(np.concatenate([token[cold], full(node)[k:]]))
-                columns[1].append(np.concatenate([token[cold], joins]))
-                columns[2].append(full(node))
-                columns[3].append(np.where(np.arange(k + len(joins)) < k, n, 0))
-                columns[4].append(np.concatenate([np.arange(first)[cold] < lead, np.zeros(len(joins), bool)]))
-                columns[5].append(np.tile(signature(h), (k + len(joins), 1)))
-            if columns[0]:
-                *flat, sig = (np.concatenate(c) for c in columns)
-                yield _with_signatures(flat, sig, ["deal", "token", "node", "n", "lead", "sig"])
+                seen.add(text_hash)
+                h = shingles(text, known)
+                if not len(h):
+                    continue
+                for row, sig in _first_rows(h, _node(_digest(h)), times, limit):
+                    rows.append(row)
+                    sigs.append(sig)
+                    held += len(sig)
+                    if held >= 1 << 16:
+                        yield _with_signatures([np.concatenate(c) for c in zip(*rows)], np.concatenate(sigs), names)
+                        rows, sigs, held = [], [], 0
+            if rows:
+                yield _with_signatures([np.concatenate(c) for c in zip(*rows)], np.concatenate(sigs), names)
 
-    return _texts(docs).mapInArrow(run, "deal long, token long, node long, n long, lead boolean, sig binary")
+    return _texts(docs).mapInArrow(run, "deal long, token long, node long, n int, size int, lead boolean, sig binary")
 
 
 def _with_signatures(flat: list[np.ndarray], sig: np.ndarray, names: list[str]) -> pa.RecordBatch:
@@ -223,14 +263,19 @@ def _signatures(column: pa.Array) -> np.ndarray:
     return np.frombuffer(fixed.buffers()[1], np.uint64, len(fixed) * BITS // 64, fixed.offset * BITS // 8).reshape(-1, BITS // 64)
 
 
+def _near(n1, n2) -> np.ndarray:
+    """Sizes allow a link."""
+    return 100 * np.minimum(n1, n2) >= PERCENT * np.maximum(n1, n2)
+
+
 def _possible(n1, s1, n2, s2) -> np.ndarray:
     """Sizes and bitmaps allow a link: the differing bits leave enough overlap."""
     differing = np.bitwise_count(s1 ^ s2).sum(-1, dtype=np.int64)
-    return (100 * np.minimum(n1, n2) >= PERCENT * np.maximum(n1, n2)) & ((100 + PERCENT) * differing <= (100 - PERCENT) * (n1 + n2))
+    return _near(n1, n2) & ((100 + PERCENT) * differing <= (100 - PERCENT) * (n1 + n2))
 
 
-def _forest(n: np.ndarray, sig: np.ndarray, lead: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Edges of a spanning forest of the possible pairs of a tile; rows are in the order of size."""
+def _forest(n: np.ndarray, size: np.ndarray, sig: np.ndarray, lead: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Edges of a spanning forest of the possible pairs of a tile; rows are in the order of n."""
     free = np.ones(len(n), bool)
     for root in range(len(n)):
         if not free[root]:
@@ -240,7 +285,7 @@ def _forest(n: np.ndarray, sig: np.ndarray, lead: np.ndarray) -> Iterator[tuple[
             i = border.pop()
             rest = np.flatnonzero(free)
             rest = rest[np.where(rest < i, lead[rest], lead[i])]
-            met = rest[_possible(n[i], sig[i], n[rest], sig[rest])]
+            met = rest[_near(size[i], size[rest]) & _possible(n[i], sig[i], n[rest], sig[rest])]
             free[met] = False
             border.extend(met.tolist())
             for j in met.tolist():
@@ -253,11 +298,12 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        token, node, n, lead = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        token, node, n, size, lead = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+        n, size = n.astype(np.int64), size.astype(np.int64)
         joined = n == 0
         if joined.any():
             yield _pairs(token[joined], node[joined])
-        rows = [c[~joined] for c in (token, node, n, lead, _signatures(batch.column(4)))]
+        rows = [c[~joined] for c in (token, node, n, size, lead, _signatures(batch.column(5)))]
         if held is not None:
             rows = [np.concatenate(c) for c in zip(held, rows)]
         if not len(rows[0]):
@@ -279,14 +325,14 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 def _tile_pairs(rows: list[np.ndarray], last: list | None) -> pa.RecordBatch:
     """Possible pairs of whole tiles, or of parts of a long one; ``last`` is the row before, if a tile was cut there."""
-    token, node, n, lead, sig = rows
+    token, node, n, whole, lead, sig = rows
     starts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
     sizes = np.diff(np.append(starts, len(token)))
     goes_on = last is not None and last[0] == token[0]
     a, b = [], []
     # tiles of two, most of all, at once
     two = starts[(sizes == 2) & ~(goes_on & (starts == 0))]
-    met = two[lead[two] & (node[two] != node[two + 1]) & _possible(n[two], sig[two], n[two + 1], sig[two + 1])]
+    met = two[lead[two] & (node[two] != node[two + 1]) & _near(whole[two], whole[two + 1]) & _possible(n[two], sig[two], n[two + 1], sig[two + 1])]
     a.append(node[met])
     b.append(node[met + 1])
     for start, size in zip(starts.tolist(), sizes.tolist()):
@@ -299,7 +345,7 @@ def _tile_pairs(rows: list[np.ndarray], last: list | None) -> pa.RecordBatch:
             a.append(nodes[near])
             b.append(nodes[near + 1])
         elif size > 2:
-            edges = start + np.array(list(_forest(n[part], sig[part], lead[part])), np.int64).reshape(-1, 2)
+            edges = start + np.array(list(_forest(n[part], whole[part], sig[part], lead[part])), np.int64).reshape(-1, 2)
             a.append(node[edges[:, 0]])
             b.append(node[edges[:, 1]])
     a, b = np.concatenate(a), np.concatenate(b)
@@ -309,46 +355,47 @@ def _tile_pairs(rows: list[np.ndarray], last: list | None) -> pa.RecordBatch:
 def possible_pairs(rows: DataFrame, tasks: int) -> DataFrame:
     """Pairs ``(a, b)`` of nodes that connect all that can link."""
     dealt = rows.repartition(tasks, "deal").sortWithinPartitions("token", "n", "node")
-    return dealt.select("token", "node", "n", "lead", "sig").mapInArrow(_tiles, "a long, b long").distinct()
+    return dealt.select("token", "node", "n", "size", "lead", "sig").mapInArrow(_tiles, "a long, b long").distinct()
 
 
-def members(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(class, set, hashes) of every distinct set that is in a class (node, component).
+def members(docs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(class, set, hashes) of every distinct set that is in a class (node, component); ``rows`` as in ``read_sets``.
 
-    A filter of fixed size tells most of the others where texts are read; the join decides.
+    A filter of fixed size tells most other texts by their hashes, where they are read; the join decides.
     """
     spark = docs.sparkSession
     ship(spark)
-    place = F.pmod(F.xxhash64("node"), F.lit(FILTER))
-    bits = classes.select(F.floor(place / 8).cast("int").alias("byte"), (place % 8).cast("int").alias("bit"))
+    one = rows.filter("set is not null").groupBy("set").agg(F.min("text_hash").alias("text_hash"), F.first("node").alias("node"))
+    named = classes.select(F.col("node").alias("_node"), F.col("component").alias("class"))
+    wanted = cut_lineage(one.join(named, F.col("node") == F.col("_node")).select(F.col("set").alias("_set"), "text_hash", "class"))
+    place = F.pmod(F.xxhash64("text_hash"), F.lit(FILTER))
+    bits = wanted.select(F.floor(place / 8).cast("int").alias("byte"), (place % 8).cast("int").alias("bit"))
     found = bits.groupBy("byte").agg(F.expr("bit_or(shiftleft(1, bit))").alias("bits")).toArrow()  # at most FILTER / 8 rows
     table = np.zeros(FILTER // 8, np.uint8)
     table[found["byte"].to_numpy()] = found["bits"].to_numpy()
-    wanted = spark.sparkContext.broadcast(table)
+    marked = spark.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen, may = _Words(), set(), wanted.value
+        known, seen, may = _Words(), set(), marked.value
         for batch in slices(batches):
-            out = []
-            for text in batch.column(0).to_pylist():
-                h = shingles(text, known)
-                digest = _digest(h)
-                if not len(h) or digest in seen:
-                    continue
-                at = _spark_hash(_node(digest)) % FILTER
-                if not may[at // 8] >> (at % 8) & 1:
+            sets, hashes = [], []
+            for i, text_hash in enumerate(batch.column(0).to_pylist()):
+                at = _spark_hash(text_hash) % FILTER
+                if text_hash in seen or not may[at // 8] >> (at % 8) & 1:
                     continue
                 if len(seen) >= SEEN:
                     seen.clear()
-                seen.add(digest)
-                out.append((_node(digest), digest, h.tobytes()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary()))],
-                                                 ["node", "set", "hashes"])
+                seen.add(text_hash)
+                h = shingles(batch.column(1)[i].as_py(), known)
+                if len(h):
+                    sets.append(_digest(h))
+                    hashes.append(h.tobytes())
+            if sets:
+                yield pa.RecordBatch.from_arrays([pa.array(sets, pa.binary()), pa.array(hashes, pa.binary())], ["set", "hashes"])
 
-    own = _texts(docs).mapInArrow(run, "node long, set binary, hashes binary")
-    named = own.join(classes.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"))
-    return named.groupBy("set").agg(F.first("component").alias("class"), F.first("hashes").alias("hashes"))
+    own = _texts(docs).mapInArrow(run, "set binary, hashes binary")
+    met = own.join(wanted, F.col("set") == F.col("_set"))
+    return met.groupBy("set").agg(F.first("class").alias("class"), F.first("hashes").alias("hashes"))
 
 
 def _spark_hash(v: int) -> int:
@@ -459,13 +506,13 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and component (the digest of one of its sets; null for empty sets): one row for each document."""
     read = cut_lineage(read_sets(docs))
     order = histogram(read)
-    rows = read.filter("bucket is null").select("doc_id", "set", "n")
+    rows = read.filter("bucket is null")
     total, words = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     tasks = parts(total + words * (100 - PERCENT) // 100, TASK_ROWS)
     hot = max(TILE, total // 1000) + 2 * int(order.mean())
     pairs = cut_lineage(possible_pairs(tile_rows(docs, order, hot), tasks))
     classes = cut_lineage(components(pairs))
-    found = cut_lineage(members(docs, classes))
+    found = cut_lineage(members(docs, rows, classes))
     release(pairs, classes)
     linked = links(found)
     edges = linked[0]
@@ -479,7 +526,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     groups = attach(many, names, "component", "_n", many.count(), F.col("set")).select("set", "n_rows", "component_id", "component")
     groups = cut_lineage(groups.union(alone.select("set", "n_rows", "least", F.col("set").alias("component"))))
     release(named, found, *linked)
-    out = attach(rows, groups, "set", "n_rows", total, F.col("doc_id"))
+    out = attach(rows.select("doc_id", "set", "n"), groups, "set", "n_rows", total, F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"),
                       F.when(F.col("set").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "component")
 
