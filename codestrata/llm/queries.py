@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from codestrata.llm import bpe, decontaminate, exact_dedup, kd_shards, langid, license_scan, line_dedup, ngram_join, simhash, substring_dedup, token_counts, whitening
+from codestrata.llm import bpe, decontaminate, divergence, exact_dedup, kd_shards, langid, license_scan, line_dedup, ngram_join, simhash, substring_dedup, token_counts, whitening
 from codestrata.llm.common import documents
 
 #: Public vocabularies, as installed on every machine.
@@ -27,12 +27,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": lambda spark, sf: substring_dedup.repeated_spans(documents(spark, sf)),
     "op9_simhash": lambda spark, sf: simhash.op9(documents(spark, sf)),
     "op10_license_scan": lambda spark, sf: license_scan.op10(documents(spark, sf)),
+    "op11_divergence": lambda spark, sf: divergence.audit(documents(spark, sf)),
     "op12_ngram_join": lambda spark, sf: ngram_join.op12(documents(spark, sf)),
     "op13_whitening": lambda spark, sf: whitening.op13(spark.read.parquet(f"{sf}/embeddings.parquet")),
     "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {
+    "op11_divergence": divergence.ORACLE_SQL,
     "op1_exact_dedup": r"""
         WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
                    FROM documents)
