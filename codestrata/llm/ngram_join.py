@@ -58,17 +58,17 @@ PERCENT = 85
 #: Buckets of the histogram of shingles: what is broadcast is 4 bytes for each, whatever the data.
 BUCKETS = 1 << 18
 
-#: Bits of a signature.
-BITS = 256
+#: Bits of a signature in tiles, and inside a class.
+BITS, WIDE = 64, 2048
 
 #: Least size, on average, of the sections of a large set; with twice as many shingles it has twice as many.
-SECTION = 256
+SECTION = 64
 
 #: Rows of a tile, or members of a block, that are compared at a time; bytes of hashes of a block.
 TILE, BLOCK, BLOCK_BYTES = 2048, 2048, 24 << 20
 
 #: Tile rows and class members of one task, on average.
-TASK_ROWS, TASK_MEMBERS = 400_000, 4_000
+TASK_ROWS, TASK_MEMBERS = 500_000, 4_000
 
 #: Digests of sets that a task remembers, to drop copies before they are shuffled.
 SEEN = 200_000
@@ -111,10 +111,10 @@ def shingles(data: bytes | None, known: _Words) -> np.ndarray:
     return np.unique(out)
 
 
-def signature(hashes: np.ndarray) -> np.ndarray:
-    """Parities of the hashes in ``BITS`` places, as 64-bit numbers."""
-    odd = np.bincount((hashes >> np.uint64(40)) % np.uint64(BITS), minlength=BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+def signature(hashes: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Parities of the hashes in so many places, as 64-bit numbers."""
+    odd = np.bincount((hashes >> np.uint64(40)) % np.uint64(bits), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
 def _digest(hashes: np.ndarray) -> bytes:
@@ -184,7 +184,7 @@ def histogram(rows: DataFrame) -> np.ndarray:
 
 
 def _first_rows(h: np.ndarray, node: int, times: np.ndarray, limit: int) -> Iterator[tuple]:
-    """(deal, token, node, n, size, lead) and signature of the rows of one set, section by section."""
+    """(token, node, n, size, lead, sig) of the rows of one set, section by section."""
     rank = times[_bucket(h)]
     for level in _levels(len(h)):
         section = (_mixed(h) >> np.uint64(64 - level)).astype(np.int64) if level else np.zeros(len(h), np.int64)
@@ -198,25 +198,34 @@ def _first_rows(h: np.ndarray, node: int, times: np.ndarray, limit: int) -> Iter
             first = n - -(-PERCENT * n // 100) + 1
             lead = n - -(-2 * PERCENT * n // (100 + PERCENT)) + 1
             at = own[:first]
-            token = (h[at] + np.uint64(level)).view(np.int64)
-            hot = rank[at] > limit
-            if hot.any():
+            token, cold = (h[at] + np.uint64(level)).view(np.int64), rank[at] <= limit
+            size, leads = np.full(first, n), np.arange(first) < lead
+            if not cold.all():
                 band = _size_band(n)
-                joins = [xxhash.xxh64_intdigest(f"{t} {b}") for t in token[hot].tolist() for b in (band, band + 1)]
-                joins = np.array(joins, np.uint64).view(np.int64)
-                token = np.concatenate([token[~hot], joins])
-                k = len(token) - len(joins)
-                deal = np.where(np.arange(len(token)) < k, token, node)
-                size = np.where(np.arange(len(token)) < k, n, 0)
-                leads = np.concatenate([np.arange(first)[~hot] < lead, np.zeros(len(joins), bool)])
-            else:
-                deal, size, leads = token, np.full(first, n), np.arange(first) < lead
+                joins = [xxhash.xxh64_intdigest(f"{t} {b}") for t in token[~cold].tolist() for b in (band, band + 1)]
+                token = np.concatenate([token[cold], np.array(joins, np.uint64).view(np.int64)])
+                size = np.concatenate([size[cold], np.zeros(len(joins), np.int64)])
+                leads = np.concatenate([leads[cold], np.zeros(len(joins), bool)])
             m = len(token)
-            yield (deal, token, np.full(m, node), size.astype(np.int32), np.full(m, len(h), np.int32), leads), np.tile(signature(h[own]), (m, 1))
+            yield token, np.full(m, node), size, np.full(m, len(h)), leads, np.full(m, signature(h[own])[0])
+
+
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows as four numbers each. All are mixed with the token, so that rows take the same space in a shuffle between
+    few tasks, where rows of one set lie side by side, as between many."""
+    token, node, n, size, lead, sig = (np.concatenate(c) for c in zip(*rows))
+    counts = size << 32 | n << 1 | lead
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in (token, node ^ token, counts, sig.view(np.int64) ^ token)], ["token", "node", "counts", "sig"])
+
+
+def _unpacked(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """(token, node, n, size, lead, sig) of packed rows."""
+    token, node, counts, sig = (batch.column(i).to_numpy() for i in range(4))
+    return [token, node ^ token, (counts & 0xFFFFFFFF) >> 1, counts >> 32, (counts & 1).astype(bool), (sig ^ token).view(np.uint64)]
 
 
 def tile_rows(docs: DataFrame, order: np.ndarray, hot: int) -> DataFrame:
-    """(deal, token, node, n, size, lead, sig): a row for each of the first shingles of a set, or of its sections.
+    """A packed row for each of the first shingles of a set, or of its sections: token, node, n, size, lead, sig.
 
     ``n`` counts the section, ``size`` the set. ``lead`` says that a pair in which this
     section is the smaller has to meet here. Rows of hot shingles have ``n`` 0 and, instead
@@ -225,12 +234,11 @@ def tile_rows(docs: DataFrame, order: np.ndarray, hot: int) -> DataFrame:
     ship(docs.sparkSession)
     ranks = docs.sparkSession.sparkContext.broadcast(order.clip(0, (1 << 31) - 1).astype(np.int32))
     limit = min(hot, (1 << 31) - 1)
-    names = ["deal", "token", "node", "n", "size", "lead", "sig"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen, times = _Words(), set(), ranks.value
         for batch in slices(batches):
-            rows, sigs, held = [], [], 0
+            rows, held = [], 0
             for text_hash, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if text_hash in seen:
                     continue
@@ -240,27 +248,16 @@ def tile_rows(docs: DataFrame, order: np.ndarray, hot: int) -> DataFrame:
                 h = shingles(text, known)
                 if not len(h):
                     continue
-                for row, sig in _first_rows(h, _node(_digest(h)), times, limit):
+                for row in _first_rows(h, _node(_digest(h)), times, limit):
                     rows.append(row)
-                    sigs.append(sig)
-                    held += len(sig)
+                    held += len(row[0])
                     if held >= 1 << 16:
-                        yield _with_signatures([np.concatenate(c) for c in zip(*rows)], np.concatenate(sigs), names)
-                        rows, sigs, held = [], [], 0
+                        yield _packed(rows)
+                        rows, held = [], 0
             if rows:
-                yield _with_signatures([np.concatenate(c) for c in zip(*rows)], np.concatenate(sigs), names)
-
-    return _texts(docs).mapInArrow(run, "deal long, token long, node long, n int, size int, lead boolean, sig binary")
-
-
-def _with_signatures(flat: list[np.ndarray], sig: np.ndarray, names: list[str]) -> pa.RecordBatch:
-    raw = pa.Array.from_buffers(pa.binary(BITS // 8), len(sig), [None, pa.py_buffer(np.ascontiguousarray(sig).tobytes())])
-    return pa.RecordBatch.from_arrays([*map(pa.array, flat), raw.cast(pa.binary())], names)
-
+                yield _packed(rows)
 
-def _signatures(column: pa.Array) -> np.ndarray:
-    fixed = column.cast(pa.binary(BITS // 8))
-    return np.frombuffer(fixed.buffers()[1], np.uint64, len(fixed) * BITS // 64, fixed.offset * BITS // 8).reshape(-1, BITS // 64)
+    return _texts(docs).mapInArrow(run, "token long, node long, counts long, sig long")
 
 
 def _near(n1, n2) -> np.ndarray:
@@ -270,7 +267,9 @@ def _near(n1, n2) -> np.ndarray:
 
 def _possible(n1, s1, n2, s2) -> np.ndarray:
     """Sizes and bitmaps allow a link: the differing bits leave enough overlap."""
-    differing = np.bitwise_count(s1 ^ s2).sum(-1, dtype=np.int64)
+    differing = np.bitwise_count(s1 ^ s2).astype(np.int64)
+    if differing.ndim > 1:
+        differing = differing.sum(-1)
     return _near(n1, n2) & ((100 + PERCENT) * differing <= (100 - PERCENT) * (n1 + n2))
 
 
@@ -298,12 +297,11 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        token, node, n, size, lead = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-        n, size = n.astype(np.int64), size.astype(np.int64)
-        joined = n == 0
+        rows = _unpacked(batch)
+        joined = rows[2] == 0
         if joined.any():
-            yield _pairs(token[joined], node[joined])
-        rows = [c[~joined] for c in (token, node, n, size, lead, _signatures(batch.column(5)))]
+            yield _pairs(rows[0][joined], rows[1][joined])
+        rows = [c[~joined] for c in rows]
         if held is not None:
             rows = [np.concatenate(c) for c in zip(held, rows)]
         if not len(rows[0]):
@@ -354,8 +352,9 @@ def _tile_pairs(rows: list[np.ndarray], last: list | None) -> pa.RecordBatch:
 
 def possible_pairs(rows: DataFrame, tasks: int) -> DataFrame:
     """Pairs ``(a, b)`` of nodes that connect all that can link."""
-    dealt = rows.repartition(tasks, "deal").sortWithinPartitions("token", "n", "node")
-    return dealt.select("token", "node", "n", "size", "lead", "sig").mapInArrow(_tiles, "a long, b long").distinct()
+    token, node, n = F.col("token"), F.col("node").bitwiseXOR(F.col("token")), F.shiftright(F.col("counts").bitwiseAND(F.lit(0xFFFFFFFF)), 1)
+    dealt = rows.repartition(tasks, F.when(n == 0, node).otherwise(token)).sortWithinPartitions(token, n, node)
+    return dealt.mapInArrow(_tiles, "a long, b long").distinct()
 
 
 def members(docs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
@@ -420,7 +419,7 @@ def links_of(label: np.ndarray, role: np.ndarray, sets: list[np.ndarray]) -> Ite
     """
     order = np.argsort(np.array([len(s) for s in sets]), kind="stable")
     n = np.array([len(sets[i]) for i in order], np.int64)
-    sig = np.array([signature(sets[i]) for i in order]).view(np.uint64).reshape(len(order), -1)
+    sig = np.array([signature(sets[i], WIDE) for i in order])
     root, role = label[order].copy(), role[order]
     for i in range(1, len(order)):
         low = int(np.searchsorted(n, -(-PERCENT * n[i] // 100)))

@@ -105,8 +105,8 @@ def test_long_tiles_join_neighbours(monkeypatch):
     known = ngram_join._Words()
     sets = sorted((ngram_join.shingles(t.encode(), known) for t in family(1, 30, edits=3)), key=len)
     n = np.array([len(s) for s in sets])
-    sig = np.array([ngram_join.signature(s) for s in sets])
-    batch = ngram_join._with_signatures([np.full(30, 5), np.arange(30), n, n, np.ones(30, bool)], sig, ["token", "node", "n", "size", "lead", "sig"])
+    sig = np.array([ngram_join.signature(s)[0] for s in sets])
+    batch = ngram_join._packed([(np.full(30, 5), np.arange(30), n, n, np.ones(30, bool), sig)])
     for size in (3, 7, 30):
         cut = [batch.slice(at, size) for at in range(0, 30, size)]
         edges = sorted(tuple(e.values()) for out in ngram_join._tiles(iter(cut)) for e in out.to_pylist())
@@ -117,8 +117,7 @@ def test_long_tiles_join_neighbours(monkeypatch):
     for a, b in edges:
         root = [root[b] if r == root[a] else r for r in root]
     possible = ngram_join._possible
-    words = sig.view(np.uint64).reshape(30, -1)
-    assert all(root[i] == root[j] for i in range(30) for j in range(i) if possible(n[i], words[i], n[j], words[j]))
+    assert all(root[i] == root[j] for i in range(30) for j in range(i) if possible(n[i], sig[i], n[j], sig[j]))
     assert len(edges) <= 29
 
 
@@ -136,9 +135,8 @@ def test_rows_of_linked_sets_meet():
             if 100 * both < 85 * (len(a) + len(other) - both):
                 continue
             met += 1
-            rows = [[(t, n, s, lead, sig) for (_, token, _, ns, size, leads), sigs in ngram_join._first_rows(h, 1, times, 1000)
-                     for t, n, s, lead, sig in zip(token.tolist(), ns.tolist(), size.tolist(), leads.tolist(), sigs.view(np.uint64))]
-                    for h in (a, other)]
+            rows = [[r for token, _, *columns in ngram_join._first_rows(h, 1, times, 1000)
+                     for r in zip(token.tolist(), *(c.tolist() for c in columns[:3]), columns[3])] for h in (a, other)]
             theirs = {r[0]: r for r in rows[1]}
             assert any((x[3] if x[1] < y[1] else y[3] if y[1] < x[1] else x[3] or y[3]) and ngram_join._possible(x[1], x[4], y[1], y[4])
                        for x in rows[0] if (y := theirs.get(x[0])))
@@ -154,7 +152,8 @@ def test_bound_never_rejects_a_link():
             both = ngram_join._overlap(a, b)
             assert both == len(np.intersect1d(a, b))
             if 100 * both >= 85 * (len(a) + len(b) - both):
-                assert ngram_join._possible(len(a), ngram_join.signature(a).view(np.uint64), len(b), ngram_join.signature(b).view(np.uint64))
+                for bits in (ngram_join.BITS, ngram_join.WIDE):
+                    assert ngram_join._possible(len(a), ngram_join.signature(a, bits)[None], len(b), ngram_join.signature(b, bits)[None]).all()
 
 
 def test_units_give_the_links_of_all_pairs():
