@@ -6,10 +6,10 @@ Null text, language or source counts as ''. A language keeps the V terms that ar
 has p = 1 + floor(10**9 * (c + 1) / (N + V)); the divergence of p from q is
 floor((p - q)**2 / q). All arithmetic is in whole numbers.
 
-Index, in a single pass over the texts: a task counts the occurrences and documents of each
-(language, source, term) in memory. When a block reaches ``BLOCK_ENTRIES`` entries or
-``BLOCK_BYTES`` of terms it is spilled as a run: sorted by hash shard, language, term and
-source, and cut into chunks. A shard receives its chunks of all runs in the order of their
+Index, in a single pass over the texts: a task keeps postings (term, source, occurrences) of
+its documents in memory. When a block reaches ``BLOCK_ENTRIES`` postings or ``BLOCK_BYTES``
+it is spilled as a run: sorted by hash shard, language and term, postings of one term and
+source added up, and cut into chunks. A shard receives its chunks of all runs in the order of their
 first entries and merges them with a heap that holds one open chunk of each run; so the postings of
 a term come together, in order, whatever their number, and become its frequencies.
 
@@ -30,7 +30,6 @@ A language without kept terms has its pairs with value 0 and no terms.
 from __future__ import annotations
 
 import heapq
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,18 +45,21 @@ LEAST = 3
 UNIT = 1_000_000_000
 RANKS = 200
 
-#: A block is spilled at so many entries, or bytes of terms.
-BLOCK_ENTRIES, BLOCK_BYTES = 250_000, 32 << 20
+#: A block is spilled at so many postings (a number for each document and term in it), or about so many bytes.
+BLOCK_ENTRIES, BLOCK_BYTES = 2_500_000, 128 << 20
 
-#: Entries of a chunk of a run.
+#: Terms of a chunk of a run.
 CHUNK = 2048
 
 #: Bytes of text for each hash shard.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 
 #: Sums of pairs that a task holds before it passes them on.
 HELD_PAIRS = 1 << 20
 
+#: Pairs of entries that a task looks at together.
+AT_A_TIME = 1 << 18
+
 #: Bytes that are no part of a term become blanks, A-Z become lower case.
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -68,86 +70,139 @@ def terms(data: bytes) -> Iterator[list[bytes]]:
         yield piece.translate(_LETTERS).split()
 
 
-def _run(block: dict, shards: int) -> Iterator[pa.RecordBatch]:
-    """A block as a run: chunks of postings, sorted by shard, language, term and source."""
-    postings = [(xxhash.xxh64_intdigest(term, 11) % shards, lang, term, source, times, documents[term])
-                for (lang, source), (counts, documents) in block.items() for term, times in counts.items()]
-    postings.sort()
-    start = 0
-    while start < len(postings):
-        end, shard = start, postings[start][0]
-        while end < len(postings) and end - start < CHUNK and postings[end][0] == shard:
-            end += 1
-        _, langs, words, sources, times, documents = zip(*postings[start:end])
-        binary, numbers = pa.list_(pa.binary()), pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([shard], pa.int32()), pa.array([langs[0]], pa.binary()), pa.array([words[0]], pa.binary()),
-             pa.array([langs], binary), pa.array([words], binary), pa.array([sources], binary), pa.array([times], numbers), pa.array([documents], numbers)],
-            ["shard", "lang", "term", "langs", "terms", "sources", "times", "documents"])
-        start = end
+class _Ids(dict):
+    """Numbers of the terms of a language, given out in the order of ``words``, which all languages of a block share."""
+
+    def __init__(self, lang: int, words: list[tuple[int, bytes]]):
+        super().__init__()
+        self.lang, self.words = lang, words
+
+    def __missing__(self, term: bytes) -> int:
+        self[term] = n = len(self.words)
+        self.words.append((self.lang, term))
+        return n
+
+
+class Block:
+    """Postings (term, source, occurrences) of one document after the other, until it is full."""
+
+    def __init__(self) -> None:
+        self.langs: dict[bytes, _Ids] = {}
+        self.sources: dict[bytes, int] = {}
+        self.words: list[tuple[int, bytes]] = []
+        self.postings: list[tuple[np.ndarray, np.ndarray]] = []
+        self.entries = self.size = 0
+
+    def add(self, lang: bytes, source: bytes, text: bytes) -> None:
+        ids = self.langs.setdefault(lang, _Ids(len(self.langs), self.words))
+        known = len(self.words)
+        numbers = [np.fromiter(map(ids.__getitem__, words), np.int64, len(words)) for words in terms(text)]
+        found, times = np.unique(np.concatenate(numbers), return_counts=True)
+        self.postings.append((found << 24 | self.sources.setdefault(source, len(self.sources)), times))
+        self.entries += len(found)
+        self.size += sum(len(w) + 150 for _, w in self.words[known:]) + 32 * len(found) + 200
+
+    def full(self) -> bool:
+        return self.entries >= BLOCK_ENTRIES or self.size >= BLOCK_BYTES or len(self.sources) >= 1 << 23
+
+    def run(self, shards: int) -> Iterator[pa.RecordBatch]:
+        """The block as a run: entries (term, its sources, occurrences, documents) by shard, language and term, cut into chunks."""
+        if not self.entries:
+            return
+        langs, sources = list(self.langs), pa.array(list(self.sources), pa.binary())
+        order = sorted(range(len(self.words)), key=lambda i: (langs[self.words[i][0]], self.words[i][1]))
+        shard = np.fromiter((xxhash.xxh64_intdigest(self.words[i][1], 11) % shards for i in order), np.int64, len(order))
+        order = np.array(order)[np.argsort(shard, kind="stable")]
+        shard.sort()
+        words = pa.array([self.words[i][1] for i in order], pa.binary())
+        lang = np.array([self.words[i][0] for i in order])
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        # equal (term, source) become one posting
+        keys, times = (np.concatenate(c) for c in zip(*self.postings))
+        keys = place[keys >> 24] << 24 | keys & 0xFFFFFF
+        by = np.argsort(keys, kind="stable")
+        keys, times = keys[by], times[by]
+        starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        keys, times, documents = keys[starts], np.add.reduceat(times, starts), np.diff(np.append(starts, len(keys)))
+        term, source = keys >> 24, keys & 0xFFFFFF
+        first = np.searchsorted(term, np.arange(len(order) + 1))
+        documents = np.add.reduceat(documents, first[:-1])
+        new = np.append(True, (shard[1:] != shard[:-1]) | (lang[1:] != lang[:-1]))
+        cuts = [c for start, end in zip(np.flatnonzero(new).tolist(), [*np.flatnonzero(new)[1:].tolist(), len(order)]) for c in range(start, end, CHUNK)]
+        for start, end in zip(cuts, [*cuts[1:], len(order)]):
+            own = slice(int(first[start]), int(first[end]))
+            lists = [words.slice(start, end - start), np.diff(first[start:end + 1]), documents[start:end], sources.take(pa.array(source[own])), times[own]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([shard[start]], pa.int32()), pa.array([langs[lang[start]]], pa.binary()), words.slice(start, 1),
+                 *(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x if isinstance(x, pa.Array) else pa.array(x)) for x in lists)], RUN)
+
+
+RUN = ["shard", "lang", "term", "terms", "sizes", "documents", "sources", "times"]
 
 
 def runs(docs: DataFrame, shards: int) -> DataFrame:
     """Chunks of term-sorted runs, spilled whenever a block is full."""
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block: dict[tuple[bytes, bytes], tuple[Counter, Counter]] = {}
-        entries = size = 0
+        block = Block()
         for batch in slices(batches):
             for lang, source, text in zip(*(c.to_pylist() for c in batch.columns)):
-                counts, documents = block.setdefault((lang, source), (Counter(), Counter()))
-                seen: set[bytes] = set()
-                before = len(counts)
-                for words in terms(text):
-                    counts.update(words)
-                    seen.update(words)
-                documents.update(seen)
-                new = len(counts) - before
-                entries += new
-                if new:
-                    size += new * (sum(map(len, seen)) // len(seen))
-                if entries >= BLOCK_ENTRIES or size >= BLOCK_BYTES:
-                    yield from _run(block, shards)
-                    block, entries, size = {}, 0, 0
-        yield from _run(block, shards)
+                block.add(lang, source, text)
+                if block.full():
+                    yield from block.run(shards)
+                    block = Block()
+        yield from block.run(shards)
 
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary").alias(c)
     return docs.select(text("lang"), text("source"), text("text")).mapInArrow(
-        index, "shard int, lang binary, term binary, langs array<binary>, terms array<binary>, sources array<binary>, "
-               "times array<long>, documents array<long>")
+        index, "shard int, lang binary, term binary, terms array<binary>, sizes array<long>, documents array<long>, sources array<binary>, times array<long>")
+
+
+def entries(terms: list, sizes: list, documents: list, sources: list, times: list) -> Iterator[tuple]:
+    """(term, sources, occurrences, documents) of a chunk, one after the other."""
+    at = 0
+    for term, size, n in zip(terms, sizes, documents):
+        yield term, sources[at:at + size], times[at:at + size], n
+        at += size
 
 
 def merged(chunks: Iterator[tuple]) -> Iterator[tuple[bytes, bytes, dict[bytes, int], int]]:
-    """(lang, term, occurrences by source, documents) of chunks ``(shard, lang, term, postings)`` in the order of their first postings."""
+    """(lang, term, occurrences by source, documents) of chunks ``(shard, lang, term, entries)`` in the order of their first terms."""
     heap: list = []
-    now, sources, documents = None, {}, 0
+    term, lang, sources, documents = None, None, {}, 0
     number, at = 0, None
 
-    def upto(limit: tuple | None) -> Iterator[tuple]:
-        nonlocal now, sources, documents
-        while heap and (limit is None or heap[0][:2] < limit):
-            lang, term, _, source, times, held, rest = heap[0]
+    def upto(limit: bytes | None) -> Iterator[tuple]:
+        nonlocal term, sources, documents
+        while heap and (limit is None or heap[0][0] < limit):
+            now, no, (whose, times, n), rest = heap[0]
             following = next(rest, None)
             if following is None:
                 heapq.heappop(heap)
             else:
-                heapq.heapreplace(heap, (*following[:2], heap[0][2], *following[2:], rest))
-            if (lang, term) != now:
-                if now is not None:
-                    yield *now, sources, documents
-                now, sources, documents = (lang, term), {}, 0
-            sources[source] = sources.get(source, 0) + times
-            documents += held
-
-    for shard, lang, term, postings in chunks:
-        yield from upto((lang, term) if shard == at else None)
-        at = shard
-        postings = iter(postings)
-        first = next(postings)
-        heapq.heappush(heap, (*first[:2], number, *first[2:], postings))
+                heapq.heapreplace(heap, (following[0], no, following[1:], rest))
+            if now != term:
+                if term is not None:
+                    yield lang, term, sources, documents
+                term, sources, documents = now, dict(zip(whose, times)), n
+            else:
+                for s, t in zip(whose, times):
+                    sources[s] = sources.get(s, 0) + t
+                documents += n
+
+    for shard, new, first, rows in chunks:
+        if (shard, new) != at:  # the heap holds one language of one shard
+            yield from upto(None)
+            if term is not None:
+                yield lang, term, sources, documents
+            at, lang, term = (shard, new), new, None
+        yield from upto(first)
+        row = next(rows)
+        heapq.heappush(heap, (row[0], number, row[1:], rows))
         number += 1
     yield from upto(None)
-    if now is not None:
-        yield *now, sources, documents
+    if term is not None:
+        yield lang, term, sources, documents
 
 
 def frequencies(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -161,7 +216,7 @@ def frequencies(docs: DataFrame, least: int = LEAST) -> DataFrame:
             for batch in batches:
                 for i in range(batch.num_rows):
                     shard, lang, term, *columns = (c[i].as_py() for c in batch.columns)
-                    yield shard, lang, term, zip(*columns)
+                    yield shard, lang, term, entries(*columns)
 
         rows: list[tuple] = []
         for lang, term, sources, documents in merged(chunks()):
@@ -173,7 +228,7 @@ def frequencies(docs: DataFrame, least: int = LEAST) -> DataFrame:
         if rows:
             yield _rows(rows)
 
-    dealt = runs(docs, shards).repartition(shards, "shard").sortWithinPartitions("shard", "lang", "term")
+    dealt = runs(docs, shards).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "lang", "term")
     found = dealt.mapInArrow(merge, "lang binary, term binary, total long, sources array<binary>, times array<long>")
     return found.select(F.col("lang").cast("string"), F.col("term").cast("string"), "total",
                         F.transform("sources", lambda s: s.cast("string")).alias("sources"), "times")
@@ -219,15 +274,29 @@ def _both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums[k] = sums.get(k, 0) + v
 
     for batch in batches:
-        for lang, entries in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            group = np.array([names.setdefault((lang, e["source"]), len(names)) for e in entries], np.int64)
-            p, base = (np.array([e[k] for e in entries], np.int64) for k in ("p", "base"))
-            k = len(entries)
-            for at in range(0, k, max(1, (1 << 16) // k)):  # a block of rows of the table of pairs at a time
-                i, j = np.divmod(np.arange(at * k, min(at + max(1, (1 << 16) // k), k) * k), k)
-                add(i[i != j], j[i != j], group, p, base)
-            if len(sums) >= HELD_PAIRS:
-                yield out()
+        sizes = batch.column(1).value_lengths().to_numpy()
+        flat = batch.column(1).flatten()
+        p, base = (flat.field(k).to_numpy() for k in ("p", "base"))
+        langs = np.repeat(batch.column(0).dictionary_encode().indices.to_numpy(), sizes)
+        lang_names = batch.column(0).dictionary_encode().dictionary.to_pylist()
+        sources = flat.field("source").dictionary_encode()
+        source_names = sources.dictionary.to_pylist()
+        pairs, at = np.unique(langs.astype(np.int64) << 32 | sources.indices.to_numpy(), return_inverse=True)
+        group = np.array([names.setdefault((lang_names[x >> 32], source_names[x & 0xFFFFFFFF]), len(names)) for x in pairs.tolist()], np.int64)[at]
+        # every entry with every other of its term: a block of entries at a time
+        ends = np.cumsum(sizes)
+        partners, firsts = np.repeat(sizes, sizes), np.repeat(ends - sizes, sizes)
+        upto = np.cumsum(partners)
+        start = 0
+        while start < len(partners):
+            end = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + AT_A_TIME, side="right")))
+            n = partners[start:end]
+            i = np.repeat(np.arange(start, end), n)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(firsts[start:end], n)
+            add(i[i != j], j[i != j], group, p, base)
+            start = end
+        if len(sums) >= HELD_PAIRS:
+            yield out()
     yield out()
 
 

@@ -61,18 +61,19 @@ def test_spilled_runs_merge_to_the_same_frequencies(spark, monkeypatch):
     postings, documents = Counter(), Counter()
     chunks = []
     monkeypatch.setattr(divergence, "CHUNK", 7)
-    for _ in range(20):  # blocks
-        block = {}
-        for lang, source in ((b"l", b"s"), (b"l", b"t"), (b"m", b"s")):
-            times = Counter(rng.choices([b"%d" % i for i in range(60)], k=rng.randrange(80)))
-            block[lang, source] = times, Counter(set(times))
+    for _ in range(20):
+        block = divergence.Block()
+        for _ in range(rng.randrange(9)):
+            lang, source = rng.choice([(b"l", b"s"), (b"l", b"t"), (b"m", b"s")])
+            times = Counter(rng.choices([b"%c%c" % (97 + i % 7, 100 + i // 7) for i in range(60)], k=rng.randrange(80)))
+            block.add(lang, source, b"-".join(times.elements()))
             for t, n in times.items():
                 postings[lang, t, source] += n
                 documents[lang, t] += 1
-        for batch in divergence._run(block, 3):
+        for batch in block.run(3):
             row = batch.to_pylist()[0]
-            assert len(row["terms"]) <= 7 and row["lang"] == row["langs"][0] and row["term"] == row["terms"][0]
-            chunks.append((row["shard"], row["lang"], row["term"], list(zip(row["langs"], row["terms"], row["sources"], row["times"], row["documents"]))))
+            assert len(row["terms"]) <= 7 and row["term"] == row["terms"][0] and len(row["sources"]) == sum(row["sizes"]) == len(row["times"])
+            chunks.append((row["shard"], row["lang"], row["term"], divergence.entries(*(row[k] for k in divergence.RUN[3:]))))
     chunks.sort(key=lambda c: c[:3])
     found = list(divergence.merged(iter(chunks)))
     assert len({x[:2] for x in found}) == len(found) == len(documents)
