@@ -139,25 +139,38 @@ def foreign_keys(facts: DataFrame) -> DataFrame:
         "cols", "ref_tbl", "ref_cols", "at")
 
 
-def enums(events: DataFrame) -> DataFrame:
-    """Latest definition of every enum type."""
+def enum_rows(events: DataFrame) -> DataFrame:
+    """Every definition of an enum type that parses."""
     rows = events.filter(F.col("type") == "CREATE_TYPE").select(
         "project", ddl.object_name("stmt").alias("name"), _seq().alias("seq"), ddl.enum_values("stmt").alias("vals"))
-    return rows.filter(F.col("vals").isNotNull()).groupBy("project", "name").agg(F.max_by("vals", "seq").alias("vals"))
+    return rows.filter(F.col("vals").isNotNull())
 
 
-def views(events: DataFrame) -> DataFrame:
-    """Views whose last event is a CREATE."""
-    rows = (events.filter(F.col("type").isin("CREATE_VIEW", "DROP_VIEW"))
+def enums(rows: DataFrame) -> DataFrame:
+    """Latest definition of every enum type."""
+    return rows.groupBy("project", "name").agg(F.max_by("vals", "seq").alias("vals"))
+
+
+def view_rows(events: DataFrame) -> DataFrame:
+    """Every CREATE and DROP of a view."""
+    return (events.filter(F.col("type").isin("CREATE_VIEW", "DROP_VIEW"))
             .select("project", ddl.object_name("stmt").alias("name"), "type", _seq().alias("seq"), "stmt").filter(F.col("name") != ""))
+
+
+def views(rows: DataFrame) -> DataFrame:
+    """Views whose last event is a CREATE."""
     last = rows.groupBy("project", "name").agg(F.max_by(F.struct("type", "stmt"), "seq").alias("e"))
     return last.filter(F.col("e.type") == "CREATE_VIEW").select("project", "name", F.col("e.stmt").alias("sql"))
 
 
-def indexes(events: DataFrame, lives: DataFrame) -> DataFrame:
-    """Indexes created while their table was alive."""
+def index_rows(events: DataFrame) -> DataFrame:
+    """Every CREATE INDEX that parses."""
     rows = events.filter(F.col("type") == "CREATE_INDEX").select("project", ddl.index_parts("stmt").alias("i"), _seq().alias("seq"))
-    rows = rows.filter(F.col("i").isNotNull()).select("project", "i.tbl", "i.name", "i.is_unique", "i.cols", "seq")
+    return rows.filter(F.col("i").isNotNull()).select("project", "i.tbl", "i.name", "i.is_unique", "i.cols", "seq")
+
+
+def indexes(rows: DataFrame, lives: DataFrame) -> DataFrame:
+    """Indexes created while their table was alive."""
     current = rows.join(lives, TABLE).filter(F.col("seq") > F.col("first_seq"))
     return (current.groupBy(*TABLE, "name").agg(F.max_by(F.struct("is_unique", "cols"), "seq").alias("i"))
             .select(*TABLE, "name", "i.is_unique", "i.cols"))
@@ -173,10 +186,20 @@ class Schema:
     def __init__(self, files: DataFrame, persist: bool = False):
         from codestrata.session import cut_lineage
         keep = cut_lineage if persist else (lambda df: df)
-        self.log = keep(ddl_events(files))
-        self.events = keep(table_events(self.log))
-        self.lives = keep(table_lives(self.events))
-        self.facts = live_facts(self.events, self.lives)
+        log = keep(ddl_events(files))
+        self._fold(keep(table_events(log)), enum_rows(log), view_rows(log), index_rows(log), keep)
+
+    @classmethod
+    def of(cls, events: DataFrame, enums: DataFrame, views: DataFrame, indexes: DataFrame) -> Schema:
+        """The schema behind parsed rows, as ``table_events``, ``enum_rows``, ``view_rows`` and ``index_rows`` give them."""
+        schema = cls.__new__(cls)
+        schema._fold(events, enums, views, indexes, lambda df: df)
+        return schema
+
+    def _fold(self, events: DataFrame, enums: DataFrame, views: DataFrame, indexes: DataFrame, keep) -> None:
+        self.events, self._enums, self._views, self._indexes = events, enums, views, indexes
+        self.lives = keep(table_lives(events))
+        self.facts = live_facts(events, self.lives)
 
     @property
     def tables(self) -> DataFrame:
@@ -196,15 +219,15 @@ class Schema:
 
     @property
     def enums(self) -> DataFrame:
-        return enums(self.log)
+        return enums(self._enums)
 
     @property
     def views(self) -> DataFrame:
-        return views(self.log)
+        return views(self._views)
 
     @property
     def indexes(self) -> DataFrame:
-        return indexes(self.log, self.lives)
+        return indexes(self._indexes, self.lives)
 
     def annotated(self) -> DataFrame:
         """Columns with key flags and the latest single reference."""

@@ -7,14 +7,16 @@ import uuid
 from pyspark.sql import functions as F
 
 from codestrata.functions import text
-from codestrata.operators import discovery, edges
+from codestrata.operators import ddl, discovery, edges
+from codestrata.operators.filters import migration_files
 from codestrata.plans.registry import ORACLES, query
 from codestrata.plans.services import _edges
 from codestrata.plans import summary as _summary  # noqa: F401  its macros are used here
 from codestrata.session import shared_dir
 from codestrata.sources import cache, files as sources, sinks, views
-from codestrata.streaming.incremental import analyze_batch, split_errors
+from codestrata.streaming.incremental import analyze_batch
 from codestrata.streaming.run import drain
+from codestrata.streaming.schema_state import split_errors, with_reason
 
 _DAY = "TIMESTAMP '2024-01-0{} 00:00:00'"
 
@@ -97,4 +99,4 @@ def q_incremental(spark, sf):
 SELECT project, path, stmt_no FROM stm WHERE type IS NULL
 UNION ALL SELECT n.project, n.path, n.stmt_no FROM named n JOIN badcreate b ON b.project = n.project AND b.seq = n.seq""")
 def q_errors(spark, sf):
-    return split_errors(views.repos(spark, sf))[1].select("project", "path", "stmt_no")
+    return split_errors(with_reason(ddl.statements(migration_files(views.repos(spark, sf)))))[1].select("project", "path", "stmt_no")

@@ -6,11 +6,17 @@ keeps the rows up to the newest event minus the allowed delay.
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame, functions as F
+
+from codestrata.operators import filters
 from codestrata.plans.registry import query
+from codestrata.session import shared_dir
 from codestrata.sources import views
-from codestrata.streaming import progress as sp
+from codestrata.sources.files import read_files_stream
+from codestrata.streaming import progress as sp, schema_state
 from codestrata.streaming.run import drain
 
 _GAP = 1800
@@ -63,3 +69,38 @@ SELECT run_id, last_progress, timed_out, CASE WHEN final_type IS NOT NULL THEN f
   WHEN last_progress >= 90 THEN 'accepted at end' ELSE 'incomplete' END AS outcome FROM f""")
 def q_outcome(spark, sf):
     return drain(sp.outcomes(_stream(spark, sf)))
+
+
+@query("stream_schema", """WITH $REPOS, $DDL
+SELECT project, 'table' AS part, tbl AS name, '' AS item, since_path AS body FROM live
+UNION ALL SELECT project, 'column', tbl, col, concat_ws(' ', type, nullable, "default", is_pk) FROM columns
+UNION ALL SELECT project, 'key', tbl, kind, array_to_string(cols, ',') FROM keysets
+UNION ALL SELECT project, 'foreign key', tbl, array_to_string(cols, ','), ref_tbl || '.' || array_to_string(ref_cols, ',') FROM fkeys
+UNION ALL SELECT project, 'index', tbl, name, array_to_string(cols, ',') FROM liveidx
+UNION ALL SELECT project, 'enum', name, '', array_to_string(vals, ',') FROM enums
+UNION ALL SELECT project, 'view', name, '', sql FROM liveviews
+UNION ALL SELECT project, 'progress', path, '', row_number() OVER (PARTITION BY project ORDER BY starts_with(path, 'db/'), path) || '/' ||
+  CASE WHEN starts_with(path, 'db/') THEN count(*) OVER (PARTITION BY project) ELSE count(*) FILTER (NOT starts_with(path, 'db/')) OVER (PARTITION BY project) END FROM mig""")
+def q_schema(spark, sf):
+    """Two batches: migrations of the main folder, then those of ``db``, which come first in the order of the log."""
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    migrations = filters.migration_files(views.repos(spark, sf)).select("project", "path", "content")
+    for late in (False, True):
+        migrations.filter(F.col("path").startswith("db/") == late).write.mode("append").parquet(f"{base}/in")
+        schema_state.schema_stream(read_files_stream(spark, f"{base}/in"), f"{base}/store", f"{base}/checkpoint").awaitTermination()
+    s = schema_state.current(spark, f"{base}/store")
+    joined = lambda c: F.array_join(c, ",")
+    empty = F.lit("")
+
+    def part(df: DataFrame, name: str, owner: str, item, body) -> DataFrame:
+        return df.select("project", F.lit(name).alias("part"), F.col(owner).alias("name"), item.alias("item"), body.alias("body"))
+
+    progress = spark.read.parquet(f"{base}/store/progress")
+    return reduce(DataFrame.unionByName, [
+        part(s.tables, "table", "tbl", empty, F.col("since_path")),
+        part(s.columns, "column", "tbl", F.col("col"), F.concat_ws(" ", "type", F.col("nullable").cast("string"), "default", F.col("is_pk").cast("string"))),
+        part(s.keys, "key", "tbl", F.col("kind"), joined("cols")),
+        part(s.fks, "foreign key", "tbl", joined("cols"), F.concat("ref_tbl", F.lit("."), joined("ref_cols"))),
+        part(s.indexes, "index", "tbl", F.col("name"), joined("cols")),
+        part(s.enums, "enum", "name", empty, joined("vals")), part(s.views, "view", "name", empty, F.col("sql")),
+        part(progress, "progress", "path", empty, F.concat_ws("/", "current", "total"))])

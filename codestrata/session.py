@@ -61,6 +61,11 @@ def _delete(sc, path: str) -> None:
     place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 @contextlib.contextmanager
 def short_lived_shuffles(spark: SparkSession):
     """Shuffle files of the writes made inside go as soon as each write ends."""

@@ -1,4 +1,4 @@
-"""Incremental analysis: changed files, growing migration logs, side outputs.
+"""Incremental analysis of changed files, and a callback for progress.
 
 Batches write under their batch number, so a replayed batch lands in the same
 place and the results do not depend on how often it ran.
@@ -8,17 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from codestrata.functions import ddl as dx
-from codestrata.operators import ddl, summaries
-from codestrata.operators.filters import migration_files
-from codestrata.session import cut_lineage
+from codestrata.operators import summaries
+from codestrata.session import cut_lineage, exists
 from codestrata.sources import cache
 
-EVENT_BUCKETS = 64
-
 
 # --- changed files -----------------------------------------------------------------
 
@@ -27,7 +23,7 @@ def analyze_batch(files: DataFrame, cache_path: str, now=None, summarize: Callab
     spark = files.sparkSession
     now = F.current_timestamp() if now is None else now
     keyed = files.withColumn("key", F.concat_ws("/", "project", "path"))
-    stored = spark.createDataFrame([], cache.CACHE) if not _exists(spark, cache_path) else spark.read.schema(cache.CACHE).parquet(cache_path)
+    stored = spark.createDataFrame([], cache.CACHE) if not exists(spark, cache_path) else spark.read.schema(cache.CACHE).parquet(cache_path)
     todo = cut_lineage(cache.cache_todo(keyed, stored, now))
     made = (summarize or summaries.summarize_files)(todo.select("project", "path", "content"))
     hashes = todo.select("project", "path", "key", "content_hash")
@@ -47,76 +43,6 @@ def analyze_incremental(files_stream: DataFrame, cache_path: str, checkpoint: st
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-
-
-# --- growing migration logs ------------------------------------------------------------
-
-def split_errors(migrations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(supported statements, warning rows); works on batches and streams."""
-    rows = ddl.statements(migration_files(migrations))
-    reason = (F.when(F.col("type").isNull(), "unsupported statement")
-              .when((F.col("type") == "CREATE_TABLE") & ~dx.create_is_valid("stmt"), "column definitions do not parse")
-              .when(F.col("type").isin("CREATE_TABLE", "ALTER_TABLE", "DROP_TABLE") & (F.col("tbl") == ""), "no table name"))
-    marked = rows.withColumn("reason", reason)
-    return (marked.filter("reason IS NULL").drop("reason"),
-            marked.filter("reason IS NOT NULL").select("project", "path", "stmt_no", "reason", "stmt"))
-
-
-def fold_batch(migrations: DataFrame, store: str, number: int) -> None:
-    """Append the events of a batch and refresh the columns of the tables it touches.
-
-    A migration file that arrives again replaces its older version, also for tables that
-    only the older one names. Events live in hash buckets of (project, table); only touched
-    buckets are read again.  A list of at most ``EVENT_BUCKETS`` numbers goes to the driver.
-    """
-    spark = migrations.sparkSession
-    good, bad = split_errors(migrations)
-    bucket = F.pmod(F.xxhash64("project", "tbl"), F.lit(EVENT_BUCKETS)).cast("int")
-    paths = migration_files(migrations).select("project", "path").distinct()
-    paths.write.mode("overwrite").parquet(f"{store}/files/batch={number}")
-    good.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/events/batch={number}")
-    bad.write.mode("overwrite").parquet(f"{store}/warnings/batch={number}")
-    schema = T.StructType([*good.schema.fields, T.StructField("bucket", T.IntegerType()), T.StructField("batch", T.IntegerType())])
-    seen = T.StructType([*paths.schema.fields, T.StructField("batch", T.IntegerType())])
-    arrived = spark.read.schema(seen).parquet(f"{store}/files").filter(F.col("batch") <= number)
-    newest = arrived.groupBy("project", "path").agg(F.max("batch").alias("batch"), F.count(F.lit(1)).alias("versions"))
-    # tables of the batch's files, in this version or an older one
-    current = newest.filter(F.col("batch") == number)
-    log = spark.read.schema(schema).parquet(f"{store}/events").filter((F.col("batch") <= number) & F.col("bucket").isNotNull())
-    new = log.filter(F.col("batch") == number).select("project", "tbl", "bucket")
-    old = log.join(current.filter("versions > 1").select("project", "path"), ["project", "path"], "left_semi").select("project", "tbl", "bucket")
-    touched = cut_lineage(new.union(old).filter("tbl <> ''").distinct())
-    numbers = [r.bucket for r in touched.select("bucket").distinct().collect()]
-    if not numbers:
-        return
-    live = (log.filter(F.col("bucket").isin(numbers)).join(newest.select("project", "path", "batch"), ["project", "path", "batch"], "left_semi")
-            .dropDuplicates(["project", "path", "stmt_no"]).join(touched.select("project", "tbl"), ["project", "tbl"], "left_semi"))
-    events = ddl.table_events(live)
-    columns = ddl.live_columns(ddl.live_facts(events, ddl.table_lives(events)))
-    columns.write.mode("overwrite").parquet(f"{store}/columns/batch={number}")
-    touched.select("project", "tbl").write.mode("overwrite").parquet(f"{store}/touched/batch={number}")
-
-
-def current_columns(spark: SparkSession, store: str, upto: int | None = None) -> DataFrame:
-    """Columns of every table as of its last refresh (up to a batch)."""
-    touched = spark.read.parquet(f"{store}/touched")
-    columns = spark.read.parquet(f"{store}/columns")
-    if upto is not None:
-        touched, columns = touched.filter(F.col("batch") <= upto), columns.filter(F.col("batch") <= upto)
-    last = touched.groupBy("project", "tbl").agg(F.max("batch").alias("batch"))
-    return columns.join(last, ["project", "tbl", "batch"], "left_semi").drop("batch")
-
-
-def schema_stream(files_stream: DataFrame, store: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Fold migrations as they arrive; each batch leaves the refreshed tables in the store."""
-    writer = files_stream.writeStream.foreachBatch(lambda b, n: fold_batch(b, store, n)).option("checkpointLocation", checkpoint)
-    return writer.trigger(**(trigger or {"availableNow": True})).start()
-
-
 # --- progress callback ----------------------------------------------------------------
 
 class ProgressCallback(StreamingQueryListener):

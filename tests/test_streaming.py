@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codestrata.functions import text
-from codestrata.operators import ddl, progress as batch
+from codestrata.operators import progress as batch
 from codestrata.sources import cache, files, views
 from codestrata.streaming import incremental, progress as sp
 from codestrata.streaming.run import drain
@@ -95,35 +95,7 @@ def test_incremental_analysis_skips_known_content(spark, tmp_path, make_files):
     assert cache.cache_read(spark, store, "file").count() == 2
 
 
-def test_schema_stream_equals_batch_fold(spark, tmp_path, make_files):
-    src, store, chk = str(tmp_path / "in"), str(tmp_path / "store"), str(tmp_path / "chk")
-    parts = [
-        make_files(("migrations/1.sql", "CREATE TABLE a (x int, y int); CREATE TABLE b (z int); SELECT 1; CREATE TABLE broken")),
-        make_files(("migrations/2.sql", "ALTER TABLE a DROP COLUMN y; DROP TABLE b")),
-        make_files(("migrations/3.sql", "CREATE TABLE b (w int)"), ("other.txt", "x")),
-    ]
-    for part in parts:
-        part.coalesce(1).write.mode("append").parquet(src)
-        incremental.schema_stream(files.read_files_stream(spark, src), store, chk).awaitTermination()
-    key = lambda df: sorted((r.tbl, r.col) for r in df.collect())
-    everything = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    assert key(incremental.current_columns(spark, store)) == key(ddl.Schema(everything).columns) == [("a", "x"), ("b", "w")]
-    assert key(incremental.current_columns(spark, store, 0)) == [("a", "x"), ("a", "y"), ("b", "z")]
-    assert sorted(r.reason for r in spark.read.parquet(f"{store}/warnings").collect()) == [
-        "column definitions do not parse", "unsupported statement"]
-
-
 def test_expiry(spark):
     row = spark.range(1).select(text.is_expired(F.lit("2024-01-01 00:00:00").cast("timestamp"), F.lit("2024-01-02 00:00:01").cast("timestamp")).alias("a"),
                                 text.is_expired(F.lit("2024-01-01 00:00:00").cast("timestamp"), F.lit("2024-01-02 00:00:00").cast("timestamp")).alias("b")).first()
     assert (row.a, row.b) == (True, False)
-
-
-def test_a_migration_that_arrives_again_replaces_its_older_version(spark, make_files, tmp_path):
-    from codestrata.streaming.incremental import current_columns, fold_batch
-    store = str(tmp_path / "store")
-    fold_batch(make_files(("migrations/1.sql", "CREATE TABLE t (a int); CREATE TABLE gone (z int)"), ("migrations/2.sql", "ALTER TABLE t ADD COLUMN b int")), store, 0)
-    fold_batch(make_files(("migrations/1.sql", "CREATE TABLE t (c int)")), store, 1)
-    assert sorted((r.tbl, r.col) for r in current_columns(spark, store).collect()) == [("t", "b"), ("t", "c")]
-    fold_batch(make_files(("migrations/1.sql", "")), store, 2)
-    assert sorted((r.tbl, r.col) for r in current_columns(spark, store).collect()) == [("t", "b")]
