@@ -32,15 +32,28 @@ _ENUM = r"(?is)^AS\s+ENUM\s*\((.*)\)"
 _KEY = r"(?is)\b(PRIMARY\s+KEY|FOREIGN\s+KEY|UNIQUE)\b[^()]*\(([^()]*)\)"
 _TARGET = rf"(?is)\bREFERENCES\s+({_NAME})\s*\(([^()]*)\)"
 _DEFAULT = rf"(?is)\bDEFAULT\s+({_LITERAL}|\([^()]*\)|[^\s,]+)"
+_DATA_TYPE = (r"(?i)^(?:DOUBLE\s+PRECISION|(?:CHARACTER|BIT)\s+VARYING|NATIONAL\s+CHARACTER(?:\s+VARYING)?|[^\s(\[]+)(?:\s*\([^()]*\))?"
+              r"(?:\s+WITH(?:OUT)?\s+TIME\s+ZONE)?(?:\s*\[\d*\])*")
 # Actions of ALTER TABLE.
 _ADDS_KEY = r"(?is)^ADD\s+(?:CONSTRAINT\b|PRIMARY\s+KEY\b|FOREIGN\s+KEY\b|UNIQUE\b)"
 _ADDS = r"(?is)^ADD\s+(?:COLUMN\s+)?(?:IF\s+NOT\s+EXISTS\s+)?(\S.*)$"
 _DROPS = rf"(?is)^DROP\s+COLUMN\s+(?:IF\s+EXISTS\s+)?({_NAME})"
 _CHANGES = rf"(?is)^(?:ALTER|MODIFY)\s+(?:COLUMN\s+)?({_NAME})\s+(\S.*)$"
-_NO_EFFECT = r"(?is)^(?:DROP\s+CONSTRAINT|RENAME|OWNER|ENABLE|DISABLE|VALIDATE|SET|RESET|COMMENT)\b"
+_NO_EFFECT = r"(?is)^(?:DROP\s+CONSTRAINT|RENAME\s+CONSTRAINT|OWNER|ENABLE|DISABLE|VALIDATE|SET|RESET|COMMENT)\b"
 
-# Commas and parentheses inside literals are stood in for by characters that no statement holds.
-_INSIDE, _STAND_INS = ",()", "\ue000\ue001\ue002"
+# Pieces of a script: what is quoted or a comment is one piece, whatever it holds. Comments may be nested,
+# _DEPTH deep; one that does not end goes on to the end of the text, any other quote that does not end is a character like others.
+_DEPTH = 6
+_COMMENT = r"/\*(?:[^*/]++|\*(?!/)|/(?!\*))*+\*/"
+for _ in range(_DEPTH - 1):
+    _COMMENT = rf"/\*(?:[^*/]++|\*(?!/)|{_COMMENT}|/(?!\*))*+\*/"
+_QUOTED = r"""'(?:[^']++|'')*+'|"(?:[^"]++|"")*+"|`[^`]*+`|(\$(?:[A-Za-z_]\w*+)?+\$).*?\1"""
+_REMARK = rf"--[^\n]*+|{_COMMENT}|/\*.*+"
+_PIECES = rf"(?s)(?:{_QUOTED}|{_REMARK}|[^'\"`$/\-]++|.)"
+_IS_QUOTED, _IS_REMARK = r"(?s)^(?:'.*'|\".*\"|`.*`|\$.*\$)$", r"^(?:--|/\*)"
+
+# What separates statements, definitions and lines is stood in for, where it is quoted, by characters that no script holds.
+_INSIDE, _STAND_INS = ";,()\n\r\t -", "\ue000\ue001\ue002\ue003\ue004\ue005\ue006\ue007\ue008"
 
 
 def unquoted(c: Column) -> Column:
@@ -52,12 +65,33 @@ def _names(listed: Column) -> Column:
     return F.transform(F.split(listed, ","), lambda c: unquoted(strip(c)))
 
 
+def pieces(script: Column | str) -> Column:
+    """A script cut into quoted parts, comments and what is between them."""
+    return F.regexp_extract_all(col(script), F.lit(_PIECES), F.lit(0))
+
+
+def guarded(script: Column | str) -> Column:
+    """The script without comments, with stand-ins for separators inside quotes."""
+    def piece(p: Column) -> Column:
+        quoted = (F.length(p) > 1) & p.rlike(_IS_QUOTED)
+        return F.when(quoted, F.translate(p, _INSIDE, _STAND_INS)).when(p.rlike(_IS_REMARK), F.lit(" ")).otherwise(p)
+
+    return F.array_join(F.transform(pieces(script), piece), "")
+
+
+def unguarded(text: Column) -> Column:
+    return F.translate(text, _STAND_INS, _INSIDE)
+
+
+def raw_statements(script: Column | str) -> Column:
+    """The statements of a script, guarded: cut at semicolons that are neither quoted nor in a comment."""
+    return F.split(guarded(script), ";")
+
+
 def clean_statement(raw: Column | str) -> Column:
-    """Drop comment lines and trailing comments; join what is left with spaces."""
+    """A guarded statement without blank lines; its lines joined with spaces, quoted parts as they were."""
     lines = F.transform(F.split(col(raw), "\n"), lambda line: strip(line))
-    code = F.filter(lines, lambda line: (line != "") & ~line.startswith("--") & ~line.startswith("/*"))
-    bare = F.transform(code, lambda line: F.when(F.instr(line, "--") > 0, strip(F.substring_index(line, "--", 1))).otherwise(line))
-    return F.array_join(F.filter(bare, lambda line: line != ""), " ")
+    return unguarded(F.array_join(F.filter(lines, lambda line: line != ""), " "))
 
 
 def plain(stmt: Column | str) -> Column:
@@ -85,23 +119,17 @@ def statement_table(stmt: Column | str, kind: Column | str) -> Column:
             .when(k == "CREATE_INDEX", unquoted(F.regexp_extract(plain(stmt), _INDEX, 3))).otherwise(""))
 
 
-def _swap(text: Column, old: str, new: str) -> Column:
-    """Replace characters inside literals: every second part between quotes."""
-    parts = F.transform(F.split(text, "'"), lambda x, i: F.when(i % 2 == 1, F.translate(x, old, new)).otherwise(x))
-    return F.array_join(parts, "'")
-
-
 def _without_literals(text: Column) -> Column:
     return F.regexp_replace(text, _LITERAL, "''")
 
 
 def listed(text: Column) -> Column:
-    """Split at commas outside parentheses and literals.
+    """Split at commas outside parentheses and quotes.
 
     Pieces between commas are folded together while parentheses are open, so
     any nesting depth works and no regular expression can backtrack.
     """
-    pieces = F.split(_swap(text, _INSIDE, _STAND_INS), ",")
+    parts = F.split(guarded(text), ",")
 
     def depth(piece: Column) -> Column:
         opens = F.length(F.replace(piece, F.lit(")"), F.lit("")))
@@ -116,9 +144,9 @@ def listed(text: Column) -> Column:
             F.when(level != 0, grown).alias("open"), level.alias("depth"))
 
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"), F.lit(0).alias("depth"))
-    whole = F.aggregate(pieces, start, step, lambda s: F.when(
+    whole = F.aggregate(parts, start, step, lambda s: F.when(
         s["open"].isNull(), s["done"]).otherwise(F.array_append(s["done"], s["open"])))
-    return F.filter(F.transform(whole, lambda d: strip(F.translate(d, _STAND_INS, _INSIDE))), lambda d: d != "")
+    return F.filter(F.transform(whole, lambda d: unguarded(strip(d))), lambda d: d != "")
 
 
 def _table_body(stmt: Column | str) -> Column:
@@ -148,15 +176,23 @@ def _present(c: Column) -> Column:
     return F.when(c != "", c)
 
 
+def type_of(text: Column) -> Column:
+    """The type at the start of a text, with its parameters, in lower case and without blanks that do not matter."""
+    found = F.lower(F.regexp_replace(F.regexp_extract(text, _DATA_TYPE, 0), r"\s+", " "))
+    return F.regexp_replace(F.regexp_replace(found, r" ?([(\[,]) ?", "$1"), r" ([)\]])", "$1")
+
+
 def _column_facts(definition: Column, no: Column) -> Column:
     """Facts of one column definition; null when it has fewer than two words."""
     words = F.split(strip(definition), r"\s+")
     bare = _without_literals(definition)
-    name = unquoted(F.get(words, F.lit(0)))
+    first = F.regexp_extract(strip(definition), rf"(?s)^({_NAME})\s+(.*)$", 1)
+    name = unquoted(F.when(first != "", first).otherwise(F.get(words, F.lit(0))))
+    rest = F.regexp_extract(strip(definition), rf"(?s)^(?:{_NAME})\s+(.*)$", 1)
     key = bare.rlike(r"(?i)\bPRIMARY\s+KEY\b")
     ref = F.regexp_extract(bare, _TARGET, 1)
     return F.when(F.size(words) >= 2, F.array_compact(F.array(
-        _fact(no, "ADD", F.array(name), type_=F.lower(F.get(words, F.lit(1))),
+        _fact(no, "ADD", F.array(name), type_=type_of(F.when(rest != "", rest).otherwise(F.get(words, F.lit(1)))),
               nullable=~(bare.rlike(r"(?i)\bNOT\s+NULL\b") | key), sets_default=F.lit(True),
               default=_present(F.regexp_extract(definition, _DEFAULT, 1))),
         F.when(key, _fact(no, "PK", F.array(name))),
@@ -203,12 +239,12 @@ def alter_actions(stmt: Column | str) -> Column:
 
 def _changed(action: Column, no: Column) -> Column:
     name, rest = unquoted(F.regexp_extract(action, _CHANGES, 1)), F.regexp_extract(action, _CHANGES, 2)
-    new_type = F.lower(F.regexp_extract(rest, r"(?i)^(?:SET\s+DATA\s+)?TYPE\s+(\S+)", 1))
+    new_type = type_of(F.regexp_extract(rest, r"(?is)^(?:SET\s+DATA\s+)?TYPE\s+(\S.*)$", 1))
     change = F.upper(F.regexp_replace(F.regexp_extract(rest, r"(?i)^(?:SET|DROP)\s+(?:NOT\s+NULL|DEFAULT)\b", 0), r"\s+", " "))
     whole = (new_type == "") & (change == "")
     return F.when(rest != "", _fact(
         no, "SETCOL", F.array(name),
-        type_=F.when(new_type != "", new_type).when(whole, F.lower(F.substring_index(rest, " ", 1))),
+        type_=F.when(new_type != "", new_type).when(whole, type_of(rest)),
         nullable=F.when(change == "SET NOT NULL", False).when(change == "DROP NOT NULL", True)
         .when(whole, ~_without_literals(rest).rlike(r"(?i)\bNOT\s+NULL\b")),
         sets_default=whole | change.isin("SET DEFAULT", "DROP DEFAULT"),

@@ -19,7 +19,7 @@ TABLE = ["project", "tbl"]
 
 def statements(migrations: DataFrame) -> DataFrame:
     """Every cleaned, non-empty statement with its kind (null if unsupported)."""
-    raw = migrations.select("project", "path", F.posexplode(F.split("content", ";")).alias("stmt_no", "raw"))
+    raw = migrations.select("project", "path", F.posexplode(ddl.raw_statements("content")).alias("stmt_no", "raw"))
     cleaned = raw.select("project", "path", "stmt_no", ddl.clean_statement("raw").alias("stmt")).filter(F.col("stmt") != "")
     typed = cleaned.withColumn("type", ddl.statement_type("stmt"))
     return typed.withColumn("tbl", ddl.statement_table("stmt", "type"))

@@ -20,6 +20,11 @@ _DEF = "'(?i)default +(''[^'']*''|[^ ,]+)'"
 _REF = r"'REFERENCES\s+([^\s(]+)\s*\(([^)]+)\)'"
 _CHG = r"'(?i)(?:ALTER|MODIFY)\s+COLUMN\s+([^\s]+)\s+(.+)'"
 
+# A type ends after its parameters, time zone and array bounds; blanks around parentheses and commas do not count.
+_DATA_TYPE = (r"regexp_extract(d, '(?i)^\S+\s+((?:double\s+precision|(?:character|bit)\s+varying|[^\s(\[]+)(?:\s*\([^()]*\))?"
+              r"(?:\s+with(?:out)?\s+time\s+zone)?(?:\s*\[\d*\])*)', 1)")
+_DATA_TYPE = rf"lower(regexp_replace(regexp_replace({_DATA_TYPE}, '\s*([(\[,])\s*', '\1', 'g'), '\s+([)\]])', '\1', 'g'))"
+
 # The oracle replays the log with windows: epochs count the drops of a table.
 define("DDL", f"""
 mig AS MATERIALIZED (SELECT project, path, content FROM facts WHERE ends_with(lpath, '.sql') AND contains(lower(parent), 'migration')),
@@ -59,7 +64,7 @@ coldefs AS (
   UNION ALL
   SELECT project, tbl, seq, 0, regexp_extract(stmt, '(?i)\\bADD\\s+(?:COLUMN\\s+)?(.+)', 1) FROM eff
   WHERE type = 'ALTER_TABLE' AND contains(upper(stmt), 'ADD ') AND NOT contains(upper(stmt), 'ADD CONSTRAINT')),
-cols0 AS MATERIALIZED (SELECT project, tbl, seq, def_no, d, lower(trim(string_split_regex(d, '\\s+')[1], {_Q})) AS col, lower(string_split_regex(d, '\\s+')[2]) AS type,
+cols0 AS MATERIALIZED (SELECT project, tbl, seq, def_no, d, lower(trim(string_split_regex(d, '\\s+')[1], {_Q})) AS col, {_DATA_TYPE} AS type,
     NOT (contains(upper(d), 'NOT NULL') OR contains(upper(d), 'PRIMARY KEY')) AS nullable, nullif(regexp_extract(d, {_DEF}, 1), '') AS dflt
   FROM coldefs WHERE regexp_matches(d, '^\\S+\\s+\\S')),
 keydefs AS (
