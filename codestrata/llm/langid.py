@@ -33,8 +33,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codestrata.llm.common import ship, slices
+from codestrata.llm.common import ROW, numbered, ship, slices, without
 from codestrata.llm.bpe import Shared
+from codestrata.session import cut_lineage
 
 NONE = "und"
 BUCKETS = 1 << 17
@@ -304,5 +305,7 @@ def op6(docs: DataFrame) -> DataFrame:
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """Documents that are not rejected, with all their columns."""
-    return predict(docs, fit(docs, ~held_out(F.col("doc_id")))).filter("not rejected").select(*docs.columns)
+    """Documents that are not rejected, with all their columns; only texts and row numbers pass through Python."""
+    docs = numbered(docs)
+    model = fit(docs, ~held_out(F.col("doc_id")))
+    return without(docs, cut_lineage(predict(docs.select(ROW, "text"), model).filter("rejected").select(ROW)))
