@@ -106,3 +106,12 @@ def test_stages_judge_rows_without_or_with_repeated_ids(spark, tmp_path):
         [x for x in want if x != ("None", prose[1])] + [("9", prose[1].upper())])
     leaks = [(None, near), (None, "so " + item), (None, prose[1]), (5, prose[2]), (5, item), (6, prose[3]), (6, prose[3])]
     assert texts(clean(spark, make(leaks), str(tmp_path))) == sorted((str(i), t) for i, t in leaks if item not in t)
+
+
+def test_language_stage_keeps_the_values_of_clashing_columns(spark):
+    """Columns named like those of the model come back as they were, for every row that stays."""
+    words = {"en": "the house of the old man stands near the river and the wood", "de": "das alte haus steht neben dem fluss und dem wald der stadt"}
+    rows = [(i, f"{words[lang]} {words[lang]} {i}", lang, i, f"s{i}") for i in range(40) for lang in words]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int, rejected string")
+    kept = langid.keep_known(docs)
+    assert kept.schema == docs.schema and set(map(tuple, kept.collect())) <= set(rows) and kept.count() > 60
