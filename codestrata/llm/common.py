@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +22,7 @@ PACKAGE = Path(__file__).resolve().parents[1]
 #: A group is hot when it has over one HOT-th of all rows; so there are fewer than HOT such groups.
 HOT = 1000
 
-#: Column of the number of a row.
+#: Column of the number or name of a row.
 ROW = "_row_no"
 
 #: Groups that are broadcast without regard to their size.
@@ -109,11 +110,31 @@ def parts(rows: int, each: int) -> int:
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """Documents, written once with a number for each row in the column ``_row_no``: a doc_id may be null or repeat."""
-    return cut_lineage(docs.withColumn(ROW, F.monotonically_increasing_id()))
+    """Documents with a name for each row in the column ``_row_no``: a doc_id may be null or repeat.
+
+    Rows of a Parquet table, read as it is, are named by file and place in it, so no text is copied.
+    Others are written once with a number for each. A column of that name is kept aside for ``without``.
+    """
+    docs = docs.withColumnRenamed(ROW, _ASIDE) if ROW in docs.columns else docs
+    placed = _placed(docs)
+    return cut_lineage(docs.withColumn(ROW, F.monotonically_increasing_id())) if placed is None else placed
+
+
+_ASIDE = f"{ROW} of the input"
+
+
+def _placed(docs: DataFrame) -> DataFrame | None:
+    """Rows of a plain Parquet scan with file and place as their name, None for anything else."""
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation" or "_metadata" in docs.columns:
+        return None
+    try:
+        return docs.withColumn(ROW, F.concat_ws("#", "_metadata.row_index", "_metadata.file_path"))
+    except AnalysisException:  # a format without places
+        return None
 
 
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Rows of ``numbered`` documents whose number is not in ``dropped``, with the columns that the documents had."""
+    """Rows of ``numbered`` documents whose name is not in ``dropped``, with the columns that the documents had."""
     gone = dropped.select(F.col(ROW).alias("_gone_row"))
-    return docs.join(gone, docs[ROW] == gone["_gone_row"], "left_anti").drop(ROW)
+    kept = docs.join(gone, docs[ROW] == gone["_gone_row"], "left_anti").drop(ROW)
+    return kept.withColumnRenamed(_ASIDE, ROW)

@@ -32,6 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from codestrata.llm.bpe import Shared, Store
 from codestrata.llm.common import ROW, numbered, ship, slices, without
@@ -62,7 +63,7 @@ _FORMS = ("names as words", "names replaced", "literal")
 _LITERAL = 2
 _PRIME = 0x100000001B3 * 0x9E3779B97F4A7C15 & ((1 << 64) - 1) | 1
 
-WINDOWS = "id long, form int, pos int, n_tokens int, length int, hash long, slots array<string>"
+WINDOWS = "form int, pos int, n_tokens int, length int, hash long, slots array<string>"
 
 
 def _code(token: str) -> int:
@@ -144,17 +145,19 @@ class Templates:
 
 
 class Wanted:
-    """Hashes to look for: a table of bits first, then the sorted hashes."""
+    """Hashes to look for: a packed table of bits first (at most 16 MB), then the hashes, sorted."""
 
     def __init__(self, hashes: np.ndarray) -> None:
-        self.sorted = np.sort(hashes.astype(np.uint64))
+        self.sorted = hashes.view(np.uint64)
         bits = max(16, int(len(hashes)).bit_length() + 4)
         self.mask = np.uint64((1 << bits) - 1)
-        self.table = np.zeros(1 << bits, bool)
-        self.table[self.sorted & self.mask] = True
+        self.table = np.zeros(1 << bits - 3, np.uint8)
+        at = self.sorted & self.mask
+        np.bitwise_or.at(self.table, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
 
     def maybe(self, h: np.ndarray) -> np.ndarray:
-        return self.table[h & self.mask]
+        at = h & self.mask
+        return (self.table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
 
     def has(self, h: np.ndarray) -> np.ndarray:
         if not len(self.sorted):
@@ -164,8 +167,10 @@ class Wanted:
 
 
 def windows(rows: DataFrame, shapes: list[tuple[int, int]], wanted: Shared | None, whole_only: bool = False) -> DataFrame:
-    """Template windows of ``rows(id, text)``."""
+    """Template windows of ``rows(id, text)``; an id is a number or a string."""
     ship(rows.sparkSession)
+    kind = rows.schema["id"].dataType
+    arrow = pa.string() if isinstance(kind, StringType) else pa.int64()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Templates()
@@ -175,11 +180,11 @@ def windows(rows: DataFrame, shapes: list[tuple[int, int]], wanted: Shared | Non
             found = own.windows([x or "" for x in batch.column(1).to_pylist()], shapes, look, whole_only)
             cols = list(zip(*found)) or [()] * 7
             yield pa.RecordBatch.from_arrays(
-                [pa.array([ids[i] for i in cols[0]], pa.int64()), *[pa.array(c, pa.int32()) for c in cols[1:5]],
+                [pa.array([ids[i] for i in cols[0]], arrow), *[pa.array(c, pa.int32()) for c in cols[1:5]],
                  pa.array(cols[5], pa.int64()), pa.array(cols[6], pa.list_(pa.string()))],
                 ["id", "form", "pos", "n_tokens", "length", "hash", "slots"])
 
-    return rows.mapInArrow(run, WINDOWS)
+    return rows.mapInArrow(run, f"id {kind.simpleString()}, {WINDOWS}")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -192,8 +197,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hashes = theirs.select("hash").distinct()
     wanted = None
     if hashes.count() <= SENT:
-        wanted = Shared(spark, np.array([r[0] for r in hashes.collect()], np.int64))
-    ours = windows(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), shapes, wanted)
+        sent = hashes.toArrow().column(0).to_numpy().view(np.uint64)
+        wanted = Shared(spark, np.sort(sent).view(np.int64))
+    key = F.col("doc_id") if isinstance(docs.schema["doc_id"].dataType, StringType) else F.col("doc_id").cast("long")
+    ours = windows(docs.select(key.alias("id"), "text"), shapes, wanted)
     hits = ours.select(F.col("id").alias("doc_id"), "form", "hash", F.col("pos").alias("at"), F.col("slots").alias("ours")).join(
         theirs.select(F.col("id").alias("item_id"), "form", "hash", "pos", "n_tokens", "length", F.col("slots").alias("theirs")),
         ["form", "hash"])

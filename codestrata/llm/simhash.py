@@ -86,7 +86,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             found = np.array([fingerprint(x) for x in batch.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), *batch.columns[2:]], ["doc_id", "fp", *more])
 
-    return docs.select(F.col("doc_id").cast("long"), "text", *more).mapInArrow(run, ", ".join(f"{c} long" for c in ["doc_id", "fp", *more]))
+    schema = ", ".join(["doc_id long", "fp long", *(f"{c} {docs.schema[c].dataType.simpleString()}" for c in more)])
+    return docs.select(F.col("doc_id").cast("long"), "text", *more).mapInArrow(run, schema)
 
 
 def _signed(x: int) -> int:
