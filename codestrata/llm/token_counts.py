@@ -64,17 +64,17 @@ def _patterns(special: list[str]) -> tuple[Splitter, regex.Pattern | None]:
 
 
 def pretoken_counts(docs: DataFrame, tokenizer: Shared, head: Shared) -> DataFrame:
-    """(row, key, freq) for ``docs(row, text)``, without the pre-tokens in ``head``.
+    """(row, doc_id, n_bytes, key, freq) for ``docs(row, doc_id, text)``, without the pre-tokens in ``head``.
 
     For every row there is one more with a null key: its special tokens and the tokens of
-    the pre-tokens in ``head``.
+    the pre-tokens in ``head``. Only this one has doc_id and n_bytes.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter, special = _patterns(tokenizer.value[1])
         known = head.value
         for batch in slices(batches):
-            rows, keys, freqs = [], [], []
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            rows, ids, sizes, keys, freqs = [], [], [], [], []
+            for row, doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
                 parts, n = _split(text or "", special)
                 seen: Counter = Counter()
                 for part in parts:
@@ -85,16 +85,18 @@ def pretoken_counts(docs: DataFrame, tokenizer: Shared, head: Shared) -> DataFra
                     if each := known.get(key):
                         n += freq * each
                     else:
-                        rows.append(row)
                         keys.append(key)
                         freqs.append(freq)
-                rows.append(row)
+                more = len(keys) - len(rows)
+                rows += [row] * (more + 1)
+                ids += [None] * more + [doc_id]
+                sizes += [None] * more + [len((text or "").encode())]
                 keys.append(None)
                 freqs.append(n)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rows, pa.int64()), pa.array(keys, pa.string()), pa.array(freqs, pa.int64())], ["row", "key", "freq"])
+            kinds = {"row": pa.int64(), "doc_id": pa.int64(), "n_bytes": pa.int64(), "key": pa.string(), "freq": pa.int64()}
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((rows, ids, sizes, keys, freqs), kinds.values())], list(kinds))
 
-    return docs.select("row", "text").mapInArrow(run, "row long, key string, freq long")
+    return docs.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, n_bytes long, key string, freq long")
 
 
 def corpus_pieces(docs: DataFrame, tokenizer: Shared) -> DataFrame:
@@ -148,22 +150,25 @@ def _head_threshold(counted: DataFrame) -> float:
     return least
 
 
-def token_counts(docs: DataFrame, tokenizer: Shared) -> DataFrame:
-    """``docs(row, text)`` to (row, n_tokens)."""
+def token_counts(docs: DataFrame, tokenizer: Shared, limit: int = 1024) -> DataFrame:
+    """``docs(doc_id, text)`` to doc_id, n_bytes, n_tokens and over_limit, a row for each row.
+
+    Rows are numbered in the pass that cuts their texts, and only there: their facts travel with
+    their pre-tokens, so that no other reading of the input has to number them alike.
+    """
     ship(docs.sparkSession)
     counted = cut_lineage(piece_lengths(corpus_pieces(docs, tokenizer), tokenizer))
     in_head = F.floor(F.log2("freq") * 8).cast("int") >= F.lit(_head_threshold(counted))
     head = Shared(docs.sparkSession, {r[0]: r[1] for r in counted.filter(in_head).select("key", "n").collect()})
-    pairs = pretoken_counts(docs, tokenizer, head).withColumn("_salt", F.when(F.col("key").isNull(), F.col("row")).otherwise(0))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text")
+    pairs = pretoken_counts(rows, tokenizer, head).withColumn("_salt", F.when(F.col("key").isNull(), F.col("row")).otherwise(0))
     tail = counted.filter(~in_head).select(F.col("key").alias("_key"), "n", F.lit(0).cast("long").alias("_salt0"))
     met = pairs.join(tail, (pairs["key"] == tail["_key"]) & (pairs["_salt"] == tail["_salt0"]), "left")
-    return met.groupBy("row").agg(F.sum(F.col("freq") * F.coalesce("n", F.lit(1))).alias("n_tokens"))
+    lost = F.raise_error(F.concat(F.lit("pre-token without count: "), F.col("key"))).cast("long")
+    n = F.when(F.col("key").isNull(), F.lit(1).cast("long")).when(F.col("n").isNull(), lost).otherwise(F.col("n"))
+    return met.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum(F.col("freq") * n).alias("n_tokens")).select(
+        "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op7(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    counts = token_counts(rows, shared_file(docs.sparkSession, path))
-    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    facts = rows.select(F.col("row").alias("_row"), "doc_id", size.alias("n_bytes"))
-    return facts.join(counts, facts["_row"] == counts["row"]).select(
-        "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return token_counts(docs.select("doc_id", "text"), shared_file(docs.sparkSession, path), limit)
