@@ -8,13 +8,13 @@ the two sides miss it by at most half of one row.
 Dimensions are whole numbers: bytes and characters of the text on a logarithmic
 scale, and codes of language and source. The spread of a node along a dimension counts
 relative to the spread of all rows; ties go to the dimension named first. Rows are
-ordered along a dimension by its value, then by a digest of doc_id, then by doc_id,
-so that one value held by a third of all rows is cut like any other range. Rows
-that repeat a doc_id and all dimensions stay together.
+ordered along a dimension by its value, then by a digest of doc_id, then by a number that
+each row gets when the table is written, so that one value, or one doc_id, held by a third
+of all rows is cut like any other range. Slots go by a digest of that number.
 
 Medians are exact and distributed: histograms of a fixed number of bins close in on the
 cut for all nodes of a level at once, and the last few thousand rows around it are
-compared directly. Nulls: text counts as empty, language and source as "", doc_id as -1.
+compared directly. Nulls: text counts as empty, language and source as "", doc_id as none.
 """
 
 from __future__ import annotations
@@ -39,11 +39,12 @@ FEW = 4096
 SLOT_ROWS = 20_000
 
 #: Values of a row's place along a dimension: the dimension, then these.
-TIES = ("tie", "id")
+TIES = ("tie", "row")
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """Size, checksum and dimensions of each document."""
+    """Size, checksum and dimensions of each document, with a number for each row: write the table before it is used twice."""
+    digest = lambda c: F.conv(F.substring(F.md5(c.cast("string").cast("binary")), 1, 15), 16, 10).cast("long")
     text = F.coalesce("text", F.lit(""))
     size = F.octet_length(text).cast("long")
     code = lambda c: F.crc32(F.encode(F.coalesce(c, F.lit("")), "utf-8"))
@@ -52,8 +53,8 @@ def describe(docs: DataFrame) -> DataFrame:
         F.floor(F.log2(size + 1) * 1024).cast("long").alias("d0"),
         code("lang").alias("d1"), code("source").alias("d2"),
         F.floor(F.log2(F.length(text) + 1) * 1024).cast("long").alias("d3"),
-        F.conv(F.substring(F.md5(F.coalesce("doc_id", F.lit(-1)).cast("string").cast("binary")), 1, 15), 16, 10)
-        .cast("long").alias("tie"), F.coalesce("doc_id", F.lit(-1)).alias("id"))
+        digest(F.coalesce("doc_id", F.lit(-1))).alias("tie"), F.monotonically_increasing_id().alias("row")).withColumn(
+        "deal", digest(F.col("row")))
 
 
 DIMENSIONS = ("d0", "d1", "d2", "d3")
@@ -180,24 +181,24 @@ def _split(rows: DataFrame, cuts: dict[int, Cut]) -> DataFrame:
     at = _table(rows, values, "node int, _dim int, _left int, _a long, _b long, _c long")
     value = F.element_at(F.array(*DIMENSIONS), F.col("_dim") + 1)
     right = (value > F.col("_a")) | ((value == F.col("_a")) & ((F.col("tie") > F.col("_b")) | (
-        (F.col("tie") == F.col("_b")) & (F.col("id") > F.col("_c")))))
+        (F.col("tie") == F.col("_b")) & (F.col("row") > F.col("_c")))))
     moved = rows.join(at, "node", "left")
     return moved.withColumn("node", F.when(F.coalesce(right, F.lit(False)), F.col("node") + F.col("_left"))
                             .otherwise(F.col("node")).cast("int")).select(*rows.columns)
 
 
 def with_slots(rows: DataFrame) -> DataFrame:
-    """Adds ``slot``, gapless from 0 in each shard, in the order of the tie digest and doc_id.
+    """Adds ``slot``, gapless from 0 in each shard, in the order of the digest of the row number.
 
     Rows are numbered in ranges of the digest and the counts of the ranges before are added;
     no task sees a whole shard.
     """
     ranges = parts(rows.count(), SLOT_ROWS)
-    rows = rows.withColumn("_range", F.floor(F.col("tie") / F.lit(-(-(1 << 60) // ranges))).cast("int"))
+    rows = rows.withColumn("_range", F.floor(F.col("deal") / F.lit(-(-(1 << 60) // ranges))).cast("int"))
     counts = rows.groupBy("shard", "_range").agg(F.count(F.lit(1)).alias("_n"))
     before = _before(counts)
     numbered = rows.withColumn("_row", F.expr(
-        "row_number() over (partition by shard, _range order by tie, id, text_crc32, size)"))
+        "row_number() over (partition by shard, _range order by deal, row)"))
     return numbered.join(before, ["shard", "_range"]).withColumn("slot", F.col("_before") + F.col("_row") - 1)
 
 

@@ -1,5 +1,7 @@
 """Nulls, empty texts, ties, repeated rows, empty tables and columns with clashing names, for every operator and stage."""
 
+from collections import Counter
+
 import corpus_pipeline
 import public_tokenizers
 import pytest
@@ -115,3 +117,39 @@ def test_language_stage_keeps_the_values_of_clashing_columns(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int, rejected string")
     kept = langid.keep_known(docs)
     assert kept.schema == docs.schema and set(map(tuple, kept.collect())) <= set(rows) and kept.count() > 60
+
+
+def test_counts_of_shuffled_input_belong_to_their_rows(spark):
+    rows = [(None if i % 5 == 0 else i // 2, "word " * i) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    out = token_counts.op7(df, public_tokenizers.path("byte_bpe_50k.json")).collect()
+    n_tokens = {r["n_bytes"]: r["n_tokens"] for r in token_counts.op7(
+        spark.createDataFrame([(i, x) for i, (_, x) in enumerate(rows)], "doc_id long, text string"), public_tokenizers.path("byte_bpe_50k.json")).collect()}
+    assert sorted((str(r["doc_id"]), r["n_bytes"]) for r in out) == sorted((str(i), len(x)) for i, x in rows)
+    assert all(r["n_tokens"] == n_tokens[r["n_bytes"]] for r in out)
+    assert all(a < b for a, b in zip(sorted(n_tokens.values())[1:], sorted(n_tokens.values())[2:]))
+
+
+def test_shards_of_repeated_rows_are_near_equal(spark):
+    """Rows without a doc_id, or with one and the same, are dealt out like others."""
+    rows = [(None, "one and the same text")] * 400 + [(7, "one and the same text")] * 400 + [(i, f"text {i}" * (i % 9)) for i in range(400)]
+    out = kd_shards.op2(spark.createDataFrame([(*r, "en", "s") for r in rows], "doc_id long, text string, lang string, source string")).collect()
+    sums = Counter()
+    for r in out:
+        sums[r["shard"]] += r["size"]
+    slots = Counter((r["shard"], r["slot"]) for r in out)
+    assert len(sums) == 16 and max(sums.values()) - min(sums.values()) <= 4 * max(r["size"] for r in out)
+    assert len(slots) == len(rows) and all(slots[k, i] for k, n in Counter(k for k, _ in slots).items() for i in range(n))
+
+
+def test_stages_over_tables_keep_columns_named_like_helpers(spark, tmp_path):
+    """A table that is read as it is and the same rows from elsewhere give the same, whatever other columns are called."""
+    prose = [" ".join(f"{chr(97 + k)}{chr(97 + i % 26)}{chr(97 + i * i % 26)}word" for i in range(k, k + 40)) for k in range(6)]
+    spark.createDataFrame([(0, prose[5])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(i if i % 3 else None, prose[i % 6], f"n{i % 6}") for i in range(24)]
+    made = spark.createDataFrame(rows, "doc_id long, text string, _row_no string")
+    made.write.parquet(f"{tmp_path}/docs")
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        want, got = (sorted((str(r["doc_id"]), r["text"], r["_row_no"]) for r in stage(spark, d, str(tmp_path)).collect())
+                     for d in (made, spark.read.parquet(f"{tmp_path}/docs")))
+        assert got and got == want and set(got) <= {(str(a), b, c) for a, b, c in rows}

@@ -105,7 +105,7 @@ def kd_loop(rows_, shards, first=0, spans=None):
         return {r["doc_id"]: first for r in rows_}
     spread = [(max(r[d] for r in rows_) - min(r[d] for r in rows_)) / max(1, spans[d]) for d in dims]
     d = dims[spread.index(max(spread))]
-    order, left = sorted(rows_, key=lambda r: (r[d], r["tie"], r["id"])), shards // 2
+    order, left = sorted(rows_, key=lambda r: (r[d], r["tie"], r["row"])), shards // 2
     want, so_far, cut = sum(r["size"] for r in rows_) * left / shards, 0, 0
     for r in order:
         if so_far + r["size"] > want and so_far + r["size"] - want > want - so_far:
