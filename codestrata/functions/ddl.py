@@ -1,8 +1,9 @@
 """Column expressions over single DDL statements, after the public grammars of the common databases.
 
 One statement becomes an array of facts.  ``op`` is one of ADD (column defined),
-DROPCOL, SETCOL (column changed), PK, UNIQUE and FK; ``cols`` names the columns
-the fact is about.
+DROPCOL, SETCOL (column changed), PK, UNIQUE, FK, RENTBL (``ref_tbl`` is the new name of
+the table) and RENCOL (``ref_cols`` holds the new name); ``cols`` names the columns the
+fact is about.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ _ADDS_KEY = r"(?is)^ADD\s+(?:CONSTRAINT\b|PRIMARY\s+KEY\b|FOREIGN\s+KEY\b|UNIQUE
 _ADDS = r"(?is)^ADD\s+(?:COLUMN\s+)?(?:IF\s+NOT\s+EXISTS\s+)?(\S.*)$"
 _DROPS = rf"(?is)^DROP\s+COLUMN\s+(?:IF\s+EXISTS\s+)?({_NAME})"
 _CHANGES = rf"(?is)^(?:ALTER|MODIFY)\s+(?:COLUMN\s+)?({_NAME})\s+(\S.*)$"
+_RENAMES_TABLE = rf"(?is)^RENAME\s+(?:TO|AS)\s+({_NAME})\s*$"
+_RENAMES_COLUMN = rf"(?is)^RENAME\s+(?:COLUMN\s+)?({_NAME})\s+TO\s+({_NAME})\s*$"
 _NO_EFFECT = r"(?is)^(?:DROP\s+CONSTRAINT|RENAME\s+CONSTRAINT|OWNER|ENABLE|DISABLE|VALIDATE|SET|RESET|COMMENT)\b"
 
 # Pieces of a script: what is quoted or a comment is one piece, whatever it holds. Comments may be nested,
@@ -254,10 +257,16 @@ def _changed(action: Column, no: Column) -> Column:
 def alter_facts(stmt: Column | str) -> Column:
     """Facts of all actions of an ALTER TABLE; DROP CONSTRAINT and unknown actions have none."""
     empty = F.array().cast(f"array<{FACT}>")
+    # a new name without a schema stays in the schema of the old one
+    schema = F.regexp_extract(object_name(stmt), r"^(.*\.)[^.]*$", 1)
 
     def facts(a: Column, i: Column) -> Column:
         no, dropped = i.cast("int"), F.regexp_extract(a, _DROPS, 1)
+        table, column = unquoted(F.regexp_extract(a, _RENAMES_TABLE, 1)), unquoted(F.regexp_extract(a, _RENAMES_COLUMN, 1))
         return (F.when(a.rlike(_ADDS_KEY), _one(_key_fact(a, no)))
+                .when(table != "", F.array(_fact(no, "RENTBL", F.array().cast("array<string>"), ref_tbl=F.when(
+                    table.contains("."), table).otherwise(F.concat(schema, table)))))
+                .when(column != "", F.array(_fact(no, "RENCOL", F.array(column), ref_cols=F.array(unquoted(F.regexp_extract(a, _RENAMES_COLUMN, 2))))))
                 .when(a.rlike(_ADDS), F.coalesce(_column_facts(F.regexp_extract(a, _ADDS, 1), no), empty))
                 .when(dropped != "", F.array(_fact(no, "DROPCOL", F.array(unquoted(dropped)))))
                 .when(a.rlike(_CHANGES), _one(_changed(a, no)))

@@ -5,6 +5,10 @@ per-table facts: the last DROP, the first event after it, and for each column th
 last event that concerns it.  Each of these is a min / max aggregate with partial
 states, so a table with very many events costs no more than any other.  ``seq``
 (path, statement number) is the order of the log inside a project.
+
+RENAME takes effect at its place in the log: statements before it that name the table or column count
+for the new name, and so do foreign keys that refer to it. Other actions of the same statement come
+first if they concern the table's name. A table or column that has the new name already is replaced.
 """
 
 from __future__ import annotations
@@ -12,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from codestrata.functions import ddl, text
+from codestrata.operators import ddl_renames
 from codestrata.operators.filters import migration_files
 
 TABLE = ["project", "tbl"]
@@ -197,9 +202,24 @@ class Schema:
         return schema
 
     def _fold(self, events: DataFrame, enums: DataFrame, views: DataFrame, indexes: DataFrame, keep) -> None:
+        renamed = ddl_renames.any_renames(events)
+        if renamed:
+            renames = ddl_renames.table_renames(events)
+            tables, references = ddl_renames.spans(renames, ["project"]), ddl_renames.spans(renames, ["project"], by_name=True)
+            events, indexes = (keep(ddl_renames.followed(df, tables, "tbl", df["seq"])) for df in (events, indexes))
         self.events, self._enums, self._views, self._indexes = events, enums, views, indexes
         self.lives = keep(table_lives(events))
         self.facts = live_facts(events, self.lives)
+        if renamed:
+            columns = ddl_renames.spans(ddl_renames.column_renames(
+                events.join(self.lives.select(*TABLE, "last_drop"), TABLE).filter("last_drop is null or seq > last_drop")), TABLE)
+            referred = ddl_renames.spans(ddl_renames.column_renames(events), TABLE, by_name=True)
+            at = F.col("at")
+            facts = ddl_renames.with_columns(self.facts, columns, "cols", at)
+            facts = ddl_renames.followed(facts, references, "ref_tbl", facts["seq"], keep=True)
+            self.facts = keep(ddl_renames.with_columns(facts, referred, "ref_cols", at, tbl="ref_tbl", keep=True))
+            self._indexes = ddl_renames.with_columns(
+                indexes, columns, "cols", F.struct("seq.path", "seq.stmt_no", F.lit(0).alias("def_no")), keep=True)
 
     @property
     def tables(self) -> DataFrame:

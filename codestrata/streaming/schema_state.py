@@ -5,7 +5,8 @@ statement of its current life, and of later ones the facts that no newer fact re
 definition and change of each attribute of a column, keys whose columns are still there, foreign
 keys, the last definition of each index); for enums and views the last statement. One more row keeps the
 newest place (path, statement) of each name. So the state is as large as the live schema,
-however long the log, and folding it gives what folding the whole log gives.
+however long the log, and folding it gives what folding the whole log gives. Of tables that a
+RENAME concerns, by their old or new name or by a column, all statements are kept.
 
 It lies in ``BUCKETS`` buckets by (project, name). A batch reads the buckets of the names it
 touches, merges its own statements and writes these buckets anew under its batch number; a
@@ -27,13 +28,13 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from codestrata.functions import ddl as dx
-from codestrata.operators import ddl
+from codestrata.operators import ddl, ddl_renames
 from codestrata.operators.filters import migration_files
 from codestrata.session import cut_lineage, exists, release
 
 BUCKETS = 64
 
-#: One parsed statement, or (kind ``seen``) the newest place of a name. Index rows are named after their table.
+#: One parsed statement, or (kind ``seen``) the newest place of a name, or (``renamed``) that a table got this name. Index rows are named after their table.
 STATE = ("project string, space string, name string, kind string, item string, type string, seq struct<path:string,stmt_no:int>, "
          f"facts array<{dx.FACT}>, vals array<string>, flag boolean, sql string")
 NAME = ["project", "space", "name"]
@@ -51,7 +52,10 @@ def parsed(log: DataFrame) -> DataFrame:
         rest = [(F.col(columns[c]) if c in columns else F.lit(None)).cast(t).alias(c) for c, t in types.items()]
         return df.select("project", F.lit(space).alias("space"), F.col(columns["name"]).alias("name"), F.lit(kind).alias("kind"), *rest[:2], "seq", *rest[2:])
 
-    parts = [row(ddl.table_events(log), "table", "table", name="tbl", type="type", facts="facts"),
+    events = ddl.table_events(log)
+    renamed = ddl_renames.table_renames(events).withColumn("seq", F.col("at"))
+    parts = [row(events, "table", "table", name="tbl", type="type", facts="facts"),
+             row(renamed, "table", "renamed", name="new", item="old"),
              row(ddl.index_rows(log), "table", "index", name="tbl", item="name", flag="is_unique", vals="cols"),
              row(ddl.enum_rows(log), "enum", "enum", name="name", vals="vals"),
              row(ddl.view_rows(log), "view", "view", name="name", type="type", sql="stmt")]
@@ -69,10 +73,16 @@ def schema_of(rows: DataFrame) -> ddl.Schema:
 
 
 def pruned(rows: DataFrame) -> DataFrame:
-    """The rows that the live schema depends on, and the newest place of every name."""
+    """The rows that the live schema depends on, and the newest place of every name; all rows of names that a rename concerns."""
     columns = rows.columns
     seen = rows.groupBy(*NAME).agg(F.max("seq").alias("seq"))
     seen = seen.select("project", "space", "name", F.lit("seen").alias("kind"), "seq")
+    renames = rows.filter((F.col("kind") == "renamed") | F.exists("facts", lambda f: f["op"].isin(*ddl_renames.RENAMES)))
+    whole = rows.limit(0)
+    if not renames.isEmpty():
+        names = cut_lineage(renames.select(*NAME).distinct())
+        whole = rows.filter("kind <> 'seen'").join(names, NAME, "left_semi")
+        rows = rows.join(names, NAME, "left_anti")
     last = (rows.filter(F.col("kind").isin("enum", "view")).groupBy(*NAME, "kind")
             .agg(F.max_by(F.struct(*[c for c in columns if c not in (*NAME, "kind")]), "seq").alias("r")).select(*NAME, "kind", "r.*"))
     tables = rows.filter(F.col("kind") == "table")
@@ -87,7 +97,7 @@ def pruned(rows: DataFrame) -> DataFrame:
     kept = heads.join(kept, ["project", "name", "seq"], "left").filter("first or facts is not null").select(
         "project", F.lit("table").alias("space"), "name", F.lit("table").alias("kind"), "type", "seq",
         F.coalesce("facts", F.array().cast(f"array<{dx.FACT}>")).alias("facts"))
-    parts = (last, indexes, kept, seen)
+    parts = (last, indexes, kept, seen, whole)
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).select(*columns)
 
 
