@@ -1,9 +1,10 @@
 """Signature rules of the license scan: plain patterns over lower-cased text, most specific first.
 
-A rule is (label, kind, keywords, pattern). Kinds in order of priority: ``notice`` (the
+A rule is (label, kind, gates, pattern). Kinds in order of priority: ``notice`` (the
 wording of a license or its grant), ``tag`` (a machine-readable identifier), ``url``,
-``reference`` (a license named as a license), ``mention`` (its name alone). A rule is
-tried only on texts that contain one of its keywords.
+``reference`` (a license named as a license), ``mention`` (its name alone). A gate is a
+list of keywords; a rule is tried only on texts that contain one of each gate, and one
+gate is always the license's own.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ PRIORITY = {"notice": 5, "tag": 4, "url": 3, "reference": 2, "mention": 1}
 WEIGHT = {"notice": 1.0, "tag": 0.95, "url": 0.9, "reference": 0.8, "mention": 0.5}
 
 _S = r"[\s\W_]+"  # between words
-_V = r"(?:,?\s*(?:version|v\.?)?\s*)"  # before a version
+_V = r"(?:,?\s*(?:(?:version|v\.?)\s*)?)"  # before a version
 
 # label; identifier in tags; keywords, one of which is in every match of the name; name in prose; URL, or None
 LICENSES = [
@@ -116,24 +117,60 @@ NOTICES = [
     ("boost-1", "boost", rf"distributed{_S}under{_S}the{_S}boost{_S}software{_S}licen[sc]e"),
     ("all-rights-reserved", "reserved", rf"all{_S}rights{_S}reserved"),
     ("proprietary", "proprietary", rf"proprietary{_S}and{_S}confidential"),
+    ("apache-2", "prominent", rf"cause{_S}any{_S}modified{_S}files{_S}to{_S}carry{_S}prominent{_S}notices{_S}stating{_S}that{_S}you{_S}changed"),
+    ("x11", "consortium", rf"except{_S}as{_S}contained{_S}in{_S}this{_S}notice,?{_S}the{_S}name{_S}of{_S}the{_S}x{_S}consortium"),
+    ("zlib", "plainly", rf"altered{_S}source{_S}versions{_S}must{_S}be{_S}plainly{_S}marked{_S}as{_S}such"),
+    ("ncsa", "disclaimers", rf"retain{_S}the{_S}above{_S}copyright{_S}notice,?{_S}this{_S}list{_S}of{_S}conditions{_S}and{_S}the{_S}following{_S}disclaimers"),
+    ("postgresql", "written", rf"for{_S}any{_S}purpose,?{_S}without{_S}fee,?{_S}and{_S}without{_S}a{_S}written{_S}agreement"),
+    ("mpl-1.1", "mozilla", rf"contents{_S}of{_S}this{_S}file{_S}are{_S}subject{_S}to{_S}the{_S}mozilla{_S}public{_S}licen[sc]e{_S}version{_S}1\.1"),
+    ("mpl-2", "mozilla", rf"this{_S}source{_S}code{_S}form{_S}is{_S}subject{_S}to{_S}the{_S}terms{_S}of{_S}the{_S}mozilla"),
+    ("epl-1", "eclipse", rf"accompanying{_S}materials{_S}are{_S}made{_S}available{_S}under{_S}the{_S}terms{_S}of{_S}the{_S}eclipse{_S}public{_S}licen[sc]e{_V}1"),
+    ("epl-2", "eclipse", rf"accompanying{_S}materials{_S}are{_S}made{_S}available{_S}under{_S}the{_S}terms{_S}of{_S}the{_S}eclipse{_S}public{_S}licen[sc]e{_V}2"),
+    ("cddl-1", "common", rf"subject{_S}to{_S}the{_S}terms{_S}of{_S}the{_S}common{_S}development{_S}and{_S}distribution{_S}licen[sc]e"),
+    ("cpl-1", "common", rf"under{_S}the{_S}terms{_S}of{_S}this{_S}common{_S}public{_S}licen[sc]e"),
+    ("eupl-1.2", "eupl", rf"licensed{_S}under{_S}the{_S}eupl"),
+    ("gfdl", "documentation", rf"copy,?{_S}distribute{_S}and/or{_S}modify{_S}this{_S}document{_S}under{_S}the{_S}terms{_S}of{_S}the{_S}gnu{_S}free{_S}documentation"),
+    ("agpl-3", "remotely", rf"offer{_S}all{_S}users{_S}interacting{_S}with{_S}it{_S}remotely{_S}through{_S}a{_S}computer{_S}network"),
+    ("cc0-1", "waived", rf"waived{_S}all{_S}copyright{_S}and{_S}related{_S}or{_S}neighbou?ring{_S}rights"),
+    ("ofl-1.1", "font", rf"this{_S}font{_S}software{_S}is{_S}licensed{_S}under{_S}the{_S}sil{_S}open{_S}font"),
+    ("odbl-1", "database", rf"this{_S}[^.\n]{{1,80}}?is{_S}made{_S}available{_S}under{_S}the{_S}open{_S}database{_S}licen[sc]e"),
+    ("openssl", "openssl", rf"this{_S}product{_S}includes{_S}software{_S}developed{_S}by{_S}the{_S}openssl{_S}project"),
+    ("php-3", "php", rf"this{_S}product{_S}includes{_S}php{_S}software"),
+    ("psf-2", "psf", rf"psf{_S}hereby{_S}grants{_S}licensee{_S}a{_S}nonexclusive"),
+    ("ms-pl", "accompanying", rf"this{_S}licen[sc]e{_S}governs{_S}use{_S}of{_S}the{_S}accompanying{_S}software"),
+    ("artistic-1", "package", rf"copyright{_S}holder{_S}maintains{_S}some{_S}semblance{_S}of{_S}artistic{_S}control"),
+    ("elastic-2", "hosted", rf"may{_S}not{_S}provide{_S}the{_S}software{_S}to{_S}third{_S}parties{_S}as{_S}a{_S}hosted{_S}or{_S}managed{_S}service"),
+    ("upl-1", "larger", rf"larger{_S}works?{_S}\(as{_S}defined{_S}below\)"),
+    ("w3c", "w3c", rf"this{_S}work{_S}is{_S}being{_S}provided{_S}by{_S}the{_S}copyright{_S}holders{_S}under{_S}the{_S}(?:following{_S}licen[sc]e|w3c)"),
+    ("curl", "daniel", rf"copyright{_S}\(c\)[^.\n]{{0,40}}?daniel{_S}stenberg"),
     ("proprietary", "unauthor", rf"unauthori[sz]ed{_S}(?:copying|reproduction|distribution)[^.]{{0,80}}?prohibited"),
 ]
 
 
 class Rule:
-    def __init__(self, order: int, label: str, kind: str, keywords: list[str], pattern: str) -> None:
-        self.order, self.label, self.kind, self.keywords = order, label, kind, keywords
+    def __init__(self, order: int, label: str, kind: str, gates: list[list[str]], pattern: str) -> None:
+        self.order, self.label, self.kind, self.gates = order, label, kind, gates
         self.pattern = re.compile(pattern)
 
+    def opened_by(self, seen: set[str]) -> bool:
+        return all(not seen.isdisjoint(gate) for gate in self.gates)
+
+
+def _literal(pattern: str) -> str:
+    """The plain text that a pattern begins with; none of it is optional in the patterns here."""
+    return re.match(r"(?:[a-z0-9/-]|\\\.)*", pattern)[0].replace("\\.", ".")
+
 
 def all_rules() -> list[Rule]:
     """Hundreds of rules in their order: notices first, then each license's tag, URL, reference and mention."""
-    out: list[tuple] = [(label, "notice", keyword.split("|"), pattern) for label, keyword, pattern in NOTICES]
+    out: list[tuple] = [(label, "notice", [keyword.split("|")], pattern) for label, keyword, pattern in NOTICES]
     for label, tag, keyword, name, url in LICENSES:
-        out.append((label, "tag", ["spdx-license-identifier"], rf"spdx-license-identifier:[ \t]*(?:\([^)\n]*)?{tag}(?![\w.-])"))
-        out.append((label, "tag", ["license", "licence"], rf"[\"']?licen[sc]es?[\"']?\s*[:=]\s*[\[{{(]?\s*[\"']?{tag}[\"']?(?![\w.-])"))
+        named = [[_literal(tag)]] if _literal(tag) else []
+        keywords = keyword.split("|")
+        out.append((label, "tag", [["spdx-license-identifier"], *named], rf"spdx-license-identifier:[ \t]*(?:\([^)\n]*)?{tag}(?![\w.-])"))
+        out.append((label, "tag", [["license", "licence"], *named], rf"[\"']?licen[sc]es?[\"']?\s*[:=]\s*[\[{{(]?\s*[\"']?{tag}[\"']?(?![\w.-])"))
         if url:
-            out.append((label, "url", [".org", ".net", ".com", ".co", ".eu", ".se"], url))
-        out.append((label, "reference", ["under", "licen", "terms"], rf"(?:under|licen[sc]ed?|terms{_S}of){_S}(?:the{_S})?(?:terms{_S}of{_S}(?:the{_S})?)?{name}(?![\w])"))
-        out.append((label, "mention", keyword.split("|"), rf"(?<![\w]){name}{'' if 'licen' in name else rf'{_S}licen[sc]e'}(?![\w])"))
+            out.append((label, "url", [[_literal(url)] if _literal(url) else ["zlib.net", "opensource.org"]], url))
+        out.append((label, "reference", [["under", "licen", "terms"], keywords], rf"(?:under|licen[sc]ed?|terms{_S}of){_S}(?:the{_S})?(?:terms{_S}of{_S}(?:the{_S})?)?{name}(?![\w])"))
+        out.append((label, "mention", [keywords], rf"(?<![\w]){name}{'' if 'licen' in name else rf'{_S}licen[sc]e'}(?![\w])"))
     return [Rule(i, *r) for i, r in enumerate(out)]

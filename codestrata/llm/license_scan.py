@@ -1,9 +1,10 @@
 """License scan by ordered signature rules.
 
 Lower-cased whole texts are scanned for keywords in one automaton pass; a rule's pattern
-runs only on texts that hold one of its keywords. Detections overlap, so they are
+runs only on texts that hold a keyword of each of its gates. Detections overlap, so they are
 resolved by interval: one that lies within another of higher priority (then longer,
 then of an earlier rule) is suppressed; others stay. What is left gives the labels.
+The work is linear in the text, but for the sort of its detections.
 
 Beside the rules stands the base scan: places where the words of a base phrase follow
 each other, counted over the text's words. Its labels always stay. Only A-Z are
@@ -39,13 +40,9 @@ class Scanner:
 
         self.rules = all_rules() if rules is None else rules
         self.base = {b" " + k.encode() + b" ": v for k, v in (BASE if base is None else base).items()}
-        by_keyword: dict[str, list[Rule]] = {}
-        for rule in self.rules:
-            for k in rule.keywords:
-                by_keyword.setdefault(k, []).append(rule)
         self.gate = ahocorasick.Automaton()
-        for k, own in by_keyword.items():
-            self.gate.add_word(k, (k, own))
+        for k in {k for rule in self.rules for gate in rule.gates for k in gate}:
+            self.gate.add_word(k, k)
         self.gate.make_automaton()
 
     def places(self, text: str) -> tuple[int, list[tuple[int, str]]]:
@@ -54,30 +51,48 @@ class Scanner:
         joined = b" " + b" ".join(words) + b" "
         found = []
         for phrase, label in self.base.items():
+            last = word = 0
             at = joined.find(phrase)
             while at >= 0:
-                found.append((joined.count(b" ", 0, at), label))
+                word, last = word + joined.count(b" ", last, at), at
+                found.append((word, label))
                 at = joined.find(phrase, at + 1)
         return len(words), found
 
     def detections(self, text: str) -> list[tuple[str, str, int, int]]:
         """(label, kind, start, stop) of what is left after suppression, in order; places are characters."""
         low = text.translate(_LOWER)
-        rules: dict[int, Rule] = {}
-        seen = set()
-        for _, (k, own) in self.gate.iter(low):
-            if k not in seen:
-                seen.add(k)
-                rules.update((r.order, r) for r in own)
+        seen = {k for _, k in self.gate.iter(low)}
+        rules = [r for r in self.rules if r.opened_by(seen)]
         hits = [(-PRIORITY[r.kind], m.start() - m.end(), r.order, m.start(), m.end(), r)
-                for r in rules.values() for m in r.pattern.finditer(low)]
-        kept: list[tuple] = []
-        for hit in sorted(hits, key=lambda h: h[:4]):
-            if not any(k[3] <= hit[3] and hit[4] <= k[4] for k in kept):
-                kept.append(hit)
+                for r in rules for m in r.pattern.finditer(low)]
+        kept = outermost(sorted(hits, key=lambda h: h[:4]))
         return [(h[5].label, h[5].kind, h[3], h[4]) for h in sorted(kept, key=lambda h: h[3:5])]
 
 
+def outermost(hits: list[tuple]) -> list[tuple]:
+    """Hits, in order of precedence, that lie within none before them; start and stop are at places 3 and 4.
+
+    A prefix maximum over the starts tells the furthest stop of the hits so far that begin no later.
+    """
+    rank = {start: i for i, start in enumerate(sorted({h[3] for h in hits}), 1)}
+    furthest = [-1] * (len(rank) + 1)
+    kept = []
+    for hit in hits:
+        i, stop = rank[hit[3]], -1
+        while i:
+            stop = max(stop, furthest[i])
+            i &= i - 1
+        if stop >= hit[4]:
+            continue
+        kept.append(hit)
+        i = rank[hit[3]]
+        while i < len(furthest):
+            furthest[i] = max(furthest[i], hit[4])
+            i += i & -i
+    return kept
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """What both scans find in each document."""
     ship(docs.sparkSession)
