@@ -136,5 +136,9 @@ def _placed(docs: DataFrame) -> DataFrame | None:
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """Rows of ``numbered`` documents whose name is not in ``dropped``, with the columns that the documents had."""
     gone = dropped.select(F.col(ROW).alias("_gone_row"))
-    kept = docs.join(gone, docs[ROW] == gone["_gone_row"], "left_anti").drop(ROW)
-    return kept.withColumnRenamed(_ASIDE, ROW)
+    return without_names(docs.join(gone, docs[ROW] == gone["_gone_row"], "left_anti"))
+
+
+def without_names(rows: DataFrame) -> DataFrame:
+    """Columns as they were before ``numbered``."""
+    return rows.drop(ROW).withColumnRenamed(_ASIDE, ROW)

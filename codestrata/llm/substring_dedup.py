@@ -8,12 +8,17 @@ from its edges. Chunks are deduplicated by a 64-bit digest: one that occurs in t
 documents or more is repeated, and the smallest doc_id that has it is its first place.
 
 Neighbouring repeated chunks form a span. The passage behind it begins and ends within
-the chunks beside the span; so a span is reported if with those it could have
-``WORDS`` words and without them has ``SURE``. The digest is not compared byte by byte:
-a span is several chunks, which do not collide together by chance.
+the chunks beside the span. So a span with more words than asked for is reported at once,
+one that has too few even with the chunks beside it is not, and of the others the edges
+are read: the whole words beside the span that also stand there, in the same order,
+beside the same chunk of another row. They are found by hashes of all such runs of words.
+The extent of a reported span is that of its chunks, so it lies within its passage. The
+digests are not compared byte by byte: a span is several chunks, which do not collide
+together by chance.
 
-Repeats within one document do not count; rows that share a doc_id are one document, and
-rows without one are none that can be told apart. Null texts have no chunks.
+Every row with a text is a document of its own, also without a doc_id or with one that
+repeats; repeats within one row do not count. Of rows that share the smallest doc_id
+one is the first place; rows without a doc_id come after the others. Null texts have no chunks.
 """
 
 from __future__ import annotations
@@ -26,16 +31,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.llm.common import attach, ship, slices
-from codestrata.session import cut_lineage
+from codestrata.llm.common import ROW, attach, numbered, ship, slices, without_names
+from codestrata.session import cut_lineage, release
 
 WINDOW = 16
 MEAN = 24
 LONGEST = 256
-WORDS = 46  # over 50, less those of a chunk that a chance cut near the edge has split off
+WORDS = 51
 SURE = 8
 
-CHUNKS = "digest long, doc_id long, start int, stop int, words int, beside int"
+CHUNKS = "digest long, doc_id long, row_key long, start int, stop int, words int, beside int"
+EDGES = "row_key long, side int, pos int, gain int, run long"
 
 #: Random numbers for the 256 bytes, from a digest of each.
 GEAR = np.array([xxhash.xxh64_intdigest(bytes([b])) & 0xFFFF for b in range(256)], np.uint16)
@@ -62,8 +68,8 @@ def cuts(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate((at, *more))) if more else at
 
 
-def chunk_table(ids: list, texts: list[bytes]) -> list[np.ndarray]:
-    """Columns of CHUNKS for some texts; texts without bytes have no chunks."""
+def chunk_table(texts: list[bytes]) -> list[np.ndarray]:
+    """Digest, number of the text, start, stop, words and ``beside`` of the chunks of some texts; none without bytes."""
     there = [i for i, t in enumerate(texts) if t]
     joined = b"".join(texts)
     if not joined:
@@ -81,68 +87,155 @@ def chunk_table(ids: list, texts: list[bytes]) -> list[np.ndarray]:
     words = count[stop] - count[start]
     same = owner[1:] == owner[:-1]
     before, after = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-    before[1:], after[:-1] = np.where(same, words[:-1], 0), np.where(same, words[1:], 0)
+    # a text that begins with the passage has no cut in its first WINDOW bytes, others may
+    reach = np.maximum(start[:-1] - WINDOW, begin[owner[1:]])
+    before[1:], after[:-1] = np.where(same, count[start[1:]] - count[np.minimum(reach, start[1:])], 0), np.where(same, words[1:], 0)
     h = xxhash.xxh3_64_intdigest
     digest = np.array([h(joined[a:b]) for a, b in zip(start.tolist(), stop.tolist())], np.uint64).view(np.int64)
-    doc = np.array([ids[i] for i in there])[owner]
-    return [digest, doc, start - begin[owner], stop - begin[owner], words, before << 16 | after]
+    return [digest, np.array(there)[owner], start - begin[owner], stop - begin[owner], words, before << 16 | after]
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """Chunks of all texts; ``beside`` holds the words of the chunk before (in its upper half) and of the one behind."""
-    ship(docs.sparkSession)
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
+def edge_runs(data: bytes, side: int, pos: int, most: int, digest: int) -> list[tuple[int, int | None]]:
+    """(gain, hash) of the runs of up to ``most`` whole words before ``pos`` (side 0) or behind it (side 1).
+
+    A word that ``pos`` cuts counts for the span, so behind it a run begins with the rest of that word and gains
+    nothing by it; if no run is repeated the span loses it. The row without a hash says so.
+    """
+    head, out = digest.to_bytes(8, "little", signed=True) + bytes([side]), []
+    white = b" \t\n\v\f\r"
+    if side == 0:
+        at, p = 0, pos - 1
+        while p >= max(0, pos - 2 * LONGEST) and at < most:
+            if data[p] not in white and (p == 0 or data[p - 1] in white):
+                at += 1
+                out.append((at, xxhash.xxh3_64_intdigest(head + data[p:pos]) - (1 << 63)))
+            p -= 1
+        return out
+    cut = 0 < pos < len(data) and data[pos - 1] not in white and data[pos] not in white
+    out.append((-int(cut), None))
+    at, q, last = 0, pos, min(len(data), pos + 2 * LONGEST)
+    while q < last:
+        if data[q] not in white:
+            at += q == 0 or data[q - 1] in white
+            if at > most:
+                break
+            if q + 1 == len(data) or data[q + 1] in white:
+                out.append((at, xxhash.xxh3_64_intdigest(head + data[pos:q + 1]) - (1 << 63)))
+        q += 1
+    return out
+
+
+def named(docs: DataFrame, key: str | None) -> DataFrame:
+    """doc_id, row_key and text of the rows that have a text."""
+    rows, key = (numbered(docs), ROW) if key is None else (docs, key)
+    return rows.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), F.xxhash64(key).alias("row_key"), "text")
+
+
+def chunks(rows: DataFrame) -> DataFrame:
+    """Chunks of all texts of ``named`` rows; ``beside`` holds the words of the chunk before and WINDOW bytes more (in its upper half) and of the one behind."""
+    ship(rows.sparkSession)
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            texts = [x.encode() for x in batch.column(1).to_pylist()]
-            cols = chunk_table(batch.column(0).to_pylist(), texts)
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)).cast(t) for c, t in zip(cols, types)],
-                                             ["digest", "doc_id", "start", "stop", "words", "beside"])
+            digest, text, *rest = [pa.array(c.astype(np.int64)) for c in chunk_table([x.encode() for x in batch.column(2).to_pylist()])]
+            cols = [digest, batch.column(0).take(text), batch.column(1).take(text), *rest]
+            yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(cols, types)],
+                                             ["digest", "doc_id", "row_key", "start", "stop", "words", "beside"])
 
-    there = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    return there.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, CHUNKS)
+    return rows.mapInArrow(run, CHUNKS)
 
 
-def repeated_spans(docs: DataFrame, words: int = WORDS, sure: int = SURE) -> DataFrame:
-    """doc_id, start, stop (bytes), n_words, first_doc_id, is_first and repeats: a row for each repeated span of each document.
+def repeated_spans(docs: DataFrame, words: int = WORDS, sure: int = SURE, key: str | None = None) -> DataFrame:
+    """doc_id, row_key, start, stop (bytes), n_words, first_doc_id, is_first and repeats: a row for each repeated span of each row.
 
-    ``repeats`` are the ranges of at least ``sure`` words whose first place is another document; ``is_first`` if there
-    are none. ``first_doc_id`` is that of the span's longest range.
+    ``repeats`` are the ranges of at least ``sure`` words whose first place is another row; ``is_first`` if there
+    are none. ``first_doc_id`` is that of the span's longest range. ``row_key`` tells rows apart: a digest of the
+    column ``key``, or without one of the place in a plain Parquet table.
     """
-    found = chunks(docs)
-    twice = found.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count(F.lit(1)).alias("n"))
-    twice = cut_lineage(twice.filter("first_doc <> last_doc").select("digest", "first_doc", "n"))
+    rows = named(docs, key)
+    found = chunks(rows)
+    twice = found.groupBy("digest").agg(
+        F.min("doc_id").alias("first_doc"), F.coalesce(F.min_by("row_key", "doc_id"), F.min("row_key")).alias("first_row"),
+        F.min("row_key").alias("low"), F.max("row_key").alias("high"), F.count(F.lit(1)).alias("n"))
+    twice = cut_lineage(twice.filter("low <> high").select("digest", "first_doc", "first_row", "n"))
     repeated = twice.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    met = attach(found, twice, "digest", "n", repeated, F.col("doc_id")).filter("first_doc is not null")
-    # islands of chunks that follow each other in a document, and their parts that are all at their first place or
-    # all not; distinct, as rows may repeat a doc_id
-    one = met.select("doc_id", "start", "stop", "words", "beside", "first_doc").distinct()
-    order = "over (partition by doc_id order by start, stop)"
-    one = one.withColumn("_own", F.col("first_doc") == F.col("doc_id")).withColumn(
-        "_new", F.expr(f"start <> coalesce(lag(stop) {order}, -1)"))
-    one = one.withColumn("_turn", F.expr(f"_new or _own <> lag(_own) {order}"))
-    one = one.withColumn("_span", F.expr(f"sum(cast(_new as int)) {order}")).withColumn("_part", F.expr(f"sum(cast(_turn as int)) {order}"))
-    parts = one.groupBy("doc_id", "_span", "_part").agg(
+    one = cut_lineage(attach(found, twice, "digest", "n", repeated, F.col("row_key")).filter("first_row is not null").select(
+        "doc_id", "row_key", "start", "stop", "words", "beside", "digest", "first_doc", (F.col("first_row") == F.col("row_key")).alias("_own")))
+    # islands of chunks that follow each other in a row, and their parts that are all at their first place or all not
+    order = "over (partition by row_key order by start, stop)"
+    isles = one.withColumn("_new", F.expr(f"start <> coalesce(lag(stop) {order}, -1)"))
+    isles = isles.withColumn("_turn", F.expr(f"_new or _own <> lag(_own) {order}"))
+    isles = isles.withColumn("_span", F.expr(f"sum(cast(_new as int)) {order}")).withColumn("_part", F.expr(f"sum(cast(_turn as int)) {order}"))
+    parts = isles.groupBy("doc_id", "row_key", "_span", "_part").agg(
         F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("words").alias("n_words"),
         F.min("first_doc").alias("first_doc_id"), F.min("_own").alias("is_first"),
         F.shiftright(F.min_by("beside", "start"), 16).alias("_before"),
-        F.max_by("beside", "start").bitwiseAND(F.lit(0xFFFF)).alias("_after"))
-    spans = parts.groupBy("doc_id", "_span").agg(
+        F.max_by("beside", "start").bitwiseAND(F.lit(0xFFFF)).alias("_after"),
+        F.min_by("digest", "start").alias("_head"), F.max_by("digest", "start").alias("_tail"))
+    spans = parts.groupBy("doc_id", "row_key", "_span").agg(
         F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("n_words").alias("n_words"),
         F.max_by("first_doc_id", F.struct("n_words", "start")).alias("first_doc_id"),
         F.sort_array(F.collect_list(F.when(~F.col("is_first") & (F.col("n_words") >= sure), F.struct("start", "stop")))).alias("repeats"),
-        F.min_by("_before", "start").alias("_before"), F.max_by("_after", "start").alias("_after"))
-    spans = spans.withColumn("is_first", F.size("repeats") == 0)
-    return spans.filter((F.col("n_words") >= sure) & (F.col("n_words") + F.col("_before") + F.col("_after") >= words)).drop(
-        "_span", "_before", "_after")
+        *[F.min_by(c, "start").alias(c) for c in ("_before", "_head")], *[F.max_by(c, "start").alias(c) for c in ("_after", "_tail")])
+    spans = cut_lineage(spans.withColumn("is_first", F.size("repeats") == 0).filter(
+        (F.col("n_words") >= sure) & (F.col("n_words") + F.col("_before") + F.col("_after") >= words)))
+    gains = edge_gains(rows, one, spans.filter(F.col("n_words") <= words))  # a span's last word may be cut
+    release(one, twice)
+    for side, pos in ((0, "start"), (1, "stop")):
+        at = gains.filter(F.col("side") == side).select(F.col("row_key").alias("_row"), F.col("pos").alias("_pos"), F.col("gain").alias(f"_gain{side}"))
+        spans = spans.join(at, (F.col("row_key") == F.col("_row")) & (F.col(pos) == F.col("_pos")), "left").drop("_row", "_pos")
+    return spans.filter((F.col("n_words") > words) | (F.expr("n_words + coalesce(_gain0, 0) + coalesce(_gain1, 0)") >= words)).select(
+        "doc_id", "row_key", "start", "stop", "n_words", "first_doc_id", "repeats", "is_first")
 
 
-def without_repeats(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """Documents without the repeats of their spans; what is at its first place stays. A cut never splits a character."""
+def edge_gains(rows: DataFrame, one: DataFrame, spans: DataFrame) -> DataFrame:
+    """row_key, side, pos and gain: most whole words beside the edges of ``spans`` that another row has there too.
+
+    All places of the chunks at those edges are read, in whatever span they lie; runs of words are counted by hash.
+    """
+    asked = spans.select(F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("_head").alias("digest")),
+                                           F.struct(F.lit(1).alias("side"), F.col("_tail").alias("digest")))).alias("e")).select("e.*").distinct()
+    most = F.when(F.col("side") == 0, F.shiftright("beside", 16)).otherwise(F.col("beside").bitwiseAND(F.lit(0xFFFF)))
+    places = one.join(asked, "digest").groupBy("row_key").agg(F.collect_list(F.struct(
+        "side", F.when(F.col("side") == 0, F.col("start")).otherwise(F.col("stop")).alias("pos"), most.alias("most"), "digest")).alias("_places"))
+    joined = rows.select(F.col("row_key").alias("_row"), "text").join(places, F.col("_row") == F.col("row_key")).select("row_key", "text", "_places")
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            out = []
+            for row, text, own in zip(*[c.to_pylist() for c in batch.columns]):
+                data = text.encode()
+                for e in own:
+                    runs = edge_runs(data, e["side"], e["pos"], e["most"], e["digest"])
+                    out.extend((row, e["side"], e["pos"], gain, h) for gain, h in runs)
+            cols = list(zip(*out)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["row_key", "side", "pos", "gain", "run"])
+
+    edges = cut_lineage(joined.mapInArrow(run, EDGES))
+    shared = edges.filter("run is not null").groupBy("run").agg(
+        F.min("row_key").alias("low"), F.max("row_key").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high").select("run", "n")
+    shared = cut_lineage(shared)
+    total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    met = attach(edges, shared, "run", "n", total, F.col("row_key")).filter("run is null or n is not null")
+    gains = cut_lineage(met.groupBy("row_key", "side", "pos").agg(F.max("gain").alias("gain")))
+    release(edges, shared)
+    return gains
+
+
+def without_repeats(docs: DataFrame, spans: DataFrame, key: str | None = None) -> DataFrame:
+    """Documents without the repeats of their spans; what is at its first place stays. A cut never splits a character.
+
+    ``key`` as for ``repeated_spans``.
+    """
     ship(docs.sparkSession)
-    gone = spans.filter("not is_first").groupBy("doc_id").agg(F.sort_array(F.flatten(F.collect_list("repeats"))).alias("_gone"))
-    joined = docs.join(gone.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    gone = spans.filter("not is_first").groupBy(F.col("row_key").alias("_gone_row")).agg(
+        F.sort_array(F.flatten(F.collect_list("repeats"))).alias("_gone"))
+    rows = numbered(docs) if key is None else docs
+    joined = rows.join(gone, F.xxhash64(rows[ROW if key is None else key]) == gone["_gone_row"], "left").drop("_gone_row")
+    if key is None:
+        joined = without_names(joined)
     at, schema = docs.columns.index("text"), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -354,6 +354,37 @@ def test_passages_are_found_in_any_place(spark):
         assert (cut in after[r["doc_id"]]) == r["is_first"]
 
 
+def test_only_passages_of_over_fifty_words_are_reported(spark):
+    """Exact extents by whole words: nothing of 50 words or fewer, everything of 51 or more."""
+    rng, texts, want = random.Random(12), [], set()
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 11))) for _ in range(40_000)]
+    fresh = iter(rng.sample(vocabulary, len(vocabulary)))
+    words = lambda n: [next(fresh) for _ in range(n)]
+    for n in [20, 30, 40, 45, 48, 49, 50, 51, 52, 53, 55, 60, 80] * 6:
+        passage = words(n)
+        for _ in range(rng.choice([2, 2, 3])):
+            if n > 50:
+                want.add(len(texts))
+            texts.append(" ".join(words(rng.choice([0, 1, 40])) + passage + words(rng.choice([0, 2, 30]))))
+    found = substring_dedup.repeated_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in found} == want
+
+
+def test_rows_without_or_with_a_repeated_doc_id_are_documents(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    shared = " ".join(word() for _ in range(70))
+    alone = " ".join(word() for _ in range(90))
+    rows = [(None, shared), (None, "x y " + shared), (7, shared + " z"), (7, alone), (7, "other words here " + shared), (3, alone[:40])]
+    df = spark.createDataFrame([(d, t, k) for k, (d, t) in enumerate(rows)], "doc_id long, text string, k int")
+    spans = substring_dedup.repeated_spans(df, key="k")
+    found = spans.collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in found) == [(False, 7), (False, 7), (True, 0), (True, 0)]
+    assert sum(r["is_first"] for r in found) == 1 and all(r["first_doc_id"] == 7 for r in found)
+    after = substring_dedup.without_repeats(df, spans, key="k").collect()
+    assert sum(shared in r["text"] for r in after) == 1 and {r["text"] for r in after} >= {alone, alone[:40]}
+
+
 def test_gear_hash_depends_on_the_window_only():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 256, 500, np.uint8), rng.integers(0, 256, 300, np.uint8)
