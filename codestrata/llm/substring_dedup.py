@@ -95,8 +95,8 @@ def chunk_table(texts: list[bytes]) -> list[np.ndarray]:
     return [digest, np.array(there)[owner], start - begin[owner], stop - begin[owner], words, before << 16 | after]
 
 
-def edge_runs(data: bytes, side: int, pos: int, most: int, digest: int) -> list[tuple[int, int | None]]:
-    """(gain, hash) of the runs of up to ``most`` whole words before ``pos`` (side 0) or behind it (side 1).
+def edge_runs(data: bytes, side: int, pos: int, least: int, most: int, digest: int) -> list[tuple[int, int | None]]:
+    """(gain, hash) of the runs of ``least`` to ``most`` whole words before ``pos`` (side 0) or behind it (side 1).
 
     A word that ``pos`` cuts counts for the span, so behind it a run begins with the rest of that word and gains
     nothing by it; if no run is repeated the span loses it. The row without a hash says so.
@@ -108,18 +108,19 @@ def edge_runs(data: bytes, side: int, pos: int, most: int, digest: int) -> list[
         while p >= max(0, pos - 2 * LONGEST) and at < most:
             if data[p] not in white and (p == 0 or data[p - 1] in white):
                 at += 1
-                out.append((at, xxhash.xxh3_64_intdigest(head + data[p:pos]) - (1 << 63)))
+                if at >= least:
+                    out.append((at, xxhash.xxh3_64_intdigest(head + data[p:pos]) - (1 << 63)))
             p -= 1
         return out
-    cut = 0 < pos < len(data) and data[pos - 1] not in white and data[pos] not in white
-    out.append((-int(cut), None))
+    if 0 < pos < len(data) and data[pos - 1] not in white and data[pos] not in white:
+        out.append((-1, None))
     at, q, last = 0, pos, min(len(data), pos + 2 * LONGEST)
     while q < last:
         if data[q] not in white:
             at += q == 0 or data[q - 1] in white
             if at > most:
                 break
-            if q + 1 == len(data) or data[q + 1] in white:
+            if at >= least and (q + 1 == len(data) or data[q + 1] in white):
                 out.append((at, xxhash.xxh3_64_intdigest(head + data[pos:q + 1]) - (1 << 63)))
         q += 1
     return out
@@ -180,7 +181,7 @@ def repeated_spans(docs: DataFrame, words: int = WORDS, sure: int = SURE, key: s
         *[F.min_by(c, "start").alias(c) for c in ("_before", "_head")], *[F.max_by(c, "start").alias(c) for c in ("_after", "_tail")])
     spans = cut_lineage(spans.withColumn("is_first", F.size("repeats") == 0).filter(
         (F.col("n_words") >= sure) & (F.col("n_words") + F.col("_before") + F.col("_after") >= words)))
-    gains = edge_gains(rows, one, spans.filter(F.col("n_words") <= words))  # a span's last word may be cut
+    gains = edge_gains(rows, one, spans.filter(F.col("n_words") <= words), words)  # a span's last word may be cut
     release(one, twice)
     for side, pos in ((0, "start"), (1, "stop")):
         at = gains.filter(F.col("side") == side).select(F.col("row_key").alias("_row"), F.col("pos").alias("_pos"), F.col("gain").alias(f"_gain{side}"))
@@ -189,16 +190,35 @@ def repeated_spans(docs: DataFrame, words: int = WORDS, sure: int = SURE, key: s
         "doc_id", "row_key", "start", "stop", "n_words", "first_doc_id", "repeats", "is_first")
 
 
-def edge_gains(rows: DataFrame, one: DataFrame, spans: DataFrame) -> DataFrame:
+def edge_gains(rows: DataFrame, one: DataFrame, spans: DataFrame, words: int) -> DataFrame:
     """row_key, side, pos and gain: most whole words beside the edges of ``spans`` that another row has there too.
 
     All places of the chunks at those edges are read, in whatever span they lie; runs of words are counted by hash.
+    Runs too short to bring a span of that chunk to ``words`` are left out.
     """
-    asked = spans.select(F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("_head").alias("digest")),
-                                           F.struct(F.lit(1).alias("side"), F.col("_tail").alias("digest")))).alias("e")).select("e.*").distinct()
+    side = lambda no, pos, digest, other: F.struct(
+        F.lit(no).alias("side"), F.col(pos).alias("pos"), F.col(digest).alias("digest"), (F.lit(words) - F.col("n_words") - F.col(other)).alias("least"))
+    own = spans.select("row_key", F.explode(F.array(side(0, "start", "_head", "_after"), side(1, "stop", "_tail", "_before"))).alias("e")).select("row_key", "e.*")
+    asked = cut_lineage(own.groupBy("side", "digest").agg(F.min("least").cast("int").alias("least")))
     most = F.when(F.col("side") == 0, F.shiftright("beside", 16)).otherwise(F.col("beside").bitwiseAND(F.lit(0xFFFF)))
-    places = one.join(asked, "digest").groupBy("row_key").agg(F.collect_list(F.struct(
-        "side", F.when(F.col("side") == 0, F.col("start")).otherwise(F.col("stop")).alias("pos"), most.alias("most"), "digest")).alias("_places"))
+    places = one.join(asked, "digest").select(
+        "row_key", "side", F.when(F.col("side") == 0, F.col("start")).otherwise(F.col("stop")).alias("pos"), "least", most.alias("most"), "digest")
+    places = cut_lineage(places.filter("least <= most"))
+    edges = _edges(rows, places)
+    shared = edges.filter("run is not null").groupBy("run").agg(
+        F.min("row_key").alias("low"), F.max("row_key").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high").select("run", "n")
+    shared = cut_lineage(shared)
+    total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    mine = _edges(rows, places.join(own.select("row_key", "side", "pos"), ["row_key", "side", "pos"], "left_semi"))
+    met = attach(mine, shared, "run", "n", total, F.col("row_key")).filter("run is null or n is not null")
+    gains = cut_lineage(met.groupBy("row_key", "side", "pos").agg(F.max("gain").alias("gain")))
+    release(asked, places, shared)
+    return gains
+
+
+def _edges(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """EDGES: the runs of words at some places of some rows."""
+    places = places.groupBy("row_key").agg(F.collect_list(F.struct("side", "pos", "least", "most", "digest")).alias("_places"))
     joined = rows.select(F.col("row_key").alias("_row"), "text").join(places, F.col("_row") == F.col("row_key")).select("row_key", "text", "_places")
     types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
 
@@ -208,20 +228,12 @@ def edge_gains(rows: DataFrame, one: DataFrame, spans: DataFrame) -> DataFrame:
             for row, text, own in zip(*[c.to_pylist() for c in batch.columns]):
                 data = text.encode()
                 for e in own:
-                    runs = edge_runs(data, e["side"], e["pos"], e["most"], e["digest"])
+                    runs = edge_runs(data, e["side"], e["pos"], e["least"], e["most"], e["digest"])
                     out.extend((row, e["side"], e["pos"], gain, h) for gain, h in runs)
             cols = list(zip(*out)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["row_key", "side", "pos", "gain", "run"])
 
-    edges = cut_lineage(joined.mapInArrow(run, EDGES))
-    shared = edges.filter("run is not null").groupBy("run").agg(
-        F.min("row_key").alias("low"), F.max("row_key").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high").select("run", "n")
-    shared = cut_lineage(shared)
-    total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    met = attach(edges, shared, "run", "n", total, F.col("row_key")).filter("run is null or n is not null")
-    gains = cut_lineage(met.groupBy("row_key", "side", "pos").agg(F.max("gain").alias("gain")))
-    release(edges, shared)
-    return gains
+    return joined.mapInArrow(run, EDGES)
 
 
 def without_repeats(docs: DataFrame, spans: DataFrame, key: str | None = None) -> DataFrame:
