@@ -53,6 +53,28 @@ def test_outcomes_emit_once_and_match(events):
     assert bag(got) == bag(batch.outcomes(ev))
 
 
+def test_outcomes_of_many_runs_share_states(spark, tmp_path):
+    """A state for each run, and a call of Python for each state, take as long as all other work."""
+    kind = F.expr("case when n % 11 = 5 then 'complete' when n % 13 = 6 then 'error' else 'progress' end")
+    made = spark.range(60 * 40).select(F.expr("id % 60").alias("run_id"), F.expr("id div 60").alias("n"), F.col("id").alias("seq"))
+    made = made.filter("n < 5 + run_id % 30").select(
+        F.expr("case when run_id < 59 then run_id end").alias("run_id"), "seq", "n", F.expr(
+            "timestamp_seconds(1700000000 + run_id * 50 + n * (30 + run_id % 7 * 20))").cast("timestamp_ntz").alias("ts"),
+        kind.alias("type"), F.lit("s").alias("stage"), F.expr("cast((n * 7 + run_id) % 101 as int)").alias("progress"))
+    end = spark.sql("select -1L as run_id, -1L as seq, timestamp_ntz'2024-01-01' as ts, 'progress' as type, 's' as stage, 0 as progress")
+    folder = str(tmp_path / "in")
+    made.drop("n").unionByName(end).orderBy("ts").coalesce(1).write.option("maxRecordsPerFile", 200).parquet(folder)
+    stream = spark.readStream.schema(end.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    out = str(tmp_path / "out")
+    query = sp.outcomes(sp.timed(stream), buckets=3).writeStream.option("checkpointLocation", str(tmp_path / "chk")).trigger(
+        availableNow=True).format("parquet").option("path", out).start()
+    query.awaitTermination()
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 4  # one more for events without a run
+    got = spark.read.parquet(out)
+    assert bag(got.filter("run_id >= 0")) == bag(batch.outcomes(made.drop("n")))
+    assert [(r.outcome, r.last_progress, r.timed_out) for r in got.filter("run_id is null").collect()] == [("complete", 18, True)]
+
+
 def fixed_progress(spark, *rows):
     return spark.createDataFrame(rows, "run_id bigint, seq bigint, ts string, type string, stage string, progress int").withColumn(
         "ts", F.col("ts").cast("timestamp_ntz"))
