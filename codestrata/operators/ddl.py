@@ -195,10 +195,16 @@ class Schema:
         self._fold(keep(table_events(log)), enum_rows(log), view_rows(log), index_rows(log), keep)
 
     @classmethod
-    def of(cls, events: DataFrame, enums: DataFrame, views: DataFrame, indexes: DataFrame) -> Schema:
-        """The schema behind parsed rows, as ``table_events``, ``enum_rows``, ``view_rows`` and ``index_rows`` give them."""
+    def of(cls, events: DataFrame, enums: DataFrame, views: DataFrame, indexes: DataFrame, persist: bool = False) -> Schema:
+        """The schema behind parsed rows, as ``table_events``, ``enum_rows``, ``view_rows`` and ``index_rows`` give them.
+
+        ``persist`` writes the table lives and their facts to the shared folder.
+        """
+        from codestrata.session import cut_lineage
         schema = cls.__new__(cls)
-        schema._fold(events, enums, views, indexes, lambda df: df)
+        schema._fold(events, enums, views, indexes, cut_lineage if persist else (lambda df: df))
+        if persist:
+            schema.facts = cut_lineage(schema.facts)
         return schema
 
     def _fold(self, events: DataFrame, enums: DataFrame, views: DataFrame, indexes: DataFrame, keep) -> None:

@@ -88,7 +88,7 @@ def q_schema(spark, sf):
     for late in (False, True):
         migrations.filter(F.col("path").startswith("db/") == late).write.mode("append").parquet(f"{base}/in")
         schema_state.schema_stream(read_files_stream(spark, f"{base}/in"), f"{base}/store", f"{base}/checkpoint").awaitTermination()
-    s = schema_state.current(spark, f"{base}/store")
+    s = schema_state.current(spark, f"{base}/store", persist=True)
     joined = lambda c: F.array_join(c, ",")
     empty = F.lit("")
 

@@ -53,7 +53,9 @@ def parsed(log: DataFrame) -> DataFrame:
         return df.select("project", F.lit(space).alias("space"), F.col(columns["name"]).alias("name"), F.lit(kind).alias("kind"), *rest[:2], "seq", *rest[2:])
 
     events = ddl.table_events(log)
-    renamed = ddl_renames.table_renames(events).withColumn("seq", F.col("at"))
+    # facts are read a second time for this, so only of statements that may rename
+    renames = ddl.table_events(log.filter((F.col("type") == "ALTER_TABLE") & F.lower("stmt").contains("rename")))
+    renamed = ddl_renames.table_renames(renames).withColumn("seq", F.col("at"))
     parts = [row(events, "table", "table", name="tbl", type="type", facts="facts"),
              row(renamed, "table", "renamed", name="new", item="old"),
              row(ddl.index_rows(log), "table", "index", name="tbl", item="name", flag="is_unique", vals="cols"),
@@ -62,36 +64,46 @@ def parsed(log: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def schema_of(rows: DataFrame) -> ddl.Schema:
+def schema_of(rows: DataFrame, persist: bool = False) -> ddl.Schema:
     """The live schema behind rows of ``STATE``."""
     kind = lambda k: rows.filter(F.col("kind") == k)
     tbl = F.col("name").alias("tbl")
     return ddl.Schema.of(
         kind("table").select("project", tbl, "type", "seq", "facts"), kind("enum").select("project", "name", "seq", "vals"),
         kind("view").select("project", "name", "type", "seq", F.col("sql").alias("stmt")),
-        kind("index").select("project", tbl, F.col("item").alias("name"), F.col("flag").alias("is_unique"), F.col("vals").alias("cols"), "seq"))
+        kind("index").select("project", tbl, F.col("item").alias("name"), F.col("flag").alias("is_unique"), F.col("vals").alias("cols"), "seq"), persist)
 
 
-def pruned(rows: DataFrame) -> DataFrame:
-    """The rows that the live schema depends on, and the newest place of every name; all rows of names that a rename concerns."""
+def pruned(rows: DataFrame, scratch: list[DataFrame] | None = None) -> DataFrame:
+    """The rows that the live schema depends on, and the newest place of every name; all rows of names that a rename concerns.
+
+    Tables written on the way are added to ``scratch``.
+    """
+    def once(df: DataFrame) -> DataFrame:
+        kept = cut_lineage(df)
+        if scratch is not None:
+            scratch.append(kept)
+        return kept
+
     columns = rows.columns
     seen = rows.groupBy(*NAME).agg(F.max("seq").alias("seq"))
     seen = seen.select("project", "space", "name", F.lit("seen").alias("kind"), "seq")
     renames = rows.filter((F.col("kind") == "renamed") | F.exists("facts", lambda f: f["op"].isin(*ddl_renames.RENAMES)))
     whole = rows.limit(0)
     if not renames.isEmpty():
-        names = cut_lineage(renames.select(*NAME).distinct())
+        names = once(renames.select(*NAME).distinct())
         whole = rows.filter("kind <> 'seen'").join(names, NAME, "left_semi")
         rows = rows.join(names, NAME, "left_anti")
     last = (rows.filter(F.col("kind").isin("enum", "view")).groupBy(*NAME, "kind")
             .agg(F.max_by(F.struct(*[c for c in columns if c not in (*NAME, "kind")]), "seq").alias("r")).select(*NAME, "kind", "r.*"))
     tables = rows.filter(F.col("kind") == "table")
     lives = ddl.table_lives(tables.select("project", F.col("name").alias("tbl"), "type", "seq")).withColumnRenamed("tbl", "name")
-    ours = rows.join(lives.select("project", "name", "last_drop", "first_seq"), ["project", "name"])
+    ours = rows.join(once(lives.select("project", "name", "last_drop", "first_seq")), ["project", "name"])
     indexes = (ours.filter((F.col("kind") == "index") & (F.col("seq") > F.col("first_seq"))).groupBy(*NAME, "kind", "item")
                .agg(F.max_by(F.struct(*[c for c in columns if c not in (*NAME, "kind", "item")]), "seq").alias("r")).select(*NAME, "kind", "item", "r.*"))
     effective = (F.col("seq") == F.col("first_seq")) | (F.col("type") == "ALTER_TABLE")
     current = ours.filter((F.col("kind") == "table") & effective & (F.col("last_drop").isNull() | (F.col("seq") > F.col("last_drop"))))
+    current = once(current.select("project", "name", "seq", "type", "first_seq", "facts"))
     kept = _needed(current.select("project", "name", "seq", F.posexplode("facts").alias("fact_no", "fact")))
     heads = current.select("project", "name", "seq", "type", (F.col("seq") == F.col("first_seq")).alias("first"))
     kept = heads.join(kept, ["project", "name", "seq"], "left").filter("first or facts is not null").select(
@@ -150,7 +162,8 @@ class Store:
         return self.spark.read.schema(schema).parquet(place).filter(F.col("batch") <= upto)
 
     def put(self, df: DataFrame, name: str, number: int, by: str | None = None) -> None:
-        writer = df.write.mode("overwrite")
+        # the rows of a folder come together first, or each task would write a file in every folder
+        writer = (df.hint("rebalance", by) if by else df).write.mode("overwrite")
         (writer.partitionBy(by) if by else writer).parquet(f"{self.path}/{name}/batch={number}")
 
 
@@ -196,13 +209,14 @@ def fold_batch(migrations: DataFrame, path: str, number: int) -> None:
     merging = plan.filter("not refold").select(*NAME)
     merged = before.join(merging, NAME, "left_semi").unionByName(new.drop("bucket").join(merging, NAME, "left_semi"))
     others = before.join(plan.select(*NAME), NAME, "left_anti")
-    after = others.unionByName(pruned(cut_lineage(merged.unionByName(refolded))))
-    store.put(after.withColumn("bucket", _bucket("project", "name")).repartition("bucket"), "state", number, "bucket")
+    scratch = [cut_lineage(merged.unionByName(refolded))]
+    after = others.unionByName(pruned(scratch[0], scratch))
+    store.put(after.withColumn("bucket", _bucket("project", "name")), "state", number, "bucket")
     _progress(store, files, number)
     written = {b for b in buckets if exists(spark, f"{path}/state/batch={number}/bucket={b}")}
     heads = {b: n for b, n in heads.items() if b not in buckets} | dict.fromkeys(written, number)
     store.put(spark.createDataFrame(sorted(heads.items()), "bucket int, batch int").coalesce(1), "heads", number)
-    release(arrived, todo, marked, new, files, touched, plan)
+    release(arrived, todo, marked, new, files, touched, plan, *scratch)
 
 
 def _from_log(store: Store, names: DataFrame, number: int) -> DataFrame:
@@ -254,10 +268,10 @@ def split_errors(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
             marked.filter("reason is not null").select("project", "path", "stmt_no", "reason", "stmt"))
 
 
-def current(spark: SparkSession, path: str, upto: int = 1 << 30) -> ddl.Schema:
-    """The live schema as of the last batch, or an earlier one."""
+def current(spark: SparkSession, path: str, upto: int = 1 << 30, persist: bool = False) -> ddl.Schema:
+    """The live schema as of the last batch, or an earlier one; ``persist`` writes what several of its tables need."""
     store = Store(spark, path)
-    return schema_of(store.state(store.heads(min(upto, last_batch(spark, path)))))
+    return schema_of(store.state(store.heads(min(upto, last_batch(spark, path)))), persist)
 
 
 def last_batch(spark: SparkSession, path: str) -> int:

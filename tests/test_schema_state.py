@@ -102,3 +102,21 @@ def test_merging_reads_no_log(spark, tmp_path, make_files, monkeypatch):
     state.fold_batch(make_files(("migrations/2.sql", "DROP TABLE t")), store, 4)
     assert "log" in asked
     assert sorted(r.col for r in state.current(spark, store).columns.collect()) == ["a", "c3"]
+
+
+def test_a_bucket_is_one_file_of_a_batch(spark, tmp_path, make_files):
+    """Each task used to write a file in every bucket, so the files of a batch grew with the tasks times the buckets."""
+    path = str(tmp_path / "s")
+    state.fold_batch(make_files(*[(f"migrations/{n:03d}_a.sql", f"create table t{i} (id int); create index x on t{i} (id); alter table t{i} rename to u{i};")
+                                         for n, i in enumerate(range(100))]), path, 0)
+    for part in ("log", "files", "state"):
+        folders = [f for f in (tmp_path / "s" / part).rglob("bucket=*") if list(f.glob("*.parquet"))]
+        assert folders and all(len(list(f.glob("*.parquet"))) == 1 for f in folders), part
+
+
+def test_facts_are_read_again_only_where_a_table_may_be_renamed(spark, make_files):
+    log = ddl.ddl_events(make_files(("migrations/1.sql", "create table a (id int); alter table a add b int; ALTER TABLE a Rename To z;")))
+    rows = state.parsed(log)
+    assert [(r["item"], r["name"]) for r in rows.filter("kind = 'renamed'").collect()] == [("a", "z")]
+    filters = [line for line in rows._jdf.queryExecution().optimizedPlan().toString().splitlines() if "rename" in line.lower() and "Contains" in line]
+    assert filters
