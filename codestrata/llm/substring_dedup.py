@@ -23,6 +23,7 @@ one is the first place; rows without a doc_id come after the others. Null texts
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -101,31 +102,34 @@ def edge_runs(data: bytes, side: int, pos: int, least: int, most: int, digest: i
     A word that ``pos`` cuts counts for the span, so behind it a run begins with the rest of that word and gains
     nothing by it; if no run is repeated the span loses it. The row without a hash says so.
     """
-    head, out = digest.to_bytes(8, "little", signed=True) + bytes([side]), []
-    white = b" \t\n\v\f\r"
+    h, out = xxhash.xxh3_64_intdigest, []
+    seed = h(digest.to_bytes(8, "little", signed=True) + bytes([side]))
     if side == 0:
-        at, p = 0, pos - 1
-        while p >= max(0, pos - 2 * LONGEST) and at < most:
-            if data[p] not in white and (p == 0 or data[p - 1] in white):
-                at += 1
-                if at >= least:
-                    out.append((at, xxhash.xxh3_64_intdigest(head + data[p:pos]) - (1 << 63)))
-            p -= 1
+        low = max(0, pos - 2 * LONGEST)
+        begin = pos
+        for at, word in enumerate(reversed(data[low:pos].rsplit(None, most)[-most:] if most > 0 else ()), 1):
+            begin = data.rfind(word, low, begin)
+            if at >= least and (begin > low or not low or data[low - 1] in _WHITE):
+                out.append((at, h(data[begin:pos], seed) - (1 << 63)))
         return out
-    if 0 < pos < len(data) and data[pos - 1] not in white and data[pos] not in white:
+    cut = 0 < pos < len(data) and data[pos - 1] not in _WHITE
+    if cut and data[pos] not in _WHITE:
         out.append((-1, None))
-    at, q, last = 0, pos, min(len(data), pos + 2 * LONGEST)
-    while q < last:
-        if data[q] not in white:
-            at += q == 0 or data[q - 1] in white
-            if at > most:
-                break
-            if at >= least and (q + 1 == len(data) or data[q + 1] in white):
-                out.append((at, xxhash.xxh3_64_intdigest(head + data[pos:q + 1]) - (1 << 63)))
-        q += 1
+    at, last = 0, min(len(data), pos + 2 * LONGEST)
+    for m in _WORD.finditer(data, pos, last):
+        begin, end = m.span()
+        at += begin > pos or not cut
+        if at > most:
+            break
+        if at >= least and (end < last or end == len(data) or data[end] in _WHITE):
+            out.append((at, h(data[pos:end], seed) - (1 << 63)))
     return out
 
 
+_WHITE = b" \t\n\v\f\r"
+_WORD = re.compile(rb"[^ \t\n\v\f\r]+")
+
+
 def named(docs: DataFrame, key: str | None) -> DataFrame:
     """doc_id, row_key and text of the rows that have a text."""
     rows, key = (numbered(docs), ROW) if key is None else (docs, key)
@@ -224,14 +228,20 @@ def _edges(rows: DataFrame, places: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            out = []
-            for row, text, own in zip(*[c.to_pylist() for c in batch.columns]):
-                data = text.encode()
-                for e in own:
+            text, own = (batch.column(i).to_pylist() for i in (1, 2))
+            places, n, out = [], [], []
+            for i, (t, es) in enumerate(zip(text, own)):
+                data = t.encode()
+                for e in es:
                     runs = edge_runs(data, e["side"], e["pos"], e["least"], e["most"], e["digest"])
-                    out.extend((row, e["side"], e["pos"], gain, h) for gain, h in runs)
-            cols = list(zip(*out)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["row_key", "side", "pos", "gain", "run"])
+                    if runs:
+                        places.append((i, e["side"], e["pos"]))
+                        n.append(len(runs))
+                        out += runs
+            at = np.repeat(np.array(places, np.int64).reshape(-1, 3), n, axis=0)
+            gain, run_ = zip(*out) if out else ((), ())
+            cols = [batch.column(0).take(pa.array(at[:, 0])), at[:, 1].astype(np.int32), at[:, 2].astype(np.int32), gain, run_]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, types)], ["row_key", "side", "pos", "gain", "run"])
 
     return joined.mapInArrow(run, EDGES)
 

@@ -385,6 +385,38 @@ def test_rows_without_or_with_a_repeated_doc_id_are_documents(spark):
     assert sum(shared in r["text"] for r in after) == 1 and {r["text"] for r in after} >= {alone, alone[:40]}
 
 
+def test_runs_of_words_at_an_edge():
+    """Against a loop over the bytes."""
+    white = b" \t\n\v\f\r"
+
+    def plain(data, side, pos, least, most, digest):
+        seed, out = xxhash.xxh3_64_intdigest(digest.to_bytes(8, "little", signed=True) + bytes([side])), []
+        h = lambda x: xxhash.xxh3_64_intdigest(x, seed) - (1 << 63)
+        at, reach = 0, 2 * substring_dedup.LONGEST
+        if side == 0:
+            for p in range(pos - 1, max(0, pos - reach) - 1, -1):
+                if at < most and data[p] not in white and (p == 0 or data[p - 1] in white):
+                    at += 1
+                    out += [(at, h(data[p:pos]))] * (at >= least)
+            return out
+        if 0 < pos < len(data) and data[pos - 1] not in white and data[pos] not in white:
+            out.append((-1, None))
+        for q in range(pos, min(len(data), pos + reach)):
+            if data[q] not in white:
+                at += q == 0 or data[q - 1] in white
+                if at > most:
+                    break
+                if at >= least and (q + 1 == len(data) or data[q + 1] in white):
+                    out.append((at, h(data[pos:q + 1])))
+        return out
+
+    rng = random.Random(8)
+    for _ in range(3000):
+        data = bytes(rng.choice(b"ab \n\xc3" if rng.random() < 0.5 else b"abcdefghij\t ") for _ in range(rng.choice((0, 1, 5, 40, 700, 1500))))
+        args = data, rng.randrange(2), rng.randint(0, len(data)), rng.randint(-2, 9), rng.randint(0, 60), rng.randrange(-1 << 63, 1 << 63)
+        assert substring_dedup.edge_runs(*args) == plain(*args), args
+
+
 def test_gear_hash_depends_on_the_window_only():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 256, 500, np.uint8), rng.integers(0, 256, 300, np.uint8)
