@@ -289,6 +289,39 @@ def test_families_that_drift_by_small_edits_stay_whole(spark):
     print(f"pairs {len(similar)}, recall {recall:.4f}, classes by all pairs and by links {classes}")
     assert recall == 1 and classes[0] == classes[1]
 
+def test_no_similar_pair_fails_by_its_bits(spark):
+    rng = random.Random(8)
+    pairs = [(a, b) for n in (1, 3, 12, 60, 400) for a, b in
+             ((x, x[:len(x) - rng.randrange(len(x) // 9 + 1)]) for x in ("".join(rng.choice("abcd ") for _ in range(n + 7)) * rng.choice([1, 3]) for _ in range(40)))]
+    rows = [(2 * i + j, t) for i, p in enumerate(pairs) for j, t in enumerate(p)]
+    mark = {r["h"]: r["mark"] for r in line_dedup.marks(spark.createDataFrame(rows, "h long, line string")).collect()}
+    for h, t in rows:
+        assert mark[h]["n"] == len({t[i:i + line_dedup.Q] for i in range(max(1, len(t) - line_dedup.Q + 1))})
+    for i, (a, b) in enumerate(pairs):
+        x, y = mark[2 * i], mark[2 * i + 1]
+        unlike = sum(((x[f"b{k}"] ^ y[f"b{k}"]) & (2 ** 64 - 1)).bit_count() for k in range(line_dedup.WORDS * line_dedup.BANDS))
+        n = x["n"] + y["n"]
+        j = jaccard(a, b)
+        assert unlike <= (1 - j) / (1 + j) * n + 1e-6
+
+
+def test_pairs_of_a_family_are_not_listed(spark, monkeypatch):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(rng.randrange(3, 9)))
+    base, rows = [word() for _ in range(60)], []
+    for i in range(300):  # copies are at about 0.77 of each other and at 0.87 of the base, which comes last
+        words = list(base)
+        for _ in range(2 if i < 299 else 0):
+            words[rng.randrange(60)] = word()
+        rows.append((i, " ".join(words), i))
+    listed, checked = [], line_dedup.verified
+    monkeypatch.setattr(line_dedup, "verified", lambda pairs, facts, similar: listed.append(pairs.count()) or checked(pairs, facts, similar))
+    found = line_dedup.links(spark.createDataFrame(rows, "h long, line string, place long"))
+    u = Union()
+    for r in found.collect():
+        u.join(r["a"], r["b"])
+    assert len({u.find(h) for h, _, _ in rows}) <= 3 and sum(listed) <= 8 * len(rows)
+
 
 def test_line_dedup_runs_no_python(docs):
     plan = line_dedup.bands(line_dedup.distinct_lines(line_dedup.occurrences(docs)))._jdf.queryExecution().executedPlan().toString()
